@@ -75,12 +75,19 @@ def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, i
         i = j
 
 
-def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (A-Z lower-cased, white space \\x20 \\x09-\\x0D) and the words' counts by row."""
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def words(raw: np.ndarray, ends: np.ndarray, without_marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (A-Z lower-cased, white space \\x20 \\x09-\\x0D) and the words' counts by row.
+
+    without_marks: ASCII punctuation counts for nothing, and words of nothing else are left out.
+    """
     n = len(raw)
-    counts = np.zeros(len(ends), np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
     if not n:
-        return np.zeros(0, np.uint64), counts
+        return none
     first = np.zeros(n, bool)  # of a row
     starts_of_rows = np.concatenate(([0], ends[:-1]))
     first[starts_of_rows[starts_of_rows < n]] = True
@@ -89,30 +96,43 @@ def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins[1:] &= first[1:] | ~is_word[:-1]
     start = np.flatnonzero(begins)
     if not len(start):
-        return np.zeros(0, np.uint64), counts
-    which = np.cumsum(begins) - 1
-    place = (np.arange(n) - start[np.maximum(which, 0)]) & 63
-    value = _BYTES[_LOWER[raw]] * _POWERS[place]
-    # a second power for words beyond 64 bytes, so that equal bytes 64 apart differ
-    far = (np.arange(n) - start[np.maximum(which, 0)]) >> 6
-    if far.any():
-        value = mix64(value + far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    value[~is_word] = 0
+        return none
+    counted = is_word & ~_MARK[raw] if without_marks else is_word
+    upto = np.cumsum(counted, dtype=np.int64)
+    which = np.maximum(np.cumsum(begins) - 1, 0)
+    place = upto - 1 - (upto[start] - counted[start])[which]
+    value = _BYTES[_LOWER[raw]] * _POWERS[place & 63]
+    if (far := place > 63).any():  # so that equal bytes 64 apart differ
+        value[far] = mix64(value[far] + (place[far] >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    value[~counted] = 0
     hashes = mix64(np.add.reduceat(value, start))
-    counts = np.bincount(np.searchsorted(ends, start, "right"), minlength=len(ends)).astype(np.int64)
-    return hashes, counts
+    if without_marks:
+        some = np.diff(np.append(upto[start] - counted[start], upto[-1])) > 0
+        start, hashes = start[some], hashes[some]
+    return hashes, np.bincount(np.searchsorted(ends, start, "right"), minlength=len(ends)).astype(np.int64)
 
 
 _FIVE = np.random.default_rng(13).integers(1, 2**63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of one row's 5-word shingles, repeats kept; with fewer words the whole sequence is one, without words there is none."""
-    k = min(5, len(hashes))
-    if not k:
-        return np.zeros(0, np.uint64)
-    n = len(hashes) - k + 1
-    total = np.full(n, k, np.uint64)
-    for i in range(k):
+def shingles(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's 5-word shingles, repeats kept, and the rows they are of; the rows' words follow one another.
+
+    With fewer words a row's whole sequence is one shingle (these stand at the end), without words there is none.
+    """
+    rows = np.repeat(np.arange(len(counts)), counts)
+    n = max(len(hashes) - 4, 0)
+    total = np.full(n, 5, np.uint64)
+    for i in range(5):
         total += hashes[i : i + n] * _FIVE[i]
-    return mix64(total)
+    whole = rows[:n] == rows[4:]
+    out, of = mix64(total[whole]), rows[:n][whole]
+    short = np.flatnonzero((counts > 0) & (counts < 5))
+    if len(short):
+        begin = np.cumsum(counts) - counts
+        total = counts[short].astype(np.uint64)
+        for i in range(4):
+            there = counts[short] > i
+            total[there] += hashes[begin[short][there] + i] * _FIVE[i]
+        out, of = np.concatenate([out, mix64(total)]), np.concatenate([of, short])
+    return out, of
