@@ -1,9 +1,10 @@
 """The queries of the ten operators and their SQL."""
 
-from glossa.llm import op1_mixing, op3_secrets, op4_media, op5_decontamination, op6_quality, op7_html, op8_pii, op9_sharding, op10_warc
+from glossa.llm import op1_mixing, op2_jaccard, op3_secrets, op4_media, op5_decontamination, op6_quality, op7_html, op8_pii, op9_sharding, op10_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing.op1_mixing,
+    "op2_jaccard": op2_jaccard.op2_jaccard,
     "op3_secrets": op3_secrets.op3_secrets,
     "op4_media": op4_media.op4_media,
     "op5_decontamination": op5_decontamination.op5_decontamination,
