@@ -60,8 +60,8 @@ def _boundary(cells: DataFrame, keys: list[str], cell: str) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, repeats, text_key for each row of docs (doc_id, text, source).
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), max_epochs: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, repeats and the columns `keep` for each row of docs (doc_id, text, source).
 
     A source takes floor(target / size) whole repetitions of every document and, for the rest, the documents of
     smallest seeded key up to the wanted words: a histogram of 4096 key cells a source finds the cell in which the
@@ -70,10 +70,10 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0,
     all its rows. Null sources form one source, null and empty texts have size 0 and are taken 0 times, repeated
     rows share their fate. Rows with no words at all give target 0.
     """
-    sized = written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key")).withColumn("key", _key(seed)),
-        "mix-sizes",
-    )
+    text_key = F.md5(F.coalesce("text", F.lit(""))).alias("text_key")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_key, F.struct(F.lit(0), *keep).alias("kept"))
+    rows = rows.withColumn("key", _key(seed)).drop("text_key")
+    sized = written(rows.drop("kept"), "mix-sizes")
     sources = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     plan = water_fill(source_weights(sources, weights), share, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -91,9 +91,10 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0,
     two = _boundary(inner, ["s"], "c2").select("s", "c1", "c2", (F.col("need") - F.col("before") >= F.col("upto") - F.col("need")).alias("last"))
     bounds = two.withColumn("bound", F.col("c1") * CELLS + F.col("c2") + F.col("last").cast("int")).select(F.col("s").alias("b"), "bound")
     plan = written(plan.join(bounds, F.col("s").eqNullSafe(F.col("b")), "left").select("s", "source_size", "target", "whole", F.coalesce("bound", F.lit(0)).alias("bound")), "mix-bounds")
-    out = sized.join(small(plan), same, "left")
+    out = (rows if keep else sized.withColumn("kept", F.struct(F.lit(0)))).join(small(plan), same, "left")
     repeats = F.col("whole") + (_cell(1) * CELLS + _cell(4) < F.col("bound")).cast("long")
-    return out.select("doc_id", "size", "source", "source_size", "target", (repeats * F.col("size")).alias("taken"), F.when(F.col("size") > 0, repeats).otherwise(0).alias("repeats"), "text_key")
+    repeats = F.when(F.col("size") > 0, repeats).otherwise(0)
+    return out.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

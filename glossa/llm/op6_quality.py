@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import slices, words, written
+from glossa.llm.common import slices, small, words, written
 
 STATS = [
     "log_words", "log_bytes", "word_bytes", "upper", "digits", "marks", "symbols", "bars", "stops", "beyond_ascii", "lines", "line_repeats",
@@ -89,19 +89,6 @@ def statistics(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def add_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats (array of the STATS) for each row of docs (doc_id, text)."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, raw, ends in slices(batch.column(1)):
-                stats = statistics(raw, ends).astype(np.float64)
-                lists = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, len(STATS), dtype=np.int32), pa.array(stats.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["doc_id", "stats"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, "doc_id long, stats array<double>")
-
-
 def rest(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
@@ -140,17 +127,28 @@ def isotonic(x: np.ndarray, y: np.ndarray, bins: int = 400) -> tuple[np.ndarray,
     return knots, np.repeat([(b[0] + 0.5) / (b[1] + 1) for b in blocks], 2)
 
 
-def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: int = 256, width: float = 4.0, ridge: float = 1e-3, seed: int = 5) -> Model | None:
-    """A Model from the labelled rows whose rest is not 2: at most `most_rows` of them, those of smallest hashed doc_id.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: int = 256, width: float = 4.0, ridge: float = 1e-3, seed: int = 5) -> Model | None:
+    """A Model from the labelled documents (doc_id, text) whose rest is not 2; about `most_rows` of them, those of smallest hashed doc_id.
 
     A fifth of them calibrates, the others give the normal equations, summed on each partition and then by cell.
     None without labelled rows.
     """
     marks = labels.filter((rest(F.col("doc_id")) != 2) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     order = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
-    marks = marks.select("doc_id", "y", order.alias("o"))
-    marks = marks.orderBy("o", "doc_id").limit(most_rows)
-    rows = written(stats.join(marks, "doc_id").select("stats", "y", (F.col("o") % 5 == 0).alias("later")), "quality-fit")
+    marks = written(marks.select(F.col("doc_id").alias("marked"), "y", order.alias("o")), "quality-marks")
+    n = marks.count()
+    marks = marks.filter(F.col("o") < 2**32 * min(1.0, most_rows / max(n, 1)))
+    chosen = docs.select("doc_id", "text").join(small(marks), F.col("doc_id") == F.col("marked"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, ends in slices(batch.column(0)):
+                stats = statistics(raw, ends)
+                lists = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, len(STATS), dtype=np.int32), pa.array(stats.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(i, j - i) for k in (1, 2))], names=["stats", "y", "later"])
+
+    rows = chosen.select("text", "y", (F.col("o") % 5 == 0).alias("later")).mapInArrow(measure, "stats array<double>, y double, later boolean")
+    rows = written(rows, "quality-fit")
     one = rows.select(*(x for i in range(len(STATS)) for x in (F.avg(F.col("stats")[i]), F.stddev_pop(F.col("stats")[i]))), F.count(F.lit(1))).first()
     if not one[-1]:
         return None
@@ -181,23 +179,25 @@ def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000, features:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs (doc_id, text).
+def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns `keep` for each row of docs (doc_id, text), in one pass after the fit.
 
     Only statistics of the whole text enter a score. Null and empty texts have zeros as statistics and are scored
     like others; null ids are never held out; repeated rows stay. Without labels the score is 1 for all.
     """
-    stats = written(add_statistics(docs), "quality-stats")
-    model = fit(stats, labels, **options)
+    model = fit(docs, labels, **options)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0), *keep).alias("kept"))
+    schema = f"doc_id long, score double, kept {rows.schema['kept'].dataType.simpleString()}"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), float).reshape(-1, len(STATS))
-            values = model.score(x) if model else np.ones(len(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(values, 9))], names=["doc_id", "score"])
+            for i, j, raw, ends in slices(batch.column(1)):
+                values = model.score(statistics(raw, ends)) if model else np.ones(j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.round(values, 9)), batch.column(2).slice(i, j - i)], names=["doc_id", "score", "kept"])
 
-    scored = stats.mapInArrow(apply, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(rest(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(apply, schema)
+    held_out = F.coalesce(rest(F.col("doc_id")) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
