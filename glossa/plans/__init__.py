@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "modelling"]
+MODULES = ["evaluation", "modelling", "deciding", "corpus"]
 
 
 def load() -> None:
