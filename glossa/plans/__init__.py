@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "modelling", "deciding", "corpus"]
+MODULES = ["evaluation", "modelling", "deciding", "corpus", "scoring"]
 
 
 def load() -> None:
