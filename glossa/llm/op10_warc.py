@@ -212,13 +212,14 @@ def read_archives(archives: DataFrame, with_html: bool = False) -> DataFrame:
 def archive_pages(pages: DataFrame, samples: int = 200, sample_chars: int = 8192) -> DataFrame:
     """Writes a record for each of pages to archives in the shared folder and returns these (archive_id, data).
 
-    Only the dictionary is fitted on a sample: the first sample_chars characters of the `samples` pages of smallest
-    hashed page_id. Null pages have an empty payload; null page_ids give records without a number; repeated rows give
-    repeated records; no pages give no archives.
+    Only the dictionary is fitted on a sample: the first sample_chars characters of about `samples` pages, those of
+    smallest hashed page_id. Null pages have an empty payload; null page_ids give records without a number; repeated
+    rows give repeated records; no pages give no archives.
     """
     order = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
-    texts = pages.select(order.alias("o"), F.substring(F.coalesce("html", F.lit("")), 1, sample_chars).alias("t")).orderBy("o").limit(samples).collect()
-    dictionary = train_dictionary([r["t"].encode() for r in texts])
+    some = pages.filter(order < 2**32 * min(1.0, samples / max(pages.count(), 1)))
+    texts = some.select(F.substring(F.coalesce("html", F.lit("")), 1, sample_chars)).limit(2 * samples).collect()
+    dictionary = train_dictionary([r[0].encode() for r in texts])
     return written(write_archives(plan_records(pages), dictionary), "warc")
 
 
