@@ -58,7 +58,7 @@ KEPT = ["eng_Latn", "fra_Latn", "spa_Latn", "deu_Cyrl"]
 
 @query(
     SAMPLE_SQL + ", k AS (SELECT * FROM l WHERE y IN ('eng_Latn', 'fra_Latn', 'spa_Latn', 'deu_Cyrl'))" + classes_sql(source="k")
-    + ", o AS (SELECT model, count(*) AS outside FROM k WHERE pred NOT IN ('eng_Latn', 'fra_Latn', 'spa_Latn', 'deu_Cyrl') GROUP BY model)"
+    + ", o AS (SELECT model, count(*) FILTER (WHERE pred NOT IN ('eng_Latn', 'fra_Latn', 'spa_Latn', 'deu_Cyrl')) AS outside FROM k GROUP BY model)"
     + " SELECT model, label, support, tp, fp, fn, round(f1, 9) AS f1, outside FROM pc JOIN o USING (model) WHERE label IN ('eng_Latn', 'fra_Latn', 'spa_Latn', 'deu_Cyrl')"
 )
 def metrics_label_set(spark, sf_dir):
