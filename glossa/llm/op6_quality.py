@@ -127,7 +127,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, bins: int = 400) -> tuple[np.ndarray,
     return knots, np.repeat([(b[0] + 0.5) / (b[1] + 1) for b in blocks], 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: int = 256, width: float = 4.0, ridge: float = 1e-3, seed: int = 5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: int = 256, width: float = 4.0, ridge: float = 1e-2, seed: int = 5) -> Model | None:
     """A Model from the labelled documents (doc_id, text) whose rest is not 2; about `most_rows` of them, those of smallest hashed doc_id.
 
     A fifth of them calibrates, the others give the normal equations, summed on each partition and then by cell.
