@@ -186,18 +186,22 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, keep: tuple[st
     like others; null ids are never held out; repeated rows stay. Without labels the score is 1 for all.
     """
     model = fit(docs, labels, **options)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0), *keep).alias("kept"))
-    schema = f"doc_id long, score double, kept {rows.schema['kept'].dataType.simpleString()}"
+    others = [c for c in keep if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0), *others).alias("kept"))
+    schema = f"doc_id long, score double, kept {rows.schema['kept'].dataType.simpleString()}, text string"
+    with_text = "text" in keep
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, ends in slices(batch.column(1)):
                 values = model.score(statistics(raw, ends)) if model else np.ones(j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.round(values, 9)), batch.column(2).slice(i, j - i)], names=["doc_id", "score", "kept"])
+                ids, text, kept = (batch.column(k).slice(i, j - i) for k in range(3))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.round(values, 9)), kept, text if with_text else pa.nulls(j - i, pa.string())], names=["doc_id", "score", "kept", "text"])
 
     scored = rows.mapInArrow(apply, schema)
     held_out = F.coalesce(rest(F.col("doc_id")) == 2, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"))
+    out = scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "text", *(F.col(f"kept.{c}").alias(c) for c in others))
+    return out if with_text else out.drop("text")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
