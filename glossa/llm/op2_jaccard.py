@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from glossa.llm.common import shingles, slices, small, words, written
 from glossa.llm.components import components
 
-SHARED = 4  # tokens that two linked sets share at least in their prefixes, unless they have fewer
+STEP = 1.1  # sizes within a class of sizes differ by less than this factor
+
+
+def common_prefix(n):
+    """How many tokens two linked sets, the smaller one of n, share at least in their prefixes (all they share, if fewer)."""
+    return 4 + n // 20
 
 
 def distinct_shingles(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,8 +38,8 @@ def set_ids(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: np.ndarray | int):
-    """Smallest tokens of a set of n that hold SHARED of those it shares with any set it links with: n - ceil(0.8 n) + SHARED."""
-    return n - (4 * n + 4) // 5 + SHARED
+    """n - ceil(0.8 n) + common_prefix(n): the first that many tokens hold the first common_prefix of those shared with any linked set."""
+    return n - (4 * n + 4) // 5 + common_prefix(n)
 
 
 def common_tokens(docs: DataFrame, part: int = 16, line: int = 6, most: int = 1_000_000) -> np.ndarray:
@@ -83,101 +88,147 @@ def alike_in_size(n: str, m: str) -> Column:
     return (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n))
 
 
-def needed(*sizes: str) -> Column:
+def needed(smaller: Column, larger: Column) -> Column:
     """Shared prefix tokens without which two sets of these sizes can't link."""
-    largest = F.greatest(*map(F.col, sizes)) if len(sizes) > 1 else F.col(sizes[0])
-    return F.least(F.lit(SHARED), F.floor((4 * largest + 4) / 5))
+    return F.least(4 + F.floor(smaller / 20), F.floor((4 * larger + 4) / 5))
+
+
+def pruned(matrix: DataFrame) -> DataFrame:
+    """The matrix without the sets that share too few tokens with all others together, and then without tokens of one group only."""
+    n = F.first("n")
+    enough = matrix.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"), n.alias("n"))
+    enough = enough.filter(F.col("shared") >= needed(F.ceil(0.8 * F.col("n")), F.col("n"))).select("sid", (F.col("shared") / F.col("n")).alias("central"))
+    rows = written(matrix.drop("central").join(enough, "sid"), "jaccard-enough")
+    split = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("token")
+    return written(rows.join(split, "token"), "jaccard-matrix")
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids with 100 * intersection >= 80 * union, by their whole sets, read again from the texts."""
-    pairs = written(pairs.select("a", "b"), "jaccard-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", F.col("rep").alias("d")), "sid")
-    texts = docs.select("doc_id", "text").join(small(wanted.select(F.col("d"), F.col("sid").alias("s")), 1_000_000), F.col("doc_id").eqNullSafe(F.col("d")))
+def whole_sets(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, tokens) of the wanted sids, made again from the texts: 48 bits of each token, sorted."""
+    at = wanted.select("sid").distinct().join(sets.select("sid", "rep"), "sid").select(F.col("rep").alias("d"), F.col("sid").alias("s"))
+    texts = docs.select("doc_id", "text").join(small(written(at, "jaccard-wanted"), 1_000_000), F.col("doc_id").eqNullSafe(F.col("d")))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, ends in slices(batch.column(0)):
                 codes, bounds = distinct_shingles(raw, ends)
                 own = set_ids(codes, bounds)
-                asked = batch.column(1).slice(i, j - i).to_numpy()
-                good = np.flatnonzero(own == asked)
+                good = np.flatnonzero(own == batch.column(1).slice(i, j - i).to_numpy())
                 octets = codes.view(np.uint8).reshape(-1, 8)[:, 2:]
                 packed = [octets[bounds[r] : bounds[r + 1]].tobytes() for r in good]
                 yield pa.RecordBatch.from_arrays([pa.array(own[good]), pa.array(packed, pa.binary())], names=["sid", "tokens"])
 
-    # 48 bits of each token, sorted
-    whole = texts.select("text", "s").mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    whole = written(whole, "jaccard-sets")
+    found = texts.select("text", "s").mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    return written(found, "jaccard-sets")
+
+
+def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids with 100 * intersection >= 80 * union, by their whole sets."""
     left = whole.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
     right = whole.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
 
-    def unpack(data: bytes) -> np.ndarray:
-        out = np.zeros((len(data) // 6, 8), np.uint8)
-        out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return out.view(np.uint64).ravel()
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, held, kept = [], None, None
             for r in range(batch.num_rows):
                 x, y = batch.column(2)[r].as_py(), batch.column(3)[r].as_py()
                 if held != y:
-                    held, kept = y, unpack(y)
-                u = unpack(x)
+                    held, kept = y, _unpack(y)
+                u = _unpack(x)
                 at = np.minimum(np.searchsorted(kept, u), len(kept) - 1)
                 both = int((kept[at] == u).sum())
                 if 100 * both >= 80 * (len(u) + len(kept) - both):
                     good.append(r)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return written(joined.mapInArrow(compare, "a long, b long"), "jaccard-links")
 
 
 def leaders(matrix: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each set the one of another group that heads most of its tokens, in an order of sets that `turn` sets."""
-    head = matrix.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("order"), F.col("sid").alias("head"), F.col("grp").alias("head_grp"), F.col("n").alias("m"))).alias("h"))
+    """(a, b): for each set the one of another group that heads most of its tokens.
+
+    A token's head is the set with the largest share of tokens that others have too, as the original of many near
+    copies has; `turn` breaks ties. Which sets are compared here only decides how much is left for open_groups.
+    """
+    head = matrix.groupBy("token").agg(F.min(F.struct((-F.col("central")).alias("order"), F.xxhash64("sid", F.lit(turn)).alias("then"), F.col("sid").alias("head"), F.col("grp").alias("head_grp"), F.col("n").alias("m"))).alias("h"))
     near = matrix.join(head.select("token", "h.head", "h.head_grp", "h.m"), "token").filter((F.col("grp") != F.col("head_grp")) & alike_in_size("n", "m"))
-    shares = near.groupBy("sid", "head").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= needed("n"))
+    shares = near.groupBy("sid", "head").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= F.least(F.lit(4), F.ceil(0.8 * F.col("n"))))
     return shares.groupBy("sid").agg(F.max(F.struct("shared", "head")).alias("best")).select(F.col("sid").alias("a"), F.col("best.head").alias("b"))
 
 
 def regroup(matrix: DataFrame, links: DataFrame) -> DataFrame:
-    """The matrix rows with their groups, the components of the links so far, of the tokens that two groups at least have."""
+    """The matrix rows with their groups, the components of the links so far, of the sets and tokens that still matter."""
     groups = components(links)
     named = matrix.drop("grp").join(groups, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("grp"))
     named = written(named, "jaccard-grouped")
     split = named.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("token")
-    return written(named.join(split, "token"), "jaccard-matrix")
+    return pruned(named.join(split, "token"))
 
 
-def open_groups(matrix: DataFrame) -> DataFrame:
-    """(a, b): sets of different groups that may link.
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(STEP)) + 1e-9).cast("int")
 
-    The token-group matrix has the union of each group's tokens and the span of its set sizes. A set can link with a
-    member only if it shares `needed` tokens with the union and its size fits the span; only such groups are opened,
-    and of their members only those that share as many tokens and fit in size.
+
+def held_by_others(rows: DataFrame) -> DataFrame:
+    """(sid, other, cover): how many of a set's tokens (rows: token, sid, grp, class) another group has in each size class.
+
+    The token-group matrix has, for each token and size class, the least and the largest group that holds it; a set's
+    own group doesn't count. Sizes that a link allows differ by at most 1.25, so classes by at most three.
+    """
+    column = rows.groupBy("token", F.col("class").alias("other")).agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    held = rows.join(column, "token").filter((F.abs(F.col("other") - F.col("class")) <= 3) & ((F.col("lo") != F.col("grp")) | (F.col("hi") != F.col("grp"))))
+    return held.groupBy("sid", "other").agg(F.count(F.lit(1)).alias("cover"))
+
+
+def open_groups(matrix: DataFrame, docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of sets of different groups that may link, and the whole sets of all that were looked at.
+
+    A set is bounded against the union of the other groups' tokens in each size class: first by prefix tokens, of
+    which a link needs common_prefix, then, where that passes, by all its tokens, of which a link between sets of n
+    and m needs 4 / 9 (n + m). Only what passes both is opened: of the members of such a class those for which the
+    asking set's own class has passed as well, and that share common_prefix tokens with it.
     """
-    union = matrix.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("grp", "other")
-    fits = (F.col("grp") < F.col("other")) & (5 * F.col("high") >= 4 * F.col("n")) & (5 * F.col("n") >= 4 * F.col("low"))
-    bound = matrix.join(union, "token").filter(fits).groupBy("sid", "other").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    opened = written(bound.filter(F.col("shared") >= needed("n")).select("sid", "other"), "jaccard-opened")
-    asking = matrix.join(opened, "sid").select(F.col("sid").alias("a"), "n", "token", "other")
-    members = matrix.select(F.col("sid").alias("b"), F.col("n").alias("m"), "token", F.col("grp").alias("other"))
-    pairs = asking.join(members, ["token", "other"]).filter(alike_in_size("n", "m"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("m").alias("m")).filter(F.col("shared") >= needed("n", "m")).select("a", "b")
+    rows = matrix.withColumn("class", size_class(F.col("n")))
+    least = F.greatest(F.ceil(F.pow(F.lit(STEP), "other") - 1e-6), F.ceil(0.8 * F.col("n")))
+    by_set = rows.select("sid", "n", "grp", "class").distinct()
+    first = held_by_others(rows).join(by_set, "sid").filter(F.col("cover") >= needed(F.least("n", least), F.greatest("n", least)))
+    asked = written(first.select("sid", "n", "grp", "class").distinct(), "jaccard-asked")
+    whole = whole_sets(asked, docs, sets)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                codes = _unpack(batch.column(3)[r].as_py()).view(np.int64)
+                same = [pa.array(np.full(len(codes), batch.column(k)[r].as_py(), np.int32 if k == 2 else np.int64)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(codes)], names=["sid", "grp", "class", "token"])
+
+    tokens = asked.select("sid", "grp", "class").join(whole, "sid").select("sid", "grp", "class", "tokens").mapInArrow(explode, "sid long, grp long, class int, token long")
+    second = held_by_others(written(tokens, "jaccard-whole")).join(asked, "sid").filter(9 * F.col("cover") >= 4 * (F.col("n") + least))
+    passed = written(second.select("sid", "class", "other"), "jaccard-passed")
+
+    open_rows = matrix.join(passed, "sid").select("token", "sid", "n", "grp", "class", "other")
+    members = open_rows.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("grp").alias("grp_b"), F.col("class").alias("other"), F.col("other").alias("class"))
+    pairs = open_rows.withColumnRenamed("sid", "a").join(members, ["token", "class", "other"]).filter((F.col("grp") < F.col("grp_b")) & alike_in_size("n", "m"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return pairs.filter(F.col("shared") >= needed(F.least("n", "m"), F.greatest("n", "m"))).select("a", "b"), whole
 
 
 def jaccard_join(docs: DataFrame, turns: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); links are at 0.8 or more by five-word shingles.
 
     1. Equal sets (by 64-bit ids) are one from here on, however many copies there are.
-    2. Tokens are ordered, common ones last; two sets that link share SHARED tokens of their prefixes (fewer only if
-       they are smaller). So tokens of one set only are dropped, and the rest, by set, is the matrix.
+    2. Tokens are ordered, common ones last; two sets that link share common_prefix tokens of their prefixes. So tokens of one set only are dropped, and the rest, by set, is the matrix.
     3. Groups: `turns` times each set is compared with one leader, and linked sets become one group, so a large group
        of near copies is never paired with itself.
-    4. The matrix of tokens and groups then gives all that is left between different groups; see open_groups.
+    4. The token-group matrix then bounds what is left between different groups, and only what passes is opened; see
+       open_groups.
     Pairs are verified on whole texts. Null and empty texts have n_shingles 0 and stand alone; repeated rows are equal
     sets; null ids take part, and a component of them only has a null id.
     """
@@ -188,14 +239,15 @@ def jaccard_join(docs: DataFrame, turns: int = 2) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
     matrix = written(tokens.join(shared.hint("shuffle_hash"), "token").select("token", "sid"), "jaccard-shared")
     sets = written(all_sets.groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")), "jaccard-reps")
-    matrix = written(matrix.join(sets.select("sid", "n"), "sid").withColumn("grp", F.col("sid")), "jaccard-matrix")
+    matrix = pruned(matrix.join(sets.select("sid", "n"), "sid").withColumn("grp", F.col("sid")))
 
     links = None
     for turn in range(turns):
-        found = verified(leaders(matrix, turn), docs, sets)
+        pairs = written(leaders(matrix, turn), "jaccard-leaders")
+        found = verified(pairs, whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs, sets))
         links = found if links is None else links.union(found)
         matrix = regroup(matrix, links)
-    links = links.union(verified(open_groups(matrix), docs, sets))
+    links = links.union(verified(*open_groups(matrix, docs, sets)))
 
     groups = components(links).join(sets.select("sid", "rep"), F.col("node") == F.col("sid"))
     names = written(groups.groupBy("root").agg(F.min("rep").alias("component")), "jaccard-names")
