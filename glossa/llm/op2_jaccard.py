@@ -151,14 +151,21 @@ def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return written(joined.mapInArrow(compare, "a long, b long"), "jaccard-links")
 
 
-def leaders(matrix: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each set the one of another group that heads most of its tokens.
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(STEP)) + 1e-9).cast("int")
+
 
-    A token's head is the set with the largest share of tokens that others have too, as the original of many near
-    copies has; `turn` breaks ties. Which sets are compared here only decides how much is left for open_groups.
+def leaders(matrix: DataFrame, turn: int, above: int) -> DataFrame:
+    """(a, b): for each set the one of another group that heads most of its tokens in the size class `above` its own.
+
+    A token's head in a size class is the set with the largest share of tokens that others have too, as the original
+    of many near copies has; `turn` breaks ties. Which sets are compared here only decides how much is left for
+    open_groups.
     """
-    head = matrix.groupBy("token").agg(F.min(F.struct((-F.col("central")).alias("order"), F.xxhash64("sid", F.lit(turn)).alias("then"), F.col("sid").alias("head"), F.col("grp").alias("head_grp"), F.col("n").alias("m"))).alias("h"))
-    near = matrix.join(head.select("token", "h.head", "h.head_grp", "h.m"), "token").filter((F.col("grp") != F.col("head_grp")) & alike_in_size("n", "m"))
+    rows = matrix.withColumn("class", size_class(F.col("n")))
+    head = rows.groupBy("token", "class").agg(F.min(F.struct((-F.col("central")).alias("order"), F.xxhash64("sid", F.lit(turn)).alias("then"), F.col("sid").alias("head"), F.col("grp").alias("head_grp"), F.col("n").alias("m"))).alias("h"))
+    head = head.select("token", (F.col("class") - above).alias("class"), "h.head", "h.head_grp", "h.m")
+    near = rows.join(head, ["token", "class"]).filter((F.col("grp") != F.col("head_grp")) & alike_in_size("n", "m"))
     shares = near.groupBy("sid", "head").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= F.least(F.lit(4), F.ceil(0.8 * F.col("n"))))
     return shares.groupBy("sid").agg(F.max(F.struct("shared", "head")).alias("best")).select(F.col("sid").alias("a"), F.col("best.head").alias("b"))
 
@@ -172,10 +179,6 @@ def regroup(matrix: DataFrame, links: DataFrame) -> DataFrame:
     return pruned(named.join(split, "token"))
 
 
-def size_class(n: Column) -> Column:
-    return F.floor(F.log(n) / F.log(F.lit(STEP)) + 1e-9).cast("int")
-
-
 def held_by_others(rows: DataFrame) -> DataFrame:
     """(sid, other, cover): how many of a set's tokens (rows: token, sid, grp, class) another group has in each size class.
 
@@ -220,13 +223,13 @@ def open_groups(matrix: DataFrame, docs: DataFrame, sets: DataFrame) -> tuple[Da
     return pairs.filter(F.col("shared") >= needed(F.least("n", "m"), F.greatest("n", "m"))).select("a", "b"), whole
 
 
-def jaccard_join(docs: DataFrame, turns: int = 2) -> DataFrame:
+def jaccard_join(docs: DataFrame, turns: tuple[int, ...] = (0, 1)) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); links are at 0.8 or more by five-word shingles.
 
     1. Equal sets (by 64-bit ids) are one from here on, however many copies there are.
     2. Tokens are ordered, common ones last; two sets that link share common_prefix tokens of their prefixes. So tokens of one set only are dropped, and the rest, by set, is the matrix.
-    3. Groups: `turns` times each set is compared with one leader, and linked sets become one group, so a large group
-       of near copies is never paired with itself.
+    3. Groups: each set is compared with one leader of its size class, then of the next one (`turns`), and linked sets
+       become one group, so a large group of near copies isn't paired with itself.
     4. The token-group matrix then bounds what is left between different groups, and only what passes is opened; see
        open_groups.
     Pairs are verified on whole texts. Null and empty texts have n_shingles 0 and stand alone; repeated rows are equal
@@ -242,8 +245,8 @@ def jaccard_join(docs: DataFrame, turns: int = 2) -> DataFrame:
     matrix = pruned(matrix.join(sets.select("sid", "n"), "sid").withColumn("grp", F.col("sid")))
 
     links = None
-    for turn in range(turns):
-        pairs = written(leaders(matrix, turn), "jaccard-leaders")
+    for turn, above in enumerate(turns):
+        pairs = written(leaders(matrix, turn, above), "jaccard-leaders")
         found = verified(pairs, whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs, sets))
         links = found if links is None else links.union(found)
         matrix = regroup(matrix, links)

@@ -129,7 +129,7 @@ def test_jaccard_against_all_pairs(spark, monkeypatch):
     assert sorted(tuple(r) for r in op2_jaccard.jaccard_join(df).collect()) == wanted
     # the order of tokens and the leaders steer the work only
     monkeypatch.setattr(op2_jaccard, "common_tokens", lambda docs: np.zeros(0, np.uint64))
-    monkeypatch.setattr(op2_jaccard, "leaders", lambda matrix, turn: matrix.selectExpr("sid AS a", "sid AS b").filter("a <> b"))
+    monkeypatch.setattr(op2_jaccard, "leaders", lambda matrix, turn, above: matrix.selectExpr("sid AS a", "sid AS b").filter("a <> b"))
     assert sorted(tuple(r) for r in op2_jaccard.jaccard_join(df).collect()) == wanted
 
 
