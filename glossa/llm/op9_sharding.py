@@ -59,17 +59,17 @@ def shard(docs: DataFrame, shards: int = 16, chunks: int = 4096, part_bytes: int
     rows = written(rows, "shard-rows")
     groups = written(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")), "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    heavy = F.col("bytes") * chunks >= total
-    item = F.when(heavy, F.col("text_key")).otherwise(F.pmod(F.xxhash64("text_key"), F.lit(chunks)).cast("string"))
-    groups = groups.withColumn("item", item)
-    items = groups.groupBy("item").agg(F.sum("bytes").alias("bytes")).collect()  # at most 2 * chunks rows
+    bucket = F.pmod(F.xxhash64("text_key"), F.lit(chunks)).cast("string")
+    groups = groups.withColumn("heavy", F.col("bytes") * chunks >= total)
+    groups = groups.withColumn("item", F.when(F.col("heavy"), F.col("text_key")).otherwise(bucket))
+    items = groups.groupBy("heavy", "item").agg(F.sum("bytes").alias("bytes")).collect()  # at most 2 * chunks rows
     items.sort(key=lambda r: (-r["bytes"], r["item"]))
     homes = differencing([r["bytes"] for r in items], shards)
-    table = docs.sparkSession.createDataFrame([(r["item"], h) for r, h in zip(items, homes, strict=True)], "item string, shard int")
-    heavy_keys = table.filter(F.length("item") == 32).select(F.col("item").alias("heavy_key"))
+    table = docs.sparkSession.createDataFrame([(r["heavy"], r["item"], h) for r, h in zip(items, homes, strict=True)], "heavy boolean, item string, shard int")
+    heavy_keys = table.filter("heavy").select(F.col("item").alias("heavy_key"))
     rows = rows.join(F.broadcast(heavy_keys), F.col("text_key") == F.col("heavy_key"), "left")
-    rows = rows.withColumn("item", F.coalesce("heavy_key", F.pmod(F.xxhash64("text_key"), F.lit(chunks)).cast("string")))
-    rows = rows.join(F.broadcast(table), "item").drop("item", "heavy_key")
+    rows = rows.withColumn("item", F.coalesce("heavy_key", bucket))
+    rows = rows.join(F.broadcast(table.drop("heavy")), "item").drop("item", "heavy_key")
     parts = max(64, total // (shards * part_bytes) + 1)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(parts)))
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))

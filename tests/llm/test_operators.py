@@ -293,6 +293,20 @@ def test_sharding(spark, odd, none):
     assert op9_sharding.shard(none).count() == 0
 
 
+def test_sharding_heavy_nulls(spark):
+    small_table = spark.createDataFrame([(1, None), (2, "a"), (3, "b" * 50)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in op9_sharding.shard(small_table).collect()) == [1, 2, 3]
+    # 3000 null rows of size 1 and 2000 texts of 6 bytes or less: the null group is one item, and balance counts it
+    many = spark.range(5000).selectExpr("id AS doc_id", "if(id < 3000, NULL, 't' || id) AS text")
+    rows = op9_sharding.shard(many, shards=4, chunks=512).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(5000))
+    assert len({r["shard"] for r in rows if r["doc_id"] < 3000}) == 1
+    loads = collections.Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert len(loads) == 4 and max(loads.values()) - min(loads.values()) <= 0.01 * max(loads.values())
+
+
 def test_differencing_is_tight():
     sizes = [random.Random(i).randint(1, 10_000) for i in range(400)]
     homes = op9_sharding.differencing(sizes, 16)
