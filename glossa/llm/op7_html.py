@@ -22,7 +22,10 @@ NOT_TEXT_WORDS = set(
     "comment comments reply replies disqus respond cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login search share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar contentinfo complementary dialog".split()
 )
+# Words that don't change what a listed word beside them says ("site-header", "comment-list").
+BESIDE = set("site box bar list links buttons".split())
 ARTICLE = {"article", "main"}
+NEVER_BARRED = {"html", "body", *ARTICLE}
 ARTICLE_WORDS = set("article main content post entry story".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -31,7 +34,8 @@ CLOSED_BY = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {
 HOLDERS = set("html body div section article main nav header footer aside form ul ol dl table tbody thead tfoot blockquote figure details fieldset".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|"
+    r"""<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*/>|"""
+    r"<(script|style|noscript|template|textarea|title|svg|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|"
     r"""<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""",
     re.S | re.I,
 )
@@ -39,6 +43,12 @@ MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 NOT_LETTERS = re.compile(r"[^a-z]+")
 
 
+def bars(name: str) -> bool:
+    """Whether a class, id or role (lower case) says that an element holds no article: all its words do, or stand beside one that does."""
+    parts = [w for w in NOT_LETTERS.split(name) if w]
+    return not NOT_TEXT_WORDS.isdisjoint(parts) and all(w in NOT_TEXT_WORDS or w in BESIDE for w in parts)
+
+
 def blocks(page: str | None) -> Iterator[tuple[str, str]]:
     """(path, text) of each block with text, in page order; a path names the open elements with their class words, "!" before those that hold no article."""
     stack: list[tuple[str, str]] = []
@@ -82,8 +92,9 @@ def blocks(page: str | None) -> Iterator[tuple[str, str]]:
                     if stack[i][0] in HOLDERS:
                         break
             attributes = m[4] or m[7] or ""
-            marks = [w for found in MARKS.findall(attributes) for w in NOT_LETTERS.split("".join(found).lower()) if w] if attributes else []
-            bad = name in NOT_TEXT or not NOT_TEXT_WORDS.isdisjoint(marks)
+            names = [n for found in MARKS.findall(attributes) for n in "".join(found).lower().split()] if attributes else []
+            marks = [w for n in names for w in NOT_LETTERS.split(n) if w]
+            bad = name in NOT_TEXT or (name not in NEVER_BARRED and any(map(bars, names)))
             stack.append((name, ("!" if bad else "") + ".".join([name, *dict.fromkeys(marks)])))
         path = ">".join(label for _, label in stack)
     if text := done():
@@ -142,6 +153,9 @@ def choose(wrapper: list[tuple[str, bool, bool]], chars: dict[str, float]) -> li
     if named:
         return sorted(set(elements or named))
     free = {t[0]: chars.get(t[0], 0.0) for t in wrapper if "!" not in t[0]}
+    if not free:  # class words alone don't reject all that there is
+        by_tag = lambda path: any(x[0] == "!" and x[1:].split(".")[0] in NOT_TEXT for x in path.split(">") if x)
+        free = {t[0]: chars.get(t[0], 0.0) for t in wrapper if not by_tag(t[0])}
     total = sum(free.values())
     root = ""
     while free:

@@ -271,6 +271,26 @@ def test_html(spark, none):
     assert op7_html.extract(df).count() == len(pages) and op7_html.extract(df.limit(0)).count() == 0
 
 
+ARTICLES = {
+    "body class": "<body class='single has-sidebar'><div><p>one two<p>three</div>",
+    "main class": "<body><main class='content header-fixed'><p>one two<p>three</main>",
+    "article class": "<body><nav>n</nav><article class='post no-comments'><p>one two<p>three</article>",
+    "listed word": "<body><article class='comments'><p>one two<p>three</article>",
+    "entry header": "<body><article><div class='entry-header'><h1>one two</h1></div><p>three</article>",
+    "svg": "<body><article><svg viewBox='0 > 1' /><p>one two<svg/><p>three</article>",
+    "svg content": "<body><article><p>one two<svg><text>x</text></svg><p>three</article>",
+    "custom element": "<body><article><title-bar>one two</title-bar><p>three</article>",
+    "all under a word": "<body><div class='header'><p>one two<p>three</div>",
+    "still dropped": "<body><article><p>one two<p>three<div class='cookie-notice'>c</div><div class='x site-header'>s</div></article><div class=comments>d</div>",
+}
+
+
+def test_html_class_words_and_raw_text(spark):
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", page) for i, page in enumerate(ARTICLES.values())], "page_id long, url string, html string")
+    rows = {r["page_id"]: r["text"] for r in op7_html.extract(df).collect()}
+    assert {name: rows[i] for i, name in enumerate(ARTICLES)} == {name: "one two\n\nthree" for name in ARTICLES}
+
+
 def test_wrapper_alignment():
     one = op7_html.parse_stream('["a", "b+", "c"]')
     two = op7_html.parse_stream('["a", "b", "x", "c"]')
