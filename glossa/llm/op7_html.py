@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -146,8 +147,28 @@ def is_article(path: str) -> bool:
     return not any(x.startswith("!") for x in labels) and any(x.split(".")[0] in ARTICLE or not ARTICLE_WORDS.isdisjoint(x.split(".")[1:]) for x in labels)
 
 
+def text_slot(path: str, text: str) -> int:
+    """A 64-bit hash of a block's path and text."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def with_text(path: str, slot: int) -> str:
+    """The token of a block whose text is a host's constant one; no path has a space."""
+    return f"{path} {slot}"
+
+
+def template(wrapper: list[tuple[str, bool, bool]]) -> list[int]:
+    """The constant texts that the wrapper has in every page: tokens with a text that alignment didn't make optional."""
+    return sorted({int(t[0].rpartition(" ")[2]) for t in wrapper if " " in t[0] and not t[1]} - {int(t[0].rpartition(" ")[2]) for t in wrapper if " " in t[0] and t[1]})
+
+
 def choose(wrapper: list[tuple[str, bool, bool]], chars: dict[str, float]) -> list[str]:
-    """The text slots of the article: those in an article element; else those under the element that holds most text and yet most of its parent's."""
+    """The text slots of the article: those in an article element; else those under the element that holds most text and yet most of its parent's.
+
+    Template texts are none; a constant text that isn't at a fixed place of the wrapper is a slot like another.
+    """
+    fixed = {str(t) for t in template(wrapper)}
+    wrapper = [(t[0].partition(" ")[0], t[1], t[2]) for t in wrapper if t[0].partition(" ")[2] not in fixed]
     named = [t[0] for t in wrapper if t[0].split(">")[-1] and is_article(t[0])]
     elements = [p for p in named if any(x.split(".")[0] in ARTICLE for x in p.split(">"))]
     if named:
@@ -184,32 +205,66 @@ def _host() -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.col("url")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def page_streams(pages: DataFrame) -> DataFrame:
-    """host, stream (folded paths as JSON), slots (path, chars) of each page (url, html)."""
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of all blocks), paths, slots (hash of path and text), chars of the blocks of each page (url, html) that has any."""
+    schema = "host string, page long, paths array<string>, slots array<long>, chars array<long>"
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = list(blocks(page.as_py()))
+                slots = [text_slot(path, text) for path, text in own]
+                if own:
+                    rows.append((host, text_slot("", repr(slots)), [path for path, _ in own], slots, [len(text) for _, text in own]))
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "page", "paths", "slots", "chars"])
+
+    return pages.select(_host().alias("host"), "html").mapInArrow(found, schema)
+
+
+def constant_texts(found: DataFrame, least_pages: int) -> DataFrame:
+    """(h, fixed): the slots that all different pages of a host have, for hosts of at least `least_pages` of these.
+
+    Only one page's slots are looked for in the others, so few rows are counted and no host is gathered.
+    """
+    one = found.groupBy("host").agg(F.min_by("slots", "page").alias("first"), F.count_distinct("page").alias("n")).filter(F.col("n") >= least_pages)
+    one = written(one.select(F.col("host").alias("h"), "first", "n"), "html-first")
+    both = found.join(small(one, 10_000), F.col("host") == F.col("h")).select("h", "n", "page", F.explode(F.array_intersect("slots", "first")).alias("slot"))
+    shared = both.groupBy("h", "slot").agg(F.count_distinct("page").alias("pages"), F.first("n").alias("n")).filter("pages = n")
+    return written(shared.groupBy("h").agg(F.collect_list("slot").alias("fixed")), "html-constant")
+
+
+def page_streams(found: DataFrame, constant: DataFrame) -> DataFrame:
+    """host, stream (folded paths as JSON, constant texts beside theirs), paths, chars (of the other texts) of each page of page_blocks."""
     schema = "host string, stream string, paths array<string>, chars array<long>"
+    joined = found.join(small(constant, 10_000), F.col("host") == F.col("h"), "left").select("host", "paths", "slots", "chars", "fixed")
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, chars = [], {}
-                for path, text in blocks(page.as_py()):
-                    tokens.append(path)
-                    chars[path] = chars.get(path, 0) + len(text)
+            for host, paths, slots, lengths, fixed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fixed, tokens, chars = set(fixed or ()), [], {}
+                for path, slot, n in zip(paths, slots, lengths, strict=True):
+                    tokens.append(with_text(path, slot) if slot in fixed else path)
+                    chars[path] = chars.get(path, 0) + (0 if slot in fixed else n)
                 rows.append((host, json.dumps(fold(tokens)), list(chars), list(chars.values())))
             kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "stream", "paths", "chars"])
 
-    return pages.select(_host().alias("host"), "html").mapInArrow(streams, schema)
+    return joined.mapInArrow(streams, schema)
 
 
-def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, wrapper, slots): a wrapper as JSON of (path, optional, repeated) and the paths of its article slots.
+def infer(pages: DataFrame, salts: int = 32, least_pages: int = 10) -> DataFrame:
+    """(host, wrapper, slots, template): a wrapper as JSON of (path, optional, repeated), the paths of its article slots and the hashes of its template texts.
 
+    A text that stands on one path in all different pages of a host, of which there are `least_pages` or more, is a
+    token of its own in the streams; if it keeps a fixed place in the aligned wrapper, it is template text and no slot.
     Equal streams of a host count once, so its pages are never gathered; its different streams are aligned one after
     another in up to `salts` parts, and the parts' wrappers then with one another.
     """
-    streams = written(page_streams(pages), "html-streams")
+    found = written(page_blocks(pages), "html-blocks")
+    streams = written(page_streams(found, constant_texts(found, least_pages)), "html-streams")
     different = streams.select("host", "stream").distinct().withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -227,11 +282,12 @@ def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            slots = [choose([tuple(t) for t in json.loads(w)], dict(c) if c is not None else {}) for w, c in zip(rows["stream"], rows["chars"], strict=True)]
-            yield pd.DataFrame({"host": rows["host"], "wrapper": rows["stream"], "slots": slots})
+            wrappers = [[tuple(t) for t in json.loads(w)] for w in rows["stream"]]
+            slots = [choose(w, dict(c) if c is not None else {}) for w, c in zip(wrappers, rows["chars"], strict=True)]
+            yield pd.DataFrame({"host": rows["host"], "wrapper": rows["stream"], "slots": slots, "template": [template(w) for w in wrappers]})
 
-    found = wrappers.join(chars, "host", "left").mapInPandas(pick, "host string, wrapper string, slots array<string>")
-    return written(found, "html-wrappers")
+    picked = wrappers.join(chars, "host", "left").mapInPandas(pick, "host string, wrapper string, slots array<string>, template array<long>")
+    return written(picked, "html-wrappers")
 
 
 TEXTS = "page_id long, url string, text string, n_chars long"
@@ -240,23 +296,24 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html): the texts of the host's article slots, in page order.
 
-    A block is what stands between two tags that aren't inline. A page that has
-    none of them is read by its own stream. Null and empty pages have an empty text; pages without a host form one; repeated rows stay; a page's length isn't bounded.
+    A block is what stands between two tags that aren't inline; template texts of the host are left out. A page that
+    has none of the slots is read by its own stream. Null and empty pages have an empty text; pages without a host form one; repeated rows stay; a page's length isn't bounded.
     """
-    wrappers = infer(pages).select(F.col("host").alias("h"), "slots")
+    wrappers = infer(pages).select(F.col("host").alias("h"), "slots", "template")
     joined = pages.select("page_id", "url", "html", _host().alias("host")).join(small(wrappers), F.col("host") == F.col("h"), "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, slots in zip(batch.column(2), batch.column(3), strict=True):
+            for page, slots, fixed in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 wanted, own = set(slots.as_py() or ()), list(blocks(page.as_py()))
                 if own and not any(path in wanted for path, _ in own):
                     wanted = set(own_slots(own))
-                out.append("\n\n".join(text for path, text in own if path in wanted))
+                constant = set(fixed.as_py() or ())
+                out.append("\n\n".join(text for path, text in own if path in wanted and not (constant and text_slot(path, text) in constant)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "slots").mapInArrow(texts, TEXTS)
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "slots", "template").mapInArrow(texts, TEXTS)
 
 
 def op7_html(spark, sf_dir: str) -> DataFrame:

@@ -291,6 +291,19 @@ def test_html_class_words_and_raw_text(spark):
     assert {name: rows[i] for i, name in enumerate(ARTICLES)} == {name: "one two\n\nthree" for name in ARTICLES}
 
 
+def test_html_template_texts(spark):
+    page = "<body><article><h1>t {0}</h1><p>By the staff<p>{1}<p>same {2}{3}</article>"
+    pages = [(i, "http://t.example/", page.format(i, prose(5, i), i % 2, "<ul><li>x</ul>" * (i % 3))) for i in range(12)]
+    pages += [(100 + i, "http://few.example/", page.format(i, prose(5, i), 0, "")) for i in range(4)]
+    pages += [(200 + i, "http://copies.example/", page.format(1, "one", 0, "")) for i in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = {r["page_id"]: r["text"] for r in op7_html.extract(df).collect()}
+    for i in range(12):  # only what all of many different pages have is template
+        assert rows[i] == "\n\n".join([f"t {i}", prose(5, i), f"same {i % 2}", *["x"] * (i % 3)])
+    assert all(rows[100 + i] == "\n\n".join([f"t {i}", "By the staff", prose(5, i), "same 0"]) for i in range(4))
+    assert all(rows[200 + i] == "t 1\n\nBy the staff\n\none\n\nsame 0" for i in range(20))
+
+
 def test_wrapper_alignment():
     one = op7_html.parse_stream('["a", "b+", "c"]')
     two = op7_html.parse_stream('["a", "b", "x", "c"]')
