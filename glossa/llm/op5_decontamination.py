@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import shingles, slices, words
+from glossa.llm.common import shingles, slices, small, words, written
 
 RADIUS = 3
 SIZES = [1, 2, 3, 4, 6, 9, 13, 20, 30, 45, 68, 102, 153, 230]
@@ -48,6 +48,31 @@ def simhash(sums: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def item_shingles(text: str | None) -> np.ndarray:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return shingles(*words(raw, np.array([len(raw)]), True))[0]
+
+
+def weighed(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, shared: for each benchmark item its shingles that other items have too, with the number of different items that have them."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            codes = [item_shingles(t.as_py()) for t in batch.column(1)]
+            keys = [hashlib.md5(c.tobytes()).hexdigest() for c in codes]
+            lists = pa.array([np.unique(c).view(np.int64) for c in codes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string()), lists], names=["item_id", "text", "key", "codes"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = written(items.mapInArrow(parse, "item_id long, text string, key string, codes array<long>"), "decontamination-items")
+    pairs = items.select("key", F.explode("codes").alias("code")).distinct()  # equal items count once
+    several = written(pairs.groupBy("code").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1"), "decontamination-shared")
+    shared = pairs.join(small(several), "code").groupBy("key").agg(F.collect_list(F.struct("code", "seen")).alias("shared"))
+    return written(items.drop("codes").join(shared, "key", "left").select("item_id", "text", "shared"), "decontamination-weighed")
+
+
 class Index:
     """Fingerprints of items' windows by size, each with a table of the values of its four blocks.
 
@@ -58,24 +83,19 @@ class Index:
     lies in any such run: its fingerprint then equals the text's.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None, list[tuple[int, int]] | None]]):
         self.items: list[tuple] = []
         entries: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-        parsed = []
-        for item_id, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            codes, _ = shingles(*words(raw, np.array([len(raw)]), True))
-            if len(codes):
-                parsed.append((item_id, codes))
-        seen: dict[int, int] = {}
-        for _, codes in parsed:
-            for c in np.unique(codes).tolist():
-                seen[c] = seen.get(c, 0) + 1
-        for item_id, codes in parsed:
+        for item_id, text, shared in items:
+            codes = item_shingles(text)
+            if not len(codes):
+                continue
             unique, counts = np.unique(codes, return_counts=True)
-            # shingles that many items share say less
-            weight = np.array([1 / np.sqrt(seen[c]) for c in unique.tolist()])
-            self.items.append((item_id, len(codes), unique, counts, weight, float((weight * counts).sum())))
+            # shingles that many items share say less; those of no item weigh what the item's weigh on average
+            seen = dict(shared or ())
+            weight = np.array([1 / np.sqrt(seen.get(c, 1)) for c in unique.view(np.int64).tolist()])
+            total = float((weight * counts).sum())
+            self.items.append((item_id, len(codes), unique, counts, weight, total, total / len(codes)))
             m = len(codes)
             lost = m // 9
             run = (m - lost) // (lost // 5 + 1)
@@ -116,13 +136,13 @@ class Index:
         return pairs // len(prints), pairs % len(prints)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
-        """Weighted Jaccard of the item's shingles and a window's, repeats counted; shingles of no item weigh 1."""
-        _, _, unique, counts, weight, total = self.items[item]
+        """Weighted Jaccard of the item's shingles and a window's, repeats counted; what the item lacks weighs its mean weight."""
+        _, _, unique, counts, weight, total, mean = self.items[item]
         codes, n = np.unique(window, return_counts=True)
         at = np.minimum(np.searchsorted(unique, codes), len(unique) - 1)
         same = unique[at] == codes
         both = (np.minimum(counts[at[same]], n[same]) * weight[at[same]]).sum()
-        own = (n[same] * weight[at[same]]).sum() + n[~same].sum()
+        own = (n[same] * weight[at[same]]).sum() + mean * n[~same].sum()
         return float(both / (total + own - both))
 
 
@@ -159,14 +179,15 @@ FOUND = "doc_id long, text_key string, item_id long, similarity double, first_sh
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block: int = 2000) -> DataFrame:
     """doc_id, text_key (md5), item_id, similarity, first_shingle: the best window of each document (doc_id, text) and
-    benchmark item (item_id, text) that are alike to `least`.
+    benchmark item (item_id, text) that are alike to `least`. A shingle weighs 1 / sqrt(different items that have it),
+    counted over the whole benchmark, so that neither equal items nor the blocks change what is found.
 
     Words are compared without case and ASCII punctuation. Items are taken in blocks, so that what each task gets is
     bounded; documents are read once a block, without a shuffle. Null or empty texts and items match nothing, items
     under five words are one shingle, equal items and repeated rows each give their own rows, null ids stay null.
     """
-    n = benchmark.count()
-    numbered = benchmark.select("item_id", "text")
+    numbered = weighed(benchmark)
+    n = numbered.count()
     blocks = max(1, -(-n // block))
     parts = []
     for k in range(blocks):

@@ -225,6 +225,45 @@ def test_decontamination(spark, odd, none):
     assert op5_decontamination.contaminated(none, bench).count() == 0 and op5_decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
+def weighted_matches(docs, items, least=0.8):
+    """(doc id, item id) by all windows of an item's length; shingles weigh 1 / sqrt(different items that have them)."""
+    cut = lambda t: [tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)]
+    seen = collections.Counter(s for t in {t for _, t in items} for s in set(cut(t)))
+    found = set()
+    for item, t in items:
+        own = collections.Counter(cut(t))
+        total = sum(n / seen[s] ** 0.5 for s, n in own.items())
+        mean = total / sum(own.values())
+        for doc, text in docs:
+            all_ = cut(text)
+            for i in range(max(1, len(all_) - sum(own.values()) + 1)):
+                window = collections.Counter(all_[i : i + sum(own.values())])
+                both = sum(min(n, window[s]) / seen[s] ** 0.5 for s, n in own.items())
+                there = sum(n * (seen[s] ** -0.5 if s in own else mean) for s, n in window.items())
+                if both >= least * (total + there - both):
+                    found.add((doc, item))
+    return found
+
+
+def test_decontamination_of_repeated_items(spark):
+    base = [prose(54, 6000 + i) for i in range(4)]
+    half = " ".join(base[3].split()[:30] + prose(24, 6009).split())  # shares shingles with base[3]
+    items = list(enumerate([base[0], base[1], base[1], *[base[2]] * 4, base[3], half, *(prose(20, 6100 + i) for i in range(6))]))
+    docs = []
+    for i, t in enumerate([*base, half]):
+        for j, places in enumerate([[27], [12], [20, 34], [52], [3, 27, 44]]):
+            w = t.split()
+            for at in places:
+                w[at] = "changed"
+            docs.append((10 * i + j, " ".join([prose(30, i + j), *w, prose(30, i + j + 77)])))
+    wanted = weighted_matches(docs, items)
+    assert {(10, 1), (10, 2), (20, 3), (20, 6), (30, 7), (40, 8)} <= wanted
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    one = op5_decontamination.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in one} == wanted
+    assert sorted(op5_decontamination.contaminated(df, bench, block=4).collect()) == sorted(one)
+
+
 def test_simhash_counts_bits():
     codes = np.random.default_rng(1).integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2)
     for size in (1, 9, 30, 230):
