@@ -54,25 +54,31 @@ def _in_context(text: Column, spans: Column) -> Column:
     return F.transform(spans, one)
 
 
-def score_patterns(edges: DataFrame, occurrences: DataFrame, rounds: int = 3, smoothing: float = 3.0) -> DataFrame:
-    """(word, score, support) of the graph edges (word, token, seed, n) against the words' counts (word, n_all).
+def score_patterns(edges: DataFrame, occurrences: DataFrame, least_score: float, least_support: int, rounds: int = 3, smoothing: float = 3.0) -> DataFrame:
+    """(word, score, support) of the graph edges (word, token, seed, n) against the words' counts (word, n_all), for words of at least `least_support`.
 
-    A seed's score is 1, another token's 0 at first. In turn a word's score becomes the scores of what it precedes
-    over its own occurrences plus `smoothing`, and a token's score the chance that one of its words is right.
+    A seed's value is 1, another token's 0 at first. In turn a word's score becomes the values of what it precedes
+    over its own occurrences plus `smoothing`, and a token's value the chance that one of its words is right. Tokens
+    of value `least_score` or more are seeds of the next round: a word's support counts them, so each round may bring
+    in further words. Scores only rise; it ends after `rounds` at least, when a round adds no word and no seed.
     """
     edges = written(edges.join(occurrences, "word"), "pii-edges")
     tokens = edges.groupBy("token").agg(F.max("seed").cast("double").alias("value"))
-    for r in range(rounds):
+    before, r = None, 0
+    while True:
         words = (
             edges.join(tokens, "token").groupBy("word")
-            .agg((F.sum(F.col("value") * F.col("n")) / (F.first("n_all") + smoothing)).alias("score"), F.sum(F.col("seed").cast("long")).alias("support"))
+            .agg((F.sum(F.col("value") * F.col("n")) / (F.first("n_all") + smoothing)).alias("score"), F.sum((F.col("value") >= least_score).cast("long")).alias("support"))
         )
-        words = written(words.withColumn("score", F.least("score", F.lit(0.999))), "pii-words")
-        if r + 1 < rounds:
-            miss = F.sum(F.log(1 - F.col("score")))
-            tokens = edges.join(words, "word").groupBy("token").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(miss)).alias("value"))
-            tokens = written(tokens, "pii-tokens")
-    return words
+        words = written(words.filter(F.col("support") >= least_support).withColumn("score", F.least("score", F.lit(0.999))), "pii-words")
+        now = words.agg(F.count(F.lit(1)), F.count_if(F.col("score") >= least_score), F.sum("support")).first()
+        r += 1
+        if not now[0] or (r >= rounds and now == before):
+            return words
+        before = now
+        miss = F.sum(F.log(1 - F.coalesce("score", F.lit(0.0))))
+        tokens = edges.join(words, "word", "left").groupBy("token").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(miss)).alias("value"))
+        tokens = written(tokens, "pii-tokens")
 
 
 def find(docs: DataFrame, least_score: float = 0.5, least_support: int = 5) -> DataFrame:
@@ -80,7 +86,7 @@ def find(docs: DataFrame, least_score: float = 0.5, least_support: int = 5) -> D
 
     Seeds are the base matches. The word before a seed is a lexical pattern; those before at least `least_support`
     distinct seeds are scored on the graph of words and tokens, with the words' occurrences in all texts below the
-    line. Candidates behind a word of at least `least_score` that overlap no base span are spans of kind context.
+    line; what they find counts as seeds in turn, until no word is added. Candidates behind a word of at least `least_score` that overlap no base span are spans of kind context.
     Null and empty texts have no spans; repeated rows stay; null ids are a key like another.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -92,11 +98,12 @@ def find(docs: DataFrame, least_score: float = 0.5, least_support: int = 5) -> D
     others = spans.select(F.explode("more").alias("s"), F.lit(False).alias("seed"))
     edges = seeds.union(others).filter("s.word <> ''").groupBy("s.word", "s.token").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     edges = written(edges, "pii-pairs")
-    frequent = edges.groupBy("word").agg(F.sum(F.col("seed").cast("long")).alias("support")).filter(F.col("support") >= least_support).select("word")
+    # no round gives a word more support than it has tokens
+    frequent = edges.groupBy("word").agg(F.count(F.lit(1)).alias("most")).filter(F.col("most") >= least_support).select("word")
     frequent = written(frequent, "pii-frequent")
     words = docs.select(F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}_]+")).alias("word"))
     occurrences = written(words.join(small(frequent), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_all")), "pii-occurrences")
-    good = score_patterns(edges, occurrences).filter((F.col("score") >= least_score) & (F.col("support") >= least_support)).select("word")
+    good = score_patterns(edges, occurrences, least_score, least_support).filter(F.col("score") >= least_score).select("word")
 
     hits = (
         spans.select("doc_id", "text_key", F.explode("more").alias("s")).select("doc_id", "text_key", "s", F.col("s.word").alias("word")).join(small(good), "word", "left_semi")

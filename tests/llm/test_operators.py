@@ -188,6 +188,19 @@ def test_contexts_discover_identifiers(spark):
     assert all(rows[i].startswith("phone:") and "," not in rows[i] for i in range(40))
 
 
+def test_found_identifiers_bring_in_contexts(spark):
+    texts = [f"{prose(20, i)} phone: +1 (212) 555-{1000 + i} {prose(10, i + 500)}" for i in range(60)]
+    texts += [f"{prose(9, i)} {word}: AB-{446000 + i} {prose(5, i)}" for i in range(20) for word in ("phone", "ref")]
+    texts += [f"{prose(9, i)} {word}: CD-{447000 + i} {prose(5, i)}" for i in range(12) for word in ("ref", "serial")]
+    texts += [f"{prose(9, 1)} ref: EF-448001 x", f"{prose(9, 2)} serial: EF-448002 x", f"{prose(9, 3)} lot: EF-448003 x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in op8_pii.find(docs).collect()}
+    for i, t in enumerate(texts[60:-1], 60):
+        start = re.search("(AB|CD|EF)-", t).start()
+        assert rows[i] == f"context:{start}:{start + 9}"
+    assert rows[len(texts) - 1] == ""
+
+
 def test_media(odd, none):
     rows = op4_media.media_columns(odd).collect()
     assert sorted(r["n_bytes"] for r in rows) == sorted(len(t.encode()) for t in texts(odd))
