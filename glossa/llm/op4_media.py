@@ -36,9 +36,9 @@ def read_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray, frames_at_once: int = 2048) -> Iterator[np.ndarray]:
-    """The loudest bin (1 to WINDOW / 2) of each frame of the short-time Fourier transform, in blocks of bounded memory."""
-    if len(samples) < WINDOW:
-        samples = np.concatenate([samples, np.full(WINDOW - len(samples), 128, np.uint8)])
+    """The loudest bin (1 to WINDOW / 2) of each frame of the short-time Fourier transform, in blocks of bounded memory; silence (128) fills the last frame."""
+    if missing := WINDOW - len(samples) if len(samples) < WINDOW else (WINDOW - len(samples)) % HOP:
+        samples = np.concatenate([samples, np.full(missing, 128, np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(samples, WINDOW)[::HOP]
     for i in range(0, len(frames), frames_at_once):
         block = frames[i : i + frames_at_once].astype(np.float64)

@@ -223,6 +223,15 @@ def test_media_peaks_find_a_tone():
     assert set(np.concatenate(list(op4_media.peaks(tone, 3))).tolist()) == {16}
 
 
+def test_media_hears_the_end():
+    for n in (320, 448, 1088):
+        one = np.random.default_rng(n).integers(32, 127, n).astype(np.uint8)
+        other = one.copy()
+        other[-64:] = (128 + 100 * np.sin(2 * np.pi * 40 * np.arange(64) / op4_media.WINDOW)).astype(np.uint8)
+        assert len(np.concatenate(list(op4_media.peaks(one, 3)))) == 1 + -(-(n - 256) // 128)
+        assert op4_media.fingerprint(one)[1].tolist() != op4_media.fingerprint(other)[1].tolist()
+
+
 def test_decontamination(spark, odd, none):
     items = [(i, prose(15 + 3 * i, 5000 + i)) for i in range(15)] + [(20, None), (21, ""), (22, "one two"), (23, prose(18, 5001))]
     bench = spark.createDataFrame(items, "item_id long, text string")
