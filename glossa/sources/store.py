@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder only where that is unset (local tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/glossa-{os.getpid()}"
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    """A new path below spark.checkpoint.dir; below a temporary folder where that is unset and all runs on this machine (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{top or f'file://{tempfile.gettempdir()}/glossa-{os.getpid()}'}/{name}-{uuid.uuid4().hex}"
