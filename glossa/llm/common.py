@@ -16,12 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one where that is unset and all runs on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/glossa-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return path or f"file://{tempfile.gettempdir()}/glossa-{os.getpid()}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +56,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive rows of a string column as (first row, end row, bytes, row ends), about most_bytes at a time; nulls are empty."""
     column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
     column = column.fill_null("")
