@@ -4,6 +4,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from test_operators import classes, near_copies, prose
@@ -86,3 +87,35 @@ def test_empty_tables(spark, folder):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, path).count() == 0
+
+
+def test_near_duplicates_tells_texts_of_an_id_apart(spark):
+    a, b, c = (prose(40, 70 + i) for i in range(3))
+    rows = [(2, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, b + " x"), (None, prose(30, 99)), (None, prose(30, 99)), (8, None), (8, None), (None, "")]
+    kept = cp.near_duplicates(spark, table(spark, rows).withColumn("k", F.lit(1)).withColumn("once", F.lit("x")), "")
+    assert kept.columns == cp.COLUMNS
+    wanted = [(2, a), (5, b), (7, c), (None, prose(30, 99)), (8, None), (8, None), (None, "")]
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted(wanted, key=str)
+
+
+def odd_rows(spark):
+    """Nulls everywhere, an id with two texts, repeated rows, empty and long texts, clashing names."""
+    rows = [(i, prose(60, i), "en", f"s{i % 2}", 1) for i in range(20)]
+    rows += [(None, prose(60, 50), None, None, None), (3, prose(60, 3), "en", "s1", 1), (3, prose(60, 51), "en", "s1", 1), (30, None, None, "s0", None), (31, "", "en", None, 0), (None, None, None, None, None), (32, prose(9000, 52), "en", "s0", 1)]
+    return spark.createDataFrame([(*r, "x", 2.0, "k") for r in rows], SCHEMA + ", size string, score double, text_key string")
+
+
+def test_odd_rows_in_every_stage(spark, folder):
+    path, docs = folder[0], odd_rows(spark)
+    pairs = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    of = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs, path).columns == cp.COLUMNS, name
+    scored = of(cp.quality(spark, docs, path))
+    assert collections.Counter(scored) <= collections.Counter(pairs) and len(scored) >= 20
+    assert len(of(cp.near_duplicates(spark, docs, path))) == len(pairs) - 1
+    bench = {f"{i}" for i in range(6)}
+    assert len(of(cp.decontaminate(spark, docs, path))) == len(pairs) and bench
+    mixed = collections.Counter(of(cp.mixture(spark, docs, path)))
+    assert all(t for _, t in mixed) and max(mixed.values()) <= 4 and set(mixed) <= set(pairs)
+    assert cp.shards(spark, docs, path).count() == len(pairs)
