@@ -198,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, bloc
             import hashlib
 
             for batch in batches:
-                for i, _, raw, ends in slices(batch.column(1), 1 << 19):
+                for i, _, raw, ends in slices(batch.column(1)):
                     codes, rows = shingles(*words(raw, ends, True))
                     out = []
                     for row, item_id, s, at in matches(index, codes, rows, least):

@@ -105,7 +105,7 @@ class Model:
     def expand(self, stats: np.ndarray) -> np.ndarray:
         x = np.clip((stats - self.mean) / self.scale, -6, 6)
         z = np.cos(x @ self.w + self.b) * np.sqrt(2 / self.w.shape[1])
-        return np.column_stack([z, x, np.ones(len(x))])
+        return np.column_stack([z, np.ones(len(x))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.expand(stats) @ self.beta
@@ -127,11 +127,34 @@ def isotonic(x: np.ndarray, y: np.ndarray, bins: int = 400) -> tuple[np.ndarray,
     return knots, np.repeat([(b[0] + 0.5) / (b[1] + 1) for b in blocks], 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: int = 256, width: float = 4.0, ridge: float = 1e-2, seed: int = 5) -> Model | None:
+def solve(gram: np.ndarray, right: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights; the penalty grows with the rows and leaves the constant (the last feature) free."""
+    penalty = ridge * max(gram[-1, -1], 1.0) * np.eye(len(gram))
+    penalty[-1, -1] = 1e-9
+    return np.linalg.solve(gram + penalty, right)
+
+
+def best_ridge(sums: np.ndarray, ridges: tuple[float, ...]) -> float:
+    """The ridge of least squared error over the folds, each predicted by the others' rows; the larger one of equals.
+
+    sums has for each fold the matrix [z y]'[z y], which is all that both the fit and its error need.
+    """
+    errors = []
+    for ridge in ridges:
+        total = 0.0
+        for own in sums:
+            rest_ = sums.sum(axis=0) - own
+            beta = np.append(-solve(rest_[:-1, :-1], rest_[:-1, -1], ridge), 1.0)
+            total += beta @ own @ beta
+        errors.append((round(total, 9), -ridge))
+    return -min(errors)[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: int = 256, width: float = 4.0, ridges: tuple[float, ...] = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1), folds: int = 4, seed: int = 5) -> Model | None:
     """A Model from the labelled documents (doc_id, text) whose rest is not 2; about `most_rows` of them, those of smallest hashed doc_id.
 
-    A fifth of them calibrates, the others give the normal equations, summed on each partition and then by cell.
-    None without labelled rows.
+    A share of 1 / (folds + 1) of them calibrates, the others give the normal equations, summed on each partition and
+    then by fold and cell. The folds choose the ridge; held-out rows have no part in it. None without labelled rows.
     """
     marks = labels.filter((rest(F.col("doc_id")) != 2) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     order = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
@@ -145,35 +168,36 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: i
             for i, j, raw, ends in slices(batch.column(0)):
                 stats = statistics(raw, ends)
                 lists = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, len(STATS), dtype=np.int32), pa.array(stats.ravel()))
-                yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(i, j - i) for k in (1, 2))], names=["stats", "y", "later"])
+                yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(i, j - i) for k in (1, 2))], names=["stats", "y", "fold"])
 
-    rows = chosen.select("text", "y", (F.col("o") % 5 == 0).alias("later")).mapInArrow(measure, "stats array<double>, y double, later boolean")
+    rows = chosen.select("text", "y", (F.col("o") % (folds + 1)).cast("int").alias("fold")).mapInArrow(measure, "stats array<double>, y double, fold int")
     rows = written(rows, "quality-fit")
     one = rows.select(*(x for i in range(len(STATS)) for x in (F.avg(F.col("stats")[i]), F.stddev_pop(F.col("stats")[i]))), F.count(F.lit(1))).first()
     if not one[-1]:
         return None
     model = Model(np.array(one[0:-1:2]), np.maximum(np.array(one[1:-1:2]), 1e-6), features, width, seed)
-    size = features + len(STATS) + 1
+    size = features + 2
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((folds, size, size))
         for batch in batches:
             x = np.array(batch.column(0).to_pylist(), float).reshape(-1, len(STATS))
-            z, y = model.expand(x), np.array(batch.column(1).to_pylist(), float)
-            total += z.T @ np.column_stack([z, y])
-        flat = total.ravel()
-        yield pa.RecordBatch.from_pydict({"cell": np.arange(flat.size, dtype=np.int32), "part": flat})
-
-    early = rows.filter("not later").select("stats", "y").coalesce(16)
+            zy = np.column_stack([model.expand(x), np.array(batch.column(1).to_pylist(), float)])
+            fold = batch.column(2).to_numpy() - 1
+            for f in range(folds):
+                total[f] += zy[fold == f].T @ zy[fold == f]
+        cell = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_pydict({"cell": cell.astype(np.int32), "part": total.ravel()[cell]})
+
+    early = rows.filter("fold > 0").select("stats", "y", "fold").coalesce(16)
     cells = early.mapInArrow(equations, "cell int, part double").groupBy("cell").agg(F.sum("part")).toPandas().to_numpy()
-    system = np.zeros(size * (size + 1))
-    system[cells[:, 0].astype(int)] = cells[:, 1]
-    system = system.reshape(size, size + 1)
-    gram, right = system[:, :size], system[:, size]
-    penalty = ridge * max(gram[-1, -1], 1.0) * np.eye(size)
-    penalty[-1, -1] = 1e-9
-    model.beta = np.linalg.solve(gram + penalty, right)
-    later = rows.filter("later").select("stats", "y").collect()  # at most a share of most_rows
+    sums = np.zeros(folds * size * size)
+    sums[cells[:, 0].astype(int)] = cells[:, 1]
+    sums = sums.reshape(folds, size, size)
+    model.ridge = best_ridge(sums, ridges)
+    every = sums.sum(axis=0)
+    model.beta = solve(every[:-1, :-1], every[:-1, -1], model.ridge)
+    later = rows.filter("fold = 0").select("stats", "y").collect()  # a share of most_rows
     later = later or rows.select("stats", "y").limit(most_rows).collect()
     model.knots, model.levels = isotonic(model.raw(np.array([r[0] for r in later])), np.array([float(r[1]) for r in later]))
     return model

@@ -308,6 +308,39 @@ def test_quality(spark, odd, none, sf):
     assert op6_quality.score(none, labels).count() == 0
 
 
+def test_ridge_comes_from_the_folds():
+    r = np.random.default_rng(7)
+    z = np.column_stack([r.normal(size=(90, 6)), np.ones(90)])
+    y = z[:, 0] * 0.3 + r.normal(size=90)
+    fold, ridges = np.arange(90) % 3, (1e-6, 1e-3, 1e-1, 10.0)
+    sums = np.array([np.column_stack([z, y])[fold == f].T @ np.column_stack([z, y])[fold == f] for f in range(3)])
+    errors = []
+    for ridge in ridges:  # fitted row by row on the other folds
+        total = 0.0
+        for f in range(3):
+            a, b = z[fold != f], y[fold != f]
+            beta = np.linalg.solve(a.T @ a + np.diag([*[ridge * len(a)] * 6, 1e-9]), a.T @ b)
+            total += ((z[fold == f] @ beta - y[fold == f]) ** 2).sum()
+        errors.append(total)
+    assert op6_quality.best_ridge(sums, ridges) == ridges[int(np.argmin(errors))]
+
+
+def test_statistics_by_hand():
+    texts_ = ["Ab, cd! x|y x|y\nAb, cd!\n\nAb, cd!", "", "é"]
+    raw = np.frombuffer("".join(texts_).encode(), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in texts_])
+    rows = {n: v for n, v in zip(op6_quality.STATS, op6_quality.statistics(raw, ends)[0], strict=True)}
+    words = texts_[0].split()
+    lower = [w.lower() for w in words]
+    size = len(texts_[0])
+    assert rows["log_words"] == pytest.approx(np.log1p(len(words))) and rows["log_bytes"] == pytest.approx(np.log1p(size))
+    assert rows["upper"] == pytest.approx(3 / size) and rows["bars"] == pytest.approx(2 / size) and rows["stops"] == pytest.approx(3 / size)
+    assert rows["top_word"] == pytest.approx(3 / len(words)) and rows["distinct_words"] == pytest.approx(len(set(lower)) / len(words) ** 0.8)
+    assert rows["distinct_pairs"] == pytest.approx(len(set(zip(lower, lower[1:]))) / len(words))
+    assert rows["line_repeats"] == pytest.approx(1 - 2 / 3) and rows["marked_words"] == pytest.approx(3 / len(words))
+    assert not op6_quality.statistics(raw, ends)[1].any()
+
+
 def test_isotonic_rises():
     x = np.random.default_rng(2).normal(size=500)
     knots, levels = op6_quality.isotonic(x, (x + np.random.default_rng(3).normal(size=500) > 0).astype(float))
