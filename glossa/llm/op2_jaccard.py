@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import shingles, slices, small, words, written
+from glossa.llm.common import numbers, shingles, slices, small, words, written
 from glossa.llm.components import components
 
 STEP = 1.1  # sizes within a class of sizes differ by less than this factor
@@ -62,7 +62,7 @@ def common_tokens(docs: DataFrame, part: int = 16, line: int = 6, most: int = 1_
     counts = written(counts, "jaccard-common")
     while counts.filter(F.col("count") >= line).count() > most:
         line *= 2
-    found = counts.filter(F.col("count") >= line).select("token").toPandas()["token"].to_numpy(np.int64)
+    found = numbers(counts.filter(F.col("count") >= line).select("token"))[0]
     return np.sort(found.view(np.uint64))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import slices, small, words, written
+from glossa.llm.common import numbers, slices, small, words, written
 
 STATS = [
     "log_words", "log_bytes", "word_bytes", "upper", "digits", "marks", "symbols", "bars", "stops", "beyond_ascii", "lines", "line_repeats",
@@ -150,7 +150,7 @@ def best_ridge(sums: np.ndarray, ridges: tuple[float, ...]) -> float:
     return -min(errors)[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: int = 256, width: float = 4.0, ridges: tuple[float, ...] = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1), folds: int = 4, seed: int = 5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: int = 256, width: float = 4.0, ridges: tuple[float, ...] = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1), folds: int = 3, seed: int = 5) -> Model | None:
     """A Model from the labelled documents (doc_id, text) whose rest is not 2; about `most_rows` of them, those of smallest hashed doc_id.
 
     A share of 1 / (folds + 1) of them calibrates, the others give the normal equations, summed on each partition and
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: i
         return None
     model = Model(np.array(one[0:-1:2]), np.maximum(np.array(one[1:-1:2]), 1e-6), features, width, seed)
     size = features + 2
+    upper = np.triu_indices(size)  # the matrices are symmetric
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((folds, size, size))
@@ -186,14 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: i
             fold = batch.column(2).to_numpy() - 1
             for f in range(folds):
                 total[f] += zy[fold == f].T @ zy[fold == f]
-        cell = np.flatnonzero(total.ravel())
-        yield pa.RecordBatch.from_pydict({"cell": cell.astype(np.int32), "part": total.ravel()[cell]})
+        part = total[:, *upper].ravel()
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(part.size, dtype=np.int32), "part": part})
 
     early = rows.filter("fold > 0").select("stats", "y", "fold").coalesce(16)
-    cells = early.mapInArrow(equations, "cell int, part double").groupBy("cell").agg(F.sum("part")).toPandas().to_numpy()
-    sums = np.zeros(folds * size * size)
-    sums[cells[:, 0].astype(int)] = cells[:, 1]
-    sums = sums.reshape(folds, size, size)
+    cell, part = numbers(early.mapInArrow(equations, "cell int, part double").groupBy("cell").agg(F.sum("part").alias("part")))
+    half = np.zeros(folds * len(upper[0]))
+    half[cell] = part
+    sums = np.zeros((folds, size, size))
+    sums[:, *upper] = half.reshape(folds, -1)
+    sums += np.triu(sums, 1).transpose(0, 2, 1)
     model.ridge = best_ridge(sums, ridges)
     every = sums.sum(axis=0)
     model.beta = solve(every[:-1, :-1], every[:-1, -1], model.ridge)
