@@ -16,7 +16,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # What a context may mark: a run of at least 6 letters, digits and hyphens with 4 digits or more.
 CANDIDATE = r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*+(?:[0-9][A-Za-z-]*+){4})[A-Za-z0-9-]{6,}+"
-LEFT = 64
+NEAR = 64  # code points that are looked at first for a word; where they hold no whole one, all the text is
+LETTER, OTHER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 
 
 def _digits(m: Column) -> Column:
@@ -44,18 +45,26 @@ def base_spans(text: Column) -> Column:
 
 
 def _in_context(text: Column, spans: Column) -> Column:
-    """Spans with their own text and the word before them (lower case; "" if none within LEFT characters)."""
+    """Spans with their own text and their patterns: "<" with the word before and ">" with the word after them (lower case), where there is one."""
+    before, after = rf"{OTHER}({LETTER}+){OTHER}*$", rf"^{OTHER}*({LETTER}+){OTHER}"
+
+    def word(near: Column, whole: Column, cut: Column, pattern: str) -> Column:
+        found_ = F.regexp_extract(near, pattern, 1)
+        return F.lower(F.when(cut & (found_ == ""), F.regexp_extract(whole, pattern, 1)).otherwise(found_))
 
     def one(s: Column) -> Column:
-        left = F.substring(text, F.greatest(s["start"] - LEFT, F.lit(0)) + 1, F.least(s["start"], F.lit(LEFT)))
-        word = F.lower(F.regexp_extract(left, r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$", 1))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token"), word.alias("word"))
+        left = lambda n: F.concat(F.when(s["start"] <= n, " ").otherwise(""), F.substring(text, F.greatest(s["start"] - n, F.lit(0)) + 1, F.least(s["start"], n)))
+        right = lambda n: F.concat(F.substring(text, s["end"] + 1, n), F.when(s["end"] + n >= F.length(text), " ").otherwise(""))
+        last = word(left(F.lit(NEAR)), left(s["start"]), s["start"] > NEAR, before)
+        next_ = word(right(F.lit(NEAR)), right(F.length(text)), s["end"] + NEAR < F.length(text), after)
+        patterns = F.filter(F.array(F.concat(F.lit("<"), last), F.concat(F.lit(">"), next_)), lambda p: F.length(p) > 1)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token"), patterns.alias("patterns"))
 
     return F.transform(spans, one)
 
 
 def score_patterns(edges: DataFrame, occurrences: DataFrame, least_score: float, least_support: int, rounds: int = 3, smoothing: float = 3.0) -> DataFrame:
-    """(word, score, support) of the graph edges (word, token, seed, n) against the words' counts (word, n_all), for words of at least `least_support`.
+    """(word: a pattern, score, support) of the graph edges (word, token, seed, n) against the words' counts (word, n_all), for words of at least `least_support`.
 
     A seed's value is 1, another token's 0 at first. In turn a word's score becomes the values of what it precedes
     over its own occurrences plus `smoothing`, and a token's value the chance that one of its words is right. Tokens
@@ -84,9 +93,10 @@ def score_patterns(edges: DataFrame, occurrences: DataFrame, least_score: float,
 def find(docs: DataFrame, least_score: float = 0.5, least_support: int = 5) -> DataFrame:
     """doc_id, counts, base_sha256 and spans for each row of docs (doc_id, text).
 
-    Seeds are the base matches. The word before a seed is a lexical pattern; those before at least `least_support`
-    distinct seeds are scored on the graph of words and tokens, with the words' occurrences in all texts below the
-    line; what they find counts as seeds in turn, until no word is added. Candidates behind a word of at least `least_score` that overlap no base span are spans of kind context.
+    Seeds are the base matches. The word before a seed is a lexical pattern, and so is the word after it; those of at
+    least `least_support` distinct seeds are scored on the graph of patterns and tokens, with the words' occurrences in
+    all texts below the line; what they find counts as seeds in turn, until no pattern is added. Candidates in a
+    pattern of at least `least_score` that overlap no base span are spans of kind context.
     Null and empty texts have no spans; repeated rows stay; null ids are a key like another.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -96,17 +106,20 @@ def find(docs: DataFrame, least_score: float = 0.5, least_support: int = 5) -> D
 
     seeds = spans.select(F.explode("seeds").alias("s"), F.lit(True).alias("seed"))
     others = spans.select(F.explode("more").alias("s"), F.lit(False).alias("seed"))
-    edges = seeds.union(others).filter("s.word <> ''").groupBy("s.word", "s.token").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
+    edges = seeds.union(others).select(F.explode("s.patterns").alias("word"), "s.token", "seed").groupBy("word", "token").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     edges = written(edges, "pii-pairs")
     # no round gives a word more support than it has tokens
     frequent = edges.groupBy("word").agg(F.count(F.lit(1)).alias("most")).filter(F.col("most") >= least_support).select("word")
     frequent = written(frequent, "pii-frequent")
-    words = docs.select(F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}_]+")).alias("word"))
-    occurrences = written(words.join(small(frequent), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_all")), "pii-occurrences")
+    words = docs.select(F.explode(F.split(F.lower(F.col("text")), OTHER + "+")).alias("w"))
+    plain = frequent.select(F.substr("word", F.lit(2)).alias("w")).distinct()
+    occurrences = words.join(small(plain), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n_all"))
+    occurrences = occurrences.select(F.explode(F.array(F.concat(F.lit("<"), "w"), F.concat(F.lit(">"), "w"))).alias("word"), "n_all")
+    occurrences = written(occurrences, "pii-occurrences")
     good = score_patterns(edges, occurrences, least_score, least_support).filter(F.col("score") >= least_score).select("word")
 
     hits = (
-        spans.select("doc_id", "text_key", F.explode("more").alias("s")).select("doc_id", "text_key", "s", F.col("s.word").alias("word")).join(small(good), "word", "left_semi")
+        spans.select("doc_id", "text_key", F.explode("more").alias("s")).select("doc_id", "text_key", "s", F.explode("s.patterns").alias("word")).join(small(good), "word", "left_semi")
         .groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
         .agg(F.collect_set(F.struct(F.col("s.start").alias("start"), F.lit(4).alias("kind"), F.col("s.end").alias("end"))).alias("extra"))
     )
