@@ -201,6 +201,84 @@ def test_found_identifiers_bring_in_contexts(spark):
     assert rows[len(texts) - 1] == ""
 
 
+def contexts(texts_, least_score=0.5, least_support=5, smoothing=3.0):
+    """Tokens that patterns mark, by the same iteration in plain Python."""
+    seed_of, edges, counts = {}, collections.Counter(), collections.Counter()
+    for t in texts_:
+        counts.update(w for w in re.split(r"\W+", t.lower()) if w)
+        base_ = [(m.start(), m.end()) for _, p, ok in brute.PII for m in p.finditer(t) if ok(m)]
+        more = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9-])[A-Za-z0-9-]{6,}", t) if sum(c.isdigit() for c in m[0]) >= 4]
+        more = [(a, b) for a, b in more if all(b <= s or e <= a for s, e in base_)]
+        for found, seed in ((base_, True), (more, False)):
+            for a, b in found:
+                seed_of[t[a:b]] = seed_of.get(t[a:b], False) or seed
+                for sign, w in (("<", re.findall(r"\w+", t[:a].lower())[-1:]), (">", re.findall(r"\w+", t[b:].lower())[:1])):
+                    edges.update((sign + x, t[a:b]) for x in w)
+    value = {k: float(s) for k, s in seed_of.items()}
+    for _ in range(30):
+        score = {}
+        for p in {p for p, _ in edges}:
+            own = {k: n for (q, k), n in edges.items() if q == p}
+            if sum(value[k] >= least_score for k in own) >= least_support:
+                score[p] = min(0.999, sum(value[k] * n for k, n in own.items()) / (counts[p[1:]] + smoothing))
+        for k in value:
+            miss = 1.0
+            for (p, q), _ in edges.items():
+                miss *= 1 - score.get(p, 0.0) if q == k else 1.0
+            value[k] = 1.0 if seed_of[k] else 1 - miss
+    good = {p for p, s in score.items() if s >= least_score}
+    return {k for (p, k) in edges if p in good and not seed_of[k]}
+
+
+def test_contexts_on_both_sides_against_plain_python(spark):
+    texts_ = [f"{prose(9, i)} phone: +1 (212) 555-{1000 + i} {prose(5, i + 500)}" for i in range(30)]
+    texts_ += [f"{prose(9, i)} +1 (212) 556-{1000 + i} extension {prose(5, i + 500)}" for i in range(30)]
+    texts_ += [f"{prose(9, i)} phone:{' ' * 70}AB-{446000 + i} ref, {prose(5, i)}" for i in range(12)]
+    texts_ += [f"{prose(9, 1)} XY-446011{'.' * 80}extension", f"{prose(9, 2)} lot ZZ-447011 ref", "phone QQ-448011", f"{prose(9, 3)} lot WW-449011"]
+    docs = spark.createDataFrame([*enumerate(texts_), (None, texts_[60]), (None, None)], "doc_id long, text string")
+    rows = op8_pii.find(docs).collect()
+    assert len(rows) == len(texts_) + 2
+    marked = set()
+    for r in rows:
+        text = texts_[r["doc_id"]] if r["doc_id"] is not None else texts_[60]
+        marked |= {text[int(s):int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k == "context"}
+    wanted = contexts([*texts_, texts_[60]])
+    assert marked == wanted and {"XY-446011", "QQ-448011", "ZZ-447011", "AB-446000"} <= wanted and "WW-449011" not in wanted
+
+
+def test_secret_model_marks_planted_tokens(spark):
+    r = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n, chars=alphabet: "".join(r.choice(chars) for _ in range(n - 2)) + "7q"
+    rows = [(i, f"{prose(8, i)} {token(12 + i % 20)} {prose(8, i)} get_{prose(1, i)}_list_count_{i} {prose(1, i)}Name{prose(1, i + 1).title()}Index{i}") for i in range(200)]
+    rows += [(200 + i, f"{prose(8, i)} {token(20, alphabet[:52])[:-2]}xQ {prose(5, i)}") for i in range(60)]
+    rows += [(300 + i, f"{prose(6, i)} password={token(16)} {prose(4, i)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = op3_secrets.labelled_samples(spark, 2000)
+    model = op3_secrets.train(made.union(op3_secrets.samples_of(docs)))
+    least = op3_secrets.threshold(made, model)
+
+    def ratio(t):  # by hand
+        at = [op3_secrets.ALPHABET.index(c) for c in t]
+        return sum(model[a * len(op3_secrets.ALPHABET) + b] for a, b in zip(at, at[1:])) / (len(t) - 1)
+
+    def share(least_chars, with_digit, wanted):
+        found = {x["doc_id"]: x["spans"] for x in op3_secrets.scan(docs, model, least, least_chars, with_digit).collect()}
+        hits = 0
+        for d, t in rows:
+            marked = [(int(a), int(b)) for k, a, b in (x.split(":") for x in found[d].split(",") if x) if k == "model"]
+            runs = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % least_chars, t)]
+            base_ = [m.span() for m in re.finditer("password=[A-Za-z0-9]+", t)]
+            runs = [(a, b) for a, b in runs if re.search("[A-Za-z]", t[a:b]) and (not with_digit or re.search("[0-9]", t[a:b])) and ratio(t[a:b]) > least and all(b <= s or e <= a for s, e in base_)]
+            assert marked == runs
+            hits += any(a == len(t[: t.index(" " + t.split()[8])]) + 1 for a, b in marked) if d in wanted else 0
+        return hits / len(wanted)
+
+    assert share(16, True, [i for i in range(200) if 12 + i % 20 >= 16]) > 0.95
+    assert share(12, True, list(range(200))) > 0.9
+    assert share(16, False, list(range(200, 260))) > 0.9
+
+
 def test_media(odd, none):
     rows = op4_media.media_columns(odd).collect()
     assert sorted(r["n_bytes"] for r in rows) == sorted(len(t.encode()) for t in texts(odd))
