@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PLACES = 4  # scores are rounded before they are compared, so that the order of a sum decides nothing
-
-
-def line_counts(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("line_idx", "y", "token").agg(F.count(F.lit(1)).alias("n"))
+from glossa.operators.model import require
+from glossa.operators.sampling import first_by
 
-
-def score(counts: DataFrame, model: DataFrame) -> DataFrame:
-    """(line_idx, y, label, n_lines, score, n_tokens): sums of weights of each line under each label.
-
-    The model's rows are gathered by token into one map side of labels x vocabulary, which is broadcast where Spark's
-    threshold allows; a line's tokens meet all labels in one pass.
-    """
-    wide = model.groupBy("token").agg(F.collect_list(F.struct(F.col("y").alias("label"), "w", "n_lines")).alias("row"))
-    scored = counts.join(wide, "token").select("line_idx", "y", "n", F.explode("row").alias("r"))
-    return scored.groupBy("line_idx", "y", F.col("r.label").alias("label")).agg(
-        F.max("r.n_lines").alias("n_lines"), F.round(F.sum(F.col("n") * F.col("r.w")), PLACES).alias("score"), F.sum("n").alias("n_tokens")
-    )
+PLACES = 4  # scores are rounded before they are compared, so that the order of a sum decides nothing
 
 
 def candidates(scores: DataFrame, k: int | None = 5, value: Column | None = None) -> DataFrame:
-    """line_idx, y and cands: the k best by `value` (the score), ties by label."""
+    """line_idx, y and cands of scores that stand one label a row: the k best by `value` (the score), ties by label."""
     value = F.col("score") if value is None else value
     entry = F.struct((-value).alias("minus"), F.col("label"), F.col("n_lines"))
     sorted_all = F.array_sort(F.collect_list(entry))
@@ -43,20 +29,21 @@ def gap() -> Column:
     return F.when(F.size("cands") < 2, F.lit(float("inf"))).otherwise(F.round(top(1, "score") - top(2, "score"), PLACES))
 
 
-def thresholds(rows: DataFrame, share: float | Column, least: int, most: int = 2000) -> DataFrame:
+def thresholds(rows: DataFrame, share: float | Column, least: int, most: int = 2000, stop: bool = False) -> DataFrame:
     """(label, n_own, n_won, tau, excluded): a quantile of the gaps of each label's own lines that it wins.
 
     At most `most` own lines a label are looked at, those of smallest md5. Under `least` finite gaps, or with a
-    share of 0, a label is excluded (tau null).
+    share of 0, a label is excluded (tau null); with `stop`, too few gaps raise instead.
     """
-    order = Window.partitionBy("y").orderBy(F.md5(F.col("line_idx").cast("string")))
-    own = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+    own = first_by(rows, ["y"], [F.md5(F.col("line_idx").cast("string"))], most)
     won = (top() == F.col("y")) & (gap() != float("inf"))
     stats = own.groupBy(F.col("y").alias("label")).agg(F.count(F.lit(1)).alias("n_own"), F.count_if(won).alias("n_won"), F.array_sort(F.collect_list(F.when(won, gap()))).alias("gaps"), F.max("own_lines").alias("own_lines"))
     share = F.lit(share) if not isinstance(share, Column) else share
     at = share * (F.size("gaps") - 1)
     low = F.floor(at).cast("int")
     value = F.get("gaps", low) + (at - low) * (F.coalesce(F.get("gaps", low + 1), F.get("gaps", low)) - F.get("gaps", low))
+    if stop:
+        stats = require(stats, F.col("n_won") < least, f"a label has under {least} gaps")
     excluded = (F.col("n_won") < least) | (share <= 0)
     return stats.select("label", "n_own", "n_won", F.when(~excluded, value).alias("tau"), excluded.alias("excluded"))
 
@@ -78,6 +65,18 @@ def gate(rows: DataFrame, taus: DataFrame, target: str, bar: int = 0, reach: flo
     return rows.withColumn("pred", F.when(F.col("outcome") == "moved", F.col("goal")).otherwise(F.col("first"))).drop("goal", "tau")
 
 
+def agreeing(rows: DataFrame, saved: DataFrame, least: float = 0.99) -> DataFrame:
+    """rows whose first label is the saved one (line_idx, saved); an agreement under `least` over all rows raises.
+
+    The agreement is one number, which is counted before any row is passed on.
+    """
+    both = rows.join(saved.select("line_idx", "saved"), "line_idx", "left").withColumn("same", top().eqNullSafe(F.col("saved")))
+    share = both.agg(F.avg(F.col("same").cast("int"))).first()[0]
+    if share is not None and share < least:
+        raise ValueError(f"only {share:.4f} of the labels equal the saved ones, under {least}")
+    return both.filter("same").drop("same", "saved")
+
+
 def macro_decision(rows: DataFrame, macro: DataFrame) -> DataFrame:
     """(line_idx, y, macro, pred): the group of largest log-sum-exp over its candidates, and its best member."""
     flat = rows.select("line_idx", "y", F.explode("cands").alias("c")).select("line_idx", "y", "c.*").join(F.broadcast(macro), "label")

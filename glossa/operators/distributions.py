@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.segment import matrix
+
 
 def kl(p: Column, q: Column) -> Column:
     """Divergence in nats of grouped columns."""
@@ -20,11 +26,29 @@ def entropy(model: DataFrame) -> DataFrame:
 
 
 def pairwise(model: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(a, b, sym_kl) for a < b, or for the given pairs (a, b): a join by token, whose size is the labels' pairs times the vocabulary."""
-    a = model.select(F.col("y").alias("a"), "token", F.col("p").alias("pa"))
-    b = model.select(F.col("y").alias("b"), "token", F.col("p").alias("pb"))
-    joined = a.join(b, "token").filter("a < b") if pairs is None else a.join(F.broadcast(pairs), "a").join(b, ["b", "token"])
-    return joined.groupBy("a", "b").agg(((kl(F.col("pa"), F.col("pb")) + kl(F.col("pb"), F.col("pa"))) / 2).alias("sym_kl"))
+    """(a, b, sym_kl) for a < b, or for the given pairs (a, b).
+
+    All pairs come from products of blocks of labels with the matrix of p and ln p, which is broadcast if its size
+    allows; no row a pair and token is made. A list of pairs is joined by token.
+    """
+    if pairs is not None:
+        a = model.select(F.col("y").alias("a"), "token", F.col("p").alias("pa"))
+        b = model.select(F.col("y").alias("b"), "token", F.col("p").alias("pb"))
+        joined = a.join(F.broadcast(pairs), "a").join(b, ["b", "token"])
+        return joined.groupBy("a", "b").agg(((kl(F.col("pa"), F.col("pb")) + kl(F.col("pb"), F.col("pa"))) / 2).alias("sym_kl"))
+    spark = model.sparkSession
+    labels, _, logs = matrix(model.select("y", "token", F.log("p").alias("w")))
+    names = np.array(labels, object)
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = np.exp(logs)
+        own = (p * logs).sum(axis=1)
+        for batch in batches:
+            for i in batch["id"]:
+                sym = (own[i] - p[i] @ logs[i + 1 :].T + own[i + 1 :] - p[i + 1 :] @ logs[i]) / 2
+                yield pd.DataFrame({"a": names[np.full(len(sym), i)], "b": names[i + 1 :], "sym_kl": sym})
+
+    return spark.range(len(labels)).mapInPandas(block, "a string, b string, sym_kl double")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.model import require
+
+CELLS = 64  # parts that a hot key is cut into
+# Cumulative probabilities of Poisson(1).
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+
 
 def hash_order(seed: int, key: str = "line_idx") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -23,12 +29,39 @@ def uniform_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(hash_order(seed), "line_idx").limit(n)
 
 
+def first_by(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
+    """The `most` first rows of each key; hash cells cut a hot key before its rows meet in one task."""
+    cell = F.pmod(F.xxhash64(*order), F.lit(CELLS))
+    cut = rows.withColumn("_cell", cell)
+    cut = cut.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order))).filter(F.col("_k") <= most)
+    return cut.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_k") <= most).drop("_cell", "_k")
+
+
+def rank_in(rows: DataFrame, keys: list[str], order: str, name: str = "rank", cells: int = 256) -> DataFrame:
+    """rows with the rank (from 1) in their key by a numeric column.
+
+    A key's range is cut into cells: a row's rank is the count of the cells before, a table of keys times cells, plus
+    its place in its own. Nulls come first; the order among equal values is open.
+    """
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = ((high - low) if low is not None else 0) / cells + 1
+    cell = F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(float(width))), F.lit(-1)).cast("int") if low is not None else F.lit(-1)
+    rows = rows.withColumn("_cell", cell)
+    sizes = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(sizes.select(*keys, "_cell", before.alias("_before"))), [*keys, "_cell"])
+    place = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(order))
+    return placed.withColumn(name, F.col("_before") + place).drop("_cell", "_before")
+
+
 def balanced_draw(rows: DataFrame, seed: int, most: int = 100, share: float = 0.5, exclude: DataFrame | None = None) -> DataFrame:
     """min(most, floor(share * pool)) lines a label, the pool without the lines of `exclude`."""
     pool = rows if exclude is None else rows.join(exclude.select("line_idx"), "line_idx", "left_anti")
-    w = Window.partitionBy("y")
-    pool = pool.withColumns({"pool": F.count(F.lit(1)).over(w), "k": F.row_number().over(w.orderBy(hash_order(seed), "line_idx"))})
-    return pool.filter(F.col("k") <= F.least(F.lit(most), F.floor(share * F.col("pool")))).drop("pool", "k")
+    sizes = pool.groupBy("y").agg(F.count(F.lit(1)).alias("pool"))  # a row a label
+    order = [hash_order(seed), F.col("line_idx")]
+    first = first_by(pool, ["y"], order, most).join(F.broadcast(sizes), "y")
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(*order)))  # at most `most` rows a label
+    return first.filter(F.col("k") <= F.floor(share * F.col("pool"))).select(*rows.columns)
 
 
 def poisson_weights(draws: int, seed: int, key: str) -> Column:
@@ -36,10 +69,33 @@ def poisson_weights(draws: int, seed: int, key: str) -> Column:
 
     A resample needs no second copy of the rows and no shuffle of its own.
     """
-    # Cumulative probabilities of Poisson(1).
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     u = lambda b: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), b, F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(16**8)
-    return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda k, s: k + (u(b) >= s).cast("int")))
+    return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda k, s: k + (u(b) >= s).cast("int")))
+
+
+def bootstrap_counts(values: DataFrame, value: str, draws: int, seed: int) -> DataFrame:
+    """As `bootstrap_interval`, for a value that takes few distinct ones: n equal rows are taken Poisson(n) times together.
+
+    The rows are read once and counted; each draw takes one number a distinct value. Under 64 rows it is the sum of
+    n draws of mean 1, else the rounded normal of mean and variance n.
+    """
+    counts = values.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    b = counts.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", F.col("v").cast("string"), *parts)), 1, 8), 16, 10).cast("double") / float(16**8)
+    steps = F.array(*map(F.lit, POISSON))
+    each = F.transform(F.sequence(F.lit(0), (F.least("n", F.lit(64)) - 1).cast("int")), lambda i: F.aggregate(steps, F.lit(0), lambda k, s: k + (u(i.cast("string")) >= s).cast("int")))
+    small = F.aggregate(each, F.lit(0), lambda a, k: a + k).cast("double")
+    normal = F.sqrt(-2 * F.log(u(F.lit("a")) + 1e-10)) * F.cos(2 * F.pi() * u(F.lit("b")))
+    k = F.when(F.col("n") < 64, small).otherwise(F.greatest(F.round(F.col("n") + F.sqrt("n") * normal), F.lit(0.0)))
+    means = b.withColumn("k", k).groupBy("draw").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("mean"))
+    ends = means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    return counts.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mean")).crossJoin(ends)
+
+
+def accept(rows: DataFrame, value: str, published: float, tolerance: float = 0.005) -> DataFrame:
+    """rows with `accepted`; a value further than the tolerance from the published one raises."""
+    far = ~(F.abs(F.col(value) - published) <= tolerance)
+    return require(rows, F.coalesce(far, F.lit(True)), f"a value is over {tolerance} from the published one").withColumn("accepted", F.lit(True))
 
 
 def bootstrap_interval(values: DataFrame, value: str, key: str, draws: int, seed: int) -> DataFrame:

@@ -1,12 +1,15 @@
 """Segmentation under unigram token models: best and summed paths of all labels at once, expected counts, and EM.
 
-The lattice of a text (the vocabulary's tokens at each place) is built once and serves every label; weights are one
-float64 matrix, labels by tokens, that Spark broadcasts. Its size is labels x vocabulary and is checked.
+Texts go through in blocks of similar length, place by place: one numpy step adds a token of one length to a whole
+block under all labels. Which tokens stand where is found once a block, in a trie held as sorted arrays, and serves
+every label. Weights are one matrix, tokens by labels, that Spark broadcasts; its size is known before it is
+collected, and more labels than fit are scored in several blocks of labels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,110 +18,281 @@ from pyspark.sql import functions as F
 
 UNKNOWN_PENALTY = 10.0  # below the least weight of a row; the value is this library's own
 MOST_BYTES = 2 << 30
+BLOCK_CELLS = 1 << 20  # code points (times labels, times token lengths) of a block of texts
+BLOCK_TEXTS = 512
+POINTS = 0x110000
 
 
 class Lattice:
+    """Tokens with a weight under each label; `unknown` is the weight of a code point that no token covers."""
+
     def __init__(self, tokens: list[str], weights: np.ndarray):
         if weights.nbytes > MOST_BYTES:
             raise ValueError(f"a model of {weights.nbytes} bytes is too large to broadcast; score its labels in blocks")
+        self.names = list(tokens)
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.longest = max(map(len, tokens), default=1)
-        self.weights = np.ascontiguousarray(weights, np.float64)
-        self.unknown = self.weights.min(axis=1) - UNKNOWN_PENALTY
-        self.columns = np.ascontiguousarray(self.weights.T)
-
-    def edges(self, text: str) -> list[list[tuple[int, int]]]:
-        """For each start the (end, token id) of its tokens; -1 for a code point that no token covers."""
-        out = []
-        for s in range(len(text)):
-            found = [(e, i) for e in range(s + 1, min(len(text), s + self.longest) + 1) if (i := self.ids.get(text[s:e])) is not None]
-            if not found or found[0][0] != s + 1:
-                found.insert(0, (s + 1, -1))
-            out.append(found)
+        self.weights = weights
+        self.unknown = weights.min(axis=1) - UNKNOWN_PENALTY
+        # rows: the tokens, an unknown code point, and no token at all
+        self.rows = np.concatenate([weights.T, self.unknown[None], np.full((1, len(weights)), -np.inf)]).astype(np.float64)
+        self._trie(tokens)
+
+    def _trie(self, tokens: list[str]) -> None:
+        """Nodes numbered from the root 0; an edge's key is node * POINTS + code point."""
+        children: dict[int, int] = {}
+        ends = {}
+        for i, token in enumerate(tokens):
+            node = 0
+            for c in token:
+                node = children.setdefault(node * POINTS + ord(c), len(children) + 1)
+            ends[node] = i
+        keys = np.fromiter(children, np.int64, len(children))
+        order = np.argsort(keys)
+        self.edge_keys, self.edge_nodes = keys[order], np.fromiter(children.values(), np.int64, len(children))[order]
+        self.node_token = np.full(len(children) + 1, -1, np.int32)
+        for node, i in ends.items():
+            self.node_token[node] = i
+
+    def _blocks(self, texts: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of the texts, tok) by blocks of similar length; tok[k - 1, s, b] is the token of k code points from place s."""
+        size = np.array([len(t) for t in texts])
+        order = np.argsort(size, kind="stable")[::-1]
+        order = order[size[order] > 0]
+        at = 0
+        while at < len(order):
+            most = max(1, BLOCK_CELLS // (int(size[order[at]]) * width))
+            part = order[at : at + min(most, BLOCK_TEXTS)][::-1]
+            at += len(part)
+            yield part, self._tokens_at([texts[i] for i in part])
+
+    def _tokens_at(self, texts: list[str]) -> np.ndarray:
+        n, none = max(map(len, texts)), len(self.names) + 1
+        codes = np.full((n, len(texts)), -1, np.int64)
+        for b, t in enumerate(texts):
+            codes[: len(t), b] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = np.full((self.longest, n, len(texts)), none, np.int32)
+        nodes = np.zeros(codes.shape, np.int64)
+        for k in range(self.longest):
+            rows = n - k
+            if rows <= 0 or not len(self.edge_keys):
+                break
+            here, code = nodes[:rows], codes[k:]
+            keys = here * POINTS + code
+            found = np.minimum(np.searchsorted(self.edge_keys, keys), len(self.edge_keys) - 1)
+            ok = (here >= 0) & (code >= 0) & (self.edge_keys[found] == keys)
+            nodes = np.where(ok, self.edge_nodes[found], -1)
+            token = np.where(ok, self.node_token[nodes], -1)
+            out[k, :rows] = np.where(token >= 0, token, none)
+            if not ok.any():
+                break
+        out[0] = np.where((codes >= 0) & (out[0] == none), none - 1, out[0])
         return out
 
-    def _w(self, i: int) -> np.ndarray:
-        return self.unknown if i < 0 else self.columns[i]
+    def scores(self, texts: list[str], marginal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, numbers of tokens), texts by labels: of the best path, or of all paths together (then the best's number)."""
+        labels = len(self.weights)
+        total, size = np.zeros((len(texts), labels)), np.zeros((len(texts), labels), np.int64)
+        if self.longest == 1:  # one path only: counts of tokens times weights
+            for part, tok in self._blocks(texts, 1):
+                step = max(1, BLOCK_CELLS * 4 // len(self.rows))
+                for a in range(0, len(part), step):
+                    some = tok[0][:, a : a + step]
+                    cells = some.astype(np.int64) + np.arange(some.shape[1]) * len(self.rows)
+                    n = np.bincount(cells.ravel(), minlength=some.shape[1] * len(self.rows)).reshape(some.shape[1], len(self.rows))[:, :-1]
+                    total[part[a : a + step]] = n.astype(np.float64) @ self.rows[:-1]
+                    size[part[a : a + step]] = n.sum(axis=1)[:, None]
+            return total, size
+        for part, tok in self._blocks(texts, max(self.longest, labels // 8 + 1)):
+            total[part], size[part] = self._walk(tok, np.array([len(texts[i]) for i in part]), marginal)
+        return total, size
 
-    def score(self, text: str, marginal: bool = False) -> np.ndarray:
-        """Score of the best path (or of all paths together) under each label."""
-        if self.longest == 1:  # one path only
-            ids, n = np.unique([self.ids.get(c, -1) for c in text], return_counts=True)
-            return sum((n_ * self._w(int(i)) for i, n_ in zip(ids, n, strict=True)), np.zeros(len(self.weights)))
-        best = np.full((len(text) + 1, len(self.weights)), -np.inf)
+    def _walk(self, tok: np.ndarray, ends: np.ndarray, marginal: bool) -> tuple[np.ndarray, np.ndarray]:
+        longest, n, texts = tok.shape
+        used = (tok <= len(self.names)).any(axis=2)
+        ring = longest + 1
+        shape = (ring, texts, len(self.weights))
+        best, steps = np.full(shape, -np.inf), np.zeros(shape, np.int32)
+        summed = np.full(shape, -np.inf) if marginal else None
         best[0] = 0
-        join = np.logaddexp if marginal else np.maximum
-        for s, found in enumerate(self.edges(text)):
-            for e, i in found:
-                join(best[e], best[s] + self._w(i), out=best[e])
-        return best[-1]
+        if marginal:
+            summed[0] = 0
+        total, size = np.zeros(shape[1:]), np.zeros(shape[1:], np.int64)
+        for s in range(n + 1):
+            here = s % ring
+            done = ends == s
+            if done.any():
+                total[done], size[done] = (summed if marginal else best)[here][done], steps[here][done]
+            if s == n:
+                break
+            for k in range(min(longest, n - s)):
+                if not used[k, s]:
+                    continue
+                there, w = (s + k + 1) % ring, self.rows[tok[k, s]]
+                new = best[here] + w
+                better = new > best[there]
+                steps[there] = np.where(better, steps[here] + 1, steps[there])
+                np.maximum(best[there], new, out=best[there])
+                if marginal:
+                    np.logaddexp(summed[there], summed[here] + w, out=summed[there])
+            best[here] = -np.inf
+            if marginal:
+                summed[here] = -np.inf
+        return total, size
+
+    def paths(self, texts: list[str], label: np.ndarray) -> list[list[str]]:
+        """The best path's tokens of each text under its own label (an index); the earlier start wins a tie."""
+        out: list[list[str]] = [[] for _ in texts]
+        for part, tok in self._blocks(texts, self.longest):
+            longest, n, texts_n = tok.shape
+            own = label[part]
+            best, back = np.full((n + 1, texts_n), -np.inf), np.zeros((n + 1, texts_n), np.int64)
+            best[0] = 0
+            for s in range(n):
+                for k in range(min(longest, n - s)):
+                    new = best[s] + self.rows[tok[k, s], own]
+                    better = new > best[s + k + 1]
+                    best[s + k + 1] = np.where(better, new, best[s + k + 1])
+                    back[s + k + 1] = np.where(better, s, back[s + k + 1])
+            for b, i in enumerate(part):
+                text, e = texts[i], len(texts[i])
+                while e:
+                    out[i].append(text[back[e, b] : e])
+                    e = int(back[e, b])
+                out[i].reverse()
+        return out
+
+    def expectations(self, texts: list[str], label: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Adds the expected counts of each text's tokens under its own label to `into` (labels by tokens); returns log-likelihoods."""
+        like = np.zeros(len(texts))
+        for part, tok in self._blocks(texts, self.longest):
+            longest, n, texts_n = tok.shape
+            own, ends = label[part], np.array([len(texts[i]) for i in part])
+            w = self.rows[tok, own]
+            a, b = np.full((n + 1, texts_n), -np.inf), np.full((n + 1, texts_n), -np.inf)
+            a[0], b[ends, np.arange(texts_n)] = 0, 0
+            for s in range(n):
+                for k in range(min(longest, n - s)):
+                    np.logaddexp(a[s + k + 1], a[s] + w[k, s], out=a[s + k + 1])
+            whole = a[ends, np.arange(texts_n)]
+            for s in range(n - 1, -1, -1):
+                for k in range(min(longest, n - s)):
+                    np.logaddexp(b[s], b[s + k + 1] + w[k, s], out=b[s])
+            like[part] = whole
+            for k in range(min(longest, n)):
+                known = tok[k, : n - k] < len(self.names)
+                with np.errstate(invalid="ignore"):
+                    chance = np.exp(a[: n - k] + w[k, : n - k] + b[k + 1 :] - whole)
+                place, row = np.nonzero(known)
+                np.add.at(into, (own[row], tok[k, place, row]), chance[place, row])
+        return like
+
+    def score(self, text: str, marginal: bool = False) -> np.ndarray:
+        return self.scores([text], marginal)[0][0]
 
     def tokens(self, text: str, row: int) -> list[str]:
-        """The best path's tokens under one label; the earlier start wins a tie."""
-        best, back = np.full(len(text) + 1, -np.inf), [0] * (len(text) + 1)
-        best[0] = 0
-        for s, found in enumerate(self.edges(text)):
-            for e, i in found:
-                if (v := best[s] + self._w(i)[row]) > best[e]:
-                    best[e], back[e] = v, s
-        out, e = [], len(text)
-        while e:
-            out.append(text[back[e] : e])
-            e = back[e]
-        return out[::-1]
+        return self.paths([text], np.array([row]))[0]
 
     def expected(self, text: str, row: int, into: np.ndarray) -> float:
-        """Adds the expected counts of the text's tokens under one label and returns the log-likelihood."""
-        found = self.edges(text)
-        n = len(text)
-        a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        a[0] = b[n] = 0
-        for s in range(n):
-            for e, i in found[s]:
-                a[e] = np.logaddexp(a[e], a[s] + self._w(i)[row])
-        for s in range(n - 1, -1, -1):
-            for e, i in found[s]:
-                b[s] = np.logaddexp(b[s], b[e] + self._w(i)[row])
-        for s in range(n):
-            for e, i in found[s]:
-                if i >= 0:
-                    into[i] += np.exp(a[s] + self._w(i)[row] + b[e] - a[n])
-        return float(a[n])
-
-
-def matrix(model: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
-    """(labels, tokens, weights) of a long model (y, token, w), both sorted; a missing cell is an error."""
-    rows = model.select("y", "token", "w").toPandas()
-    wide = rows.pivot(index="y", columns="token", values="w").sort_index(axis=0).sort_index(axis=1)
-    if wide.isna().any().any():
+        counts = np.zeros((len(self.weights), len(self.names)))
+        like = self.expectations([text], np.array([row]), counts)
+        into += counts[row]
+        return float(like[0])
+
+
+def matrix(model: DataFrame, labels: list[str] | None = None) -> tuple[list[str], list[str], np.ndarray]:
+    """(labels, tokens, weights) of a long model (y, token, w), both sorted; a missing cell is an error.
+
+    Spark makes one array row a label, and the size is checked before any is collected.
+    """
+    model = model.select("y", "token", "w") if labels is None else model.filter(F.col("y").isin(labels)).select("y", "token", "w")
+    tokens = [r[0] for r in model.select("token").distinct().orderBy("token").collect()]
+    rows = model.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("token", "w"))), lambda c: c["w"]).alias("w"))
+    n_labels = model.select("y").distinct().count() if labels is None else len(labels)
+    if n_labels * len(tokens) * 8 > MOST_BYTES:
+        raise ValueError(f"a model of {n_labels} labels and {len(tokens)} tokens is too large to broadcast; score its labels in blocks")
+    found = sorted((r["y"], r["w"]) for r in rows.toLocalIterator())
+    if any(len(w) != len(tokens) or None in w for _, w in found):
         raise ValueError("the model lacks weights of some labels and tokens")
-    return wide.index.tolist(), wide.columns.tolist(), wide.to_numpy()
+    return [y for y, _ in found], tokens, np.array([w for _, w in found], np.float64).reshape(len(found), len(tokens))
 
 
-def score_texts(lines: DataFrame, model: DataFrame, k: int = 1, alpha: float | None = None, marginal: bool = False, bias: dict[str, float] | None = None) -> DataFrame:
-    """line_idx, status, pred and candidates (label, score), best first, of lines (line_idx, text); empty texts keep a row without pred."""
-    labels, tokens, weights = matrix(model)
+def preprocess(text: str | None, form: str | None = None, space: str | None = None) -> str:
+    """A text in a Unicode normal form, runs of white space as one `space` where that is given; null and empty give ""."""
+    text = unicodedata.normalize(form, text) if form and text else text or ""
+    return space.join(text.split()) if space else text
+
+
+CANDIDATE = "struct<score:double,label:string,n_lines:long,n_tokens:long>"
+
+
+def _score_block(lines: DataFrame, model: DataFrame, labels, k, alpha, marginal, bias, normalise, own) -> DataFrame:
+    names, tokens, weights = matrix(model, labels)
     lattice = Lattice(tokens, weights)
-    add = np.array([(bias or {}).get(x, 0.0) for x in labels])
-    schema = "line_idx long, status string, pred string, candidates array<struct<label:string,score:double>>"
+    add = np.array([(bias or {}).get(x, 0.0) for x in names])
+    n_lines = dict(model.select("y", "n_lines").distinct().collect()) if "n_lines" in model.columns else {}  # a row a label
+    keep = [c for c in lines.columns if c != "text"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema if f.name != "text") + f", status string, cands array<{CANDIDATE}>"
+
+    def entry(scores, size, i):
+        return {"score": float(scores[i]), "label": names[i], "n_lines": n_lines.get(names[i]), "n_tokens": int(size[i])}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {x: i for i, x in enumerate(names)}
         for batch in batches:
-            out = []
-            for idx, text in zip(batch["line_idx"], batch["text"], strict=True):
-                if not text:
-                    out.append((idx, "EMPTY", None, []))
-                    continue
-                scores = lattice.score(text, marginal) + add
-                if alpha is not None:
-                    n = np.array([len(lattice.tokens(text, r)) for r in range(len(labels))]) if lattice.longest > 1 else len(text)
-                    scores = scores / n**alpha
-                scores = np.round(scores, 4)
-                order = np.lexsort((np.arange(len(labels)), -scores))[:k]
-                out.append((idx, "SCORED", labels[order[0]], [{"label": labels[i], "score": float(scores[i])} for i in order]))
-            yield pd.DataFrame(out, columns=["line_idx", "status", "pred", "candidates"])
+            texts = [normalise(t) if normalise else t or "" for t in batch["text"]]
+            scores, size = lattice.scores(texts, marginal)
+            scores = np.round(scores, 4) + add
+            if alpha is not None:
+                scores = np.where(size > 0, scores / np.maximum(size, 1) ** alpha, -np.inf)
+            scores = np.round(scores, 4)
+            most = len(names) if k is None else min(k, len(names))
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+            cands = []
+            for j, text in enumerate(texts):
+                chosen = [] if not text else best[j].tolist()
+                if chosen and own is not None and (i := at.get(batch[own].iloc[j])) is not None and i not in chosen:
+                    chosen.append(i)
+                cands.append([entry(scores[j], size[j], i) for i in chosen])
+            out = batch[keep].copy()
+            out["status"] = ["SCORED" if t else "EMPTY" for t in texts]
+            out["cands"] = cands
+            yield out
+
+    return lines.mapInPandas(run, schema)
+
+
+def score_lines(
+    lines: DataFrame, model: DataFrame, k: int | None = 5, alpha: float | None = None, marginal: bool = False, bias: dict[str, float] | None = None,
+    normalise: Callable[[str | None], str] | None = None, own: str | None = None,
+) -> DataFrame:
+    """The columns of lines but text, with status and cands: the k best labels (score, label, n_lines, n_tokens), best first, the lesser on ties.
+
+    Empty texts keep their row with status EMPTY and no candidates. `own` names a column whose label is appended where
+    it isn't among the k best. Labels that don't fit into one broadcast are scored in blocks, whose candidates meet by
+    line_idx, which must then be unique.
+    """
+    labels, tokens = model.agg(F.sort_array(F.collect_set("y")), F.count_distinct("token")).first()  # labels are few by nature
+    step = max(1, MOST_BYTES // max(1, tokens * 8))
+    if len(labels) <= step:
+        return _score_block(lines, model, None, k, alpha, marginal, bias, normalise, own)
+    parts = [_score_block(lines, model, labels[a : a + step], k, alpha, marginal, bias, normalise, None) for a in range(0, len(labels), step)]
+    one = parts[0]
+    for part in parts[1:]:
+        one = one.unionByName(part)
+    keep = [c for c in one.columns if c not in ("line_idx", "cands")]
+    key = lambda c: F.struct((-c["score"]).alias("minus"), c["label"].alias("label"), c["n_lines"].alias("n_lines"), c["n_tokens"].alias("n_tokens"))
+    back = lambda c: F.struct((-c["minus"]).alias("score"), c["label"].alias("label"), c["n_lines"].alias("n_lines"), c["n_tokens"].alias("n_tokens"))
+    merged = F.array_sort(F.transform(F.flatten(F.collect_list("cands")), key))
+    best = F.transform(merged if k is None else F.slice(merged, 1, k), back)
+    return one.groupBy("line_idx").agg(*(F.first(c).alias(c) for c in keep), best.alias("cands"))
 
-    return lines.select("line_idx", "text").mapInPandas(run, schema)
+
+def score_texts(lines: DataFrame, model: DataFrame, k: int = 1, alpha: float | None = None, marginal: bool = False, bias: dict[str, float] | None = None) -> DataFrame:
+    """line_idx, status, pred and candidates (label, score), best first, of lines (line_idx, text); empty texts keep a row without pred."""
+    rows = score_lines(lines.select("line_idx", "text"), model, k, alpha, marginal, bias)
+    pairs = F.transform("cands", lambda c: F.struct(c["label"].alias("label"), c["score"].alias("score")))
+    return rows.select("line_idx", "status", F.get("cands", F.lit(0))["label"].alias("pred"), pairs.alias("candidates"))
 
 
 def segment(lines: DataFrame, model: DataFrame) -> DataFrame:
@@ -128,43 +302,83 @@ def segment(lines: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [lattice.tokens(t or "", at[y]) for y, t in zip(batch["y"], batch["text"], strict=True)]
+            found = lattice.paths([t or "" for t in batch["text"]], np.array([at[y] for y in batch["y"]], np.int64))
             yield pd.DataFrame({"line_idx": batch["line_idx"], "tokens": found})
 
     return lines.select("line_idx", "y", "text").mapInPandas(run, "line_idx long, tokens array<string>")
 
 
-def train_em(spark: SparkSession, lines: DataFrame, tokens: list[str], rounds: int = 3, floor: float = 1e-12) -> tuple[DataFrame, list[float]]:
+def preflight(tokens: list[str], lines: DataFrame, special: list[str] = (), size: int | None = None, least_lines: int = 1) -> DataFrame:
+    """(check, passed, found) before a training: special tokens are there, no token twice or empty, the vocabulary has `size`, every label `least_lines` lines."""
+    missing = [t for t in special if t not in set(tokens)]
+    few = lines.groupBy("y").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") < least_lines), F.count(F.lit(1))).first()
+    checks = [
+        ("special tokens", not missing, ",".join(missing)), ("vocabulary size", size in (None, len(tokens)), str(len(tokens))),
+        ("tokens unique and not empty", len(set(tokens)) == len(tokens) and "" not in tokens, str(len(set(tokens)))), ("lines a label", few[1] > 0 and few[0] == 0, str(few[0])),
+    ]
+    return lines.sparkSession.createDataFrame(checks, "check string, passed boolean, found string")
+
+
+def train_em(spark: SparkSession, lines: DataFrame, tokens: list[str], rounds: int = 3, floor: float = 1e-12, failed: dict[str, str] | None = None) -> tuple[DataFrame, list[float]]:
     """(y, token, w) after EM from uniform weights, and the log-likelihood of each round, which never falls.
 
     Each round is one pass: batches give expected counts by label and token, Spark sums them, and the M-step
-    normalises with a floor. Sums are float64; a count that isn't finite raises.
+    normalises with a floor. Sums are float64. A label whose counts aren't finite or that has no token raises; with a
+    `failed` dict it is put there with its error instead, and the other labels go on without it.
     """
     labels = sorted(r[0] for r in lines.select("y").distinct().collect())
     at = {x: i for i, x in enumerate(labels)}
     tokens = sorted(tokens)
     weights = np.full((len(labels), len(tokens)), -np.log(len(tokens)))
     likelihoods = []
+    out: set[int] = set()
     for _ in range(rounds):
         lattice = Lattice(tokens, weights)
 
-        def step(batches: Iterator[pd.DataFrame], lattice: Lattice = lattice) -> Iterator[pd.DataFrame]:
-            total, like = np.zeros((len(labels), len(tokens) + 1)), 0.0
+        def step(batches: Iterator[pd.DataFrame], lattice: Lattice = lattice, out: set[int] = frozenset(out)) -> Iterator[pd.DataFrame]:
+            total, like = np.zeros((len(labels), len(tokens))), np.zeros(len(labels))
             for batch in batches:
-                for y, text in zip(batch["y"], batch["text"], strict=True):
-                    if text:
-                        like = lattice.expected(text, at[y], total[at[y]])
-                        total[at[y], -1] += like
+                batch = batch[[bool(t) and at[y] not in out for y, t in zip(batch["y"], batch["text"], strict=True)]]
+                own = np.array([at[y] for y in batch["y"]], np.int64)
+                np.add.at(like, own, lattice.expectations(batch["text"].tolist(), own, total))
             rows, cols = np.nonzero(total)
-            yield pd.DataFrame({"label": rows, "token": cols, "n": total[rows, cols]})
+            used = np.nonzero(like)[0]
+            yield pd.DataFrame({"label": np.append(rows, used), "token": np.append(cols, np.full(len(used), len(tokens))), "n": np.append(total[rows, cols], like[used])})
 
         sums = lines.select("y", "text").mapInPandas(step, "label int, token int, n double").groupBy("label", "token").agg(F.sum("n").alias("n")).toPandas()
-        if not np.isfinite(sums["n"]).all():
-            raise FloatingPointError("an expected count isn't finite")
         counts = np.zeros((len(labels), len(tokens) + 1))
         counts[sums["label"], sums["token"]] = sums["n"]
+        for i, label in enumerate(labels):
+            wrong = "an expected count isn't finite" if not np.isfinite(counts[i]).all() else "no token was counted" if failed is not None and not counts[i, :-1].any() else None
+            if wrong and failed is None:
+                raise FloatingPointError(wrong)
+            if wrong:
+                out.add(i)
+                failed.setdefault(label, wrong)
+                counts[i] = 0
         likelihoods.append(float(counts[:, -1].sum()))
         p = counts[:, :-1] / np.maximum(counts[:, :-1].sum(axis=1, keepdims=True), 1e-300)
         weights = np.log(np.maximum(p, floor))
-    rows = pd.DataFrame({"y": np.repeat(labels, len(tokens)), "token": np.tile(tokens, len(labels)), "w": weights.ravel()})
-    return spark.createDataFrame(rows), likelihoods
+    keep = [i for i in range(len(labels)) if i not in out]
+    rows = pd.DataFrame({"y": np.repeat([labels[i] for i in keep], len(tokens)), "token": np.tile(tokens, len(keep)), "w": weights[keep].ravel()})
+    return spark.createDataFrame(rows, "y string, token string, w double"), likelihoods
+
+
+def train_isolated(spark: SparkSession, lines: DataFrame, tokens: list[str], path: str, rounds: int = 3) -> DataFrame:
+    """(y, status, error): trains the labels that `path` doesn't hold yet and appends their weights there; a label that fails stops no other.
+
+    A second call with the same path trains only what is missing, so a run that broke off goes on, and failed labels
+    are tried again.
+    """
+    from glossa.sources.lines import written
+
+    there = written(spark, path)
+    done = [] if there is None else [r[0] for r in there.select("y").distinct().collect()]
+    todo = lines.filter(~F.col("y").isin(done)) if done else lines
+    failed: dict[str, str] = {}
+    labels = sorted(r[0] for r in todo.select("y").distinct().collect())
+    if labels:
+        found, _ = train_em(spark, todo, tokens, rounds, failed=failed)
+        found.write.mode("append").parquet(path)
+    rows = [(x, "present", None) for x in sorted(done)] + [(x, "failed" if x in failed else "trained", failed.get(x)) for x in labels]
+    return spark.createDataFrame(rows, "y string, status string, error string")
