@@ -135,3 +135,38 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     if not by:
         return rows.orderBy(*order).limit(k)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def delta_summary(rows: DataFrame, by: Column) -> DataFrame:
+    """n, mean, median and the shares of fewer, the same and more tokens of `delta`."""
+    share = lambda c: F.avg(c.cast("int"))
+    d = F.col("delta")
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.median(d).alias("median"), share(d < 0).alias("fewer"), share(d == 0).alias("same"), share(d > 0).alias("more"))
+
+
+def one_sample_t(rows: DataFrame) -> DataFrame:
+    """n, t and Cohen's d of `delta` against 0; null without spread."""
+    n, mean, spread = F.count("delta"), F.avg("delta"), F.stddev_samp("delta")
+    return rows.agg(n.alias("n"), F.try_divide(mean, spread / F.sqrt(n)).alias("t"), F.try_divide(mean, spread).alias("cohen_d"))
+
+
+def signed_rank(rows: DataFrame) -> DataFrame:
+    """n of deltas that aren't 0, rank sums of both signs, and z; ranks average over ties and come from counts by distinct size."""
+    d = rows.filter("delta <> 0").groupBy(F.abs("delta").alias("size")).agg(F.count_if(F.col("delta") > 0).alias("plus"), F.count_if(F.col("delta") < 0).alias("minus"))
+    both = F.col("plus") + F.col("minus")
+    before = F.coalesce(F.sum(both).over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a distinct size
+    sums = d.withColumn("rank", before + (both + 1) / 2).agg(
+        F.coalesce(F.sum(both), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("plus")), F.lit(0.0)).alias("w_plus"),
+        F.coalesce(F.sum(F.col("rank") * F.col("minus")), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(both * both * both - both), F.lit(0)).alias("ties"),
+    )
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return sums.withColumn("z", F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, spread)).drop("ties")
+
+
+def macro_correct(pred: Column, macro: Column, gold: Column, *equivalent: tuple[str, str]) -> Column:
+    """Whether a predicted label is the tag, has the tag as its macrolanguage, or stands with the tag in a pair (tag, label)."""
+    same = (pred == gold) | F.coalesce(macro == gold, F.lit(False))
+    for tag, label in equivalent:
+        same = same | ((gold == tag) & (pred == label))
+    return F.coalesce(same, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Patterns and terms of the domains.
@@ -51,3 +51,14 @@ def char_entropy(counts: DataFrame, *by: str) -> DataFrame:
     """Entropy in bits of the characters: log2 N - sum n log2 n / N, from the counts alone."""
     n = F.sum("n")
     return counts.groupBy(*by).agg((F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n).alias("entropy"))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes `classify_domain(text)` and `detect_script(text)` functions of the session's SQL; both are plain expressions that Catalyst inlines."""
+    terms = "(?i)" + "|".join(t.replace(".", r"\.") for t in RELIGIOUS)
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION classify_domain(t STRING) RETURNS STRING RETURN "
+        f"CASE WHEN t RLIKE r'{VERSE}' OR t RLIKE r'{terms}' THEN 'religious' WHEN t RLIKE r'{WIKI}' THEN 'wikipedia' ELSE 'other' END"
+    )
+    counts = ", ".join(f"named_struct('script', '{s}', 'n', CAST(length(regexp_replace(t, r'[^{chars}]', '')) AS BIGINT))" for s, chars in SCRIPTS.items())
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION detect_script(t STRING) RETURNS MAP<STRING, BIGINT> RETURN map_from_entries(filter(array({counts}), p -> p.n > 0))")

@@ -125,10 +125,10 @@ def metrics_by_resource(spark, sf_dir):
     return _binned(spark, sf_dir, m.resource_bin(F.col("n_train")))
 
 
-@query(_binned_sql("CASE WHEN script IN ('Latn', 'Arab', 'Grek') THEN script ELSE 'Other' END"))
+@query(_binned_sql("CASE WHEN script IN (" + ", ".join(f"'{x}'" for x in m.TOP_SCRIPTS) + ") THEN script ELSE 'Other' END"))
 def metrics_by_script(spark, sf_dir):
-    """Metrics by script, those outside a fixed list as one group."""
-    return _binned(spark, sf_dir, F.when(F.col("script").isin("Latn", "Arab", "Grek"), F.col("script")).otherwise("Other"))
+    """Metrics by script, those outside a fixed list of ten as one group."""
+    return _binned(spark, sf_dir, F.when(F.col("script").isin(m.TOP_SCRIPTS), F.col("script")).otherwise("Other"))
 
 
 @query(
@@ -251,16 +251,19 @@ def macros(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(MACROS.items()), "member string, macro string"))
 
 
+EQUIVALENT = ("tgl", "fil")  # fixed value: a tag and the one label that is right for it besides
+
+
 @query(
-    SAMPLE_SQL + f" SELECT model, round(avg(coalesce((gold = own OR macro = gold_macro)::INT, 0)), 9) AS macro_aware, round(avg(coalesce((gold = own)::INT, 0)), 9) AS strict FROM"
-    f" (SELECT model, split_part(y, '_', 1) AS gold, split_part(pred, '_', 1) AS own FROM l) LEFT JOIN {MACRO_SQL} ON own = member LEFT JOIN (SELECT member AS g, macro AS gold_macro FROM {MACRO_SQL}) ON gold = g GROUP BY model"
+    SAMPLE_SQL + f", g AS (SELECT model, CASE WHEN source = 'src2' THEN macro ELSE split_part(y, '_', 1) END AS gold, split_part(pred, '_', 1) AS own FROM l LEFT JOIN {MACRO_SQL} ON split_part(y, '_', 1) = member)"
+    f" SELECT model, round(avg(coalesce((gold = own OR macro = gold OR (gold = 'tgl' AND own = 'fil'))::INT, 0)), 9) AS macro_aware, round(avg(coalesce((gold = own)::INT, 0)), 9) AS strict FROM g LEFT JOIN {MACRO_SQL} ON own = member GROUP BY model"
 )
 def macro_aware_accuracy(spark, sf_dir):
-    """Accuracy that takes a label's macrolanguage for right."""
-    rows = long(spark, sf_dir).select("model", F.substring_index("y", "_", 1).alias("gold"), F.substring_index("pred", "_", 1).alias("member"))
-    rows = rows.join(macros(spark), "member", "left").join(macros(spark).select(F.col("member").alias("gold"), F.col("macro").alias("gold_macro")), "gold", "left")
-    strict = F.coalesce(F.col("gold") == F.col("member"), F.lit(False))
-    aware = strict | F.coalesce(F.col("macro") == F.col("gold_macro"), F.lit(False))
+    """Right is the tag itself, a member of the tag's macrolanguage, or its equivalent; one source's tags are macrolanguages."""
+    gold_macro = macros(spark).select(F.col("member").alias("iso"), F.col("macro").alias("gold_macro"))
+    rows = long(spark, sf_dir).select("model", "source", F.substring_index("y", "_", 1).alias("iso"), F.substring_index("pred", "_", 1).alias("member")).join(gold_macro, "iso", "left").join(macros(spark), "member", "left")
+    gold = F.when(F.col("source") == "src2", F.col("gold_macro")).otherwise(F.col("iso"))
+    aware, strict = m.macro_correct(F.col("member"), F.col("macro"), gold, EQUIVALENT), F.coalesce(gold == F.col("member"), F.lit(False))
     return rows.groupBy("model").agg(_r(F.avg(aware.cast("int"))).alias("macro_aware"), _r(F.avg(strict.cast("int"))).alias("strict"))
 
 
@@ -299,49 +302,6 @@ def rank_auc(spark, sf_dir):
     return m.rank_auc(rows.withColumn("good", F.col("quality") == 1), "n_chars", "good")
 
 
-DELTA_SQL = SAMPLE_SQL + ", d AS (SELECT line_idx, y, text_length, (length(pred_b) - length(y) + CASE WHEN pred_b <> y THEN text_length % 7 - 2 ELSE 0 END)::BIGINT AS delta FROM s WHERE pred_b IS NOT NULL)"
-
-
-def deltas(spark, sf_dir) -> DataFrame:
-    rows = sample(spark, sf_dir).filter("pred_b is not null")
-    delta = F.length("pred_b") - F.length("y") + F.when(F.col("pred_b") != F.col("y"), F.col("text_length") % 7 - 2).otherwise(0)
-    return rows.select("line_idx", "y", "text_length", delta.cast("long").alias("delta"))
-
-
-@query(
-    DELTA_SQL + f" SELECT {LENGTH_SQL} AS bin, count(*) AS n, round(avg(delta), 9) AS mean, median(delta)::DOUBLE AS median, round(avg((delta < 0)::INT), 9) AS fewer, round(avg((delta = 0)::INT), 9) AS same, round(avg((delta > 0)::INT), 9) AS more FROM d GROUP BY bin"
-)
-def token_delta_summary(spark, sf_dir):
-    """Summary of a length difference between predicted and true segmentations, by bin of length."""
-    share = lambda c: _r(F.avg(c.cast("int")))
-    d = F.col("delta")
-    return deltas(spark, sf_dir).groupBy(m.length_bin(F.col("text_length")).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), _r(F.avg(d)).alias("mean"), F.median(d).alias("median"), share(d < 0).alias("fewer"), share(d == 0).alias("same"), share(d > 0).alias("more")
-    )
-
-
-@query(
-    DELTA_SQL + " SELECT count(*) AS n, round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 8) AS t, round(avg(delta) / stddev_samp(delta), 8) AS cohen_d FROM d"
-)
-def one_sample_t(spark, sf_dir):
-    """One-sample t and Cohen's d of the differences against 0."""
-    d = deltas(spark, sf_dir)
-    return d.agg(F.count(F.lit(1)).alias("n"), _r(F.try_divide(F.avg("delta"), F.stddev_samp("delta") / F.sqrt(F.count(F.lit(1)))), 8).alias("t"), _r(F.try_divide(F.avg("delta"), F.stddev_samp("delta")), 8).alias("cohen_d"))
-
-
-@query(
-    DELTA_SQL + ", r AS (SELECT sign(delta) AS sg, rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2.0::DOUBLE AS rk FROM d WHERE delta <> 0)"
-    " SELECT count(*) AS n, coalesce(sum(rk) FILTER (WHERE sg > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (WHERE sg < 0), 0) AS w_minus FROM r"
-)
-def signed_rank(spark, sf_dir):
-    """Signed-rank sums; ranks average over ties and come from counts by distinct size."""
-    d = deltas(spark, sf_dir).filter("delta <> 0").groupBy(F.abs("delta").alias("size")).agg(F.count_if(F.col("delta") > 0).alias("plus"), F.count_if(F.col("delta") < 0).alias("minus"))
-    both = F.col("plus") + F.col("minus")
-    before = F.coalesce(F.sum(both).over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a distinct size
-    ranked = d.withColumn("rank", before + (both + 1) / 2)
-    return ranked.agg(F.sum(both).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("plus")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * F.col("minus")), F.lit(0.0)).alias("w_minus"))
-
-
 WIDE_SQL = SAMPLE_SQL + classes_sql() + ", wide AS (SELECT label, max(support) AS support, max(f1) FILTER (WHERE model = 'a') AS f1_a, max(f1) FILTER (WHERE model = 'b') AS f1_b, max(f1) FILTER (WHERE model = 'c') AS f1_c FROM pc GROUP BY label HAVING max(support) > 0)"
 
 

@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators import distributions as d
+from glossa.operators import metrics
 from glossa.operators import model as mo
+from glossa.operators import sampling as sp
 from glossa.operators import weights as w
 from glossa.plans.registry import query
 from glossa.plans.tables import LABELLED_SQL, SAMPLE_SQL, classes_sql, labelled, sample
 
-_COUNTS: dict[tuple[int, str], DataFrame] = {}
-
 
 def counts(spark, sf_dir: str) -> DataFrame:
-    """Token counts by label, kept for the session: they are the only pass over the texts, and as small as the model."""
-    key = (id(spark), sf_dir)
-    if key not in _COUNTS:
-        _COUNTS[key] = mo.token_counts(labelled(spark, sf_dir)).persist()
-    return _COUNTS[key]
+    """Token counts by label: the only pass over the texts."""
+    return mo.token_counts(labelled(spark, sf_dir))
 
 
 def with_lines(spark, sf_dir: str, model: DataFrame) -> DataFrame:
@@ -349,13 +346,20 @@ def nearest_labels(spark, sf_dir):
     return neighbours(spark, sf_dir).select("y", F.round("d_nn", 6).alias("d_nn"), "nn", "k_close", F.round("d_up", 6).alias("d_up"), "target")
 
 
-@query(SAMPLE_SQL + classes_sql() + " SELECT label AS y, support, fp, round(fp::DOUBLE / (support + 1), 9) AS magnet FROM pc WHERE model = 'a'")
+EVEN_SQL = SAMPLE_SQL + ", l AS (SELECT 'a' AS model, y, pred_a AS pred FROM (SELECT *, row_number() OVER (ORDER BY line_idx) AS place FROM s) WHERE place % 2 = 1)" + classes_sql()
+EVEN_SQL = EVEN_SQL.replace(EVEN_SQL[EVEN_SQL.index(", l AS (\n") : EVEN_SQL.index(", l AS (SELECT 'a'")], "")
+MAGNET_SQL = ", magnet AS (SELECT label AS y, support, fp, fp::DOUBLE / (support + 1) AS magnet FROM pc)"
+
+
+@query(EVEN_SQL + MAGNET_SQL + " SELECT y, support, fp, round(magnet, 9) AS magnet FROM magnet")
 def magnet_ratio(spark, sf_dir):
-    """False positives over support + 1 of each label for system a."""
-    from glossa.operators import metrics
+    """False positives over support + 1 of each label for system a, on the lines of even position (from 0)."""
+    return magnets(spark, sf_dir).select("y", "support", "fp", F.round("magnet", 9).alias("magnet"))
+
 
-    rows = metrics.class_scores(sample(spark, sf_dir), [], "y", "pred_a")
-    return rows.select(F.col("label").alias("y"), "support", "fp", F.round(F.col("fp") / (F.col("support") + 1), 9).alias("magnet"))
+def magnets(spark, sf_dir: str) -> DataFrame:
+    even = sp.rank_in(sample(spark, sf_dir).select("line_idx", "y", "pred_a"), [], "line_idx").filter("rank % 2 = 1")
+    return metrics.class_scores(even, [], "y", "pred_a").select(F.col("label").alias("y"), "support", "fp", (F.col("fp") / (F.col("support") + 1)).alias("magnet"))
 
 
 def category(zh, magnet, d_nn, dnn_bar, log_gap, n_lines, d_up, dup_bar):
@@ -367,45 +371,70 @@ def category(zh, magnet, d_nn, dnn_bar, log_gap, n_lines, d_up, dup_bar):
 
 
 @query(
-    MODEL_SQL + ENTROPY_SQL + NEAR_SQL + ", q AS (SELECT quantile_cont(d_nn, 0.3::DOUBLE) AS nb, quantile_cont(d_up, 0.3::DOUBLE) AS ub FROM near)"
-    f" SELECT y, CASE WHEN zh > 8 THEN 'flat_magnet' WHEN d_nn < nb AND abs(ln(z.n_lines) - ln(o.n_lines)) < 1 THEN 'twin' WHEN z.n_lines < {BAR} AND d_up < ub THEN 'tight_lowres' WHEN z.n_lines < {BAR} THEN 'isolated_tail' WHEN z.n_lines >= {CAP} THEN 'head' ELSE 'mid' END AS category"
-    " FROM zz z JOIN near USING (y) JOIN (SELECT y AS nn, n_lines FROM lab) o USING (nn), q"
+    MODEL_SQL + EVEN_SQL.removeprefix("WITH " + LABELLED_SQL) + MAGNET_SQL + ENTROPY_SQL + NEAR_SQL + ", q AS (SELECT quantile_cont(d_nn, 0.3::DOUBLE) AS nb, quantile_cont(d_up, 0.3::DOUBLE) AS ub FROM near)"
+    f" SELECT y, CASE WHEN (zh > 2 AND magnet > 0.5) OR zh > 8 THEN 'flat_magnet' WHEN d_nn < nb AND abs(ln(z.n_lines) - ln(o.n_lines)) < 1 THEN 'twin' WHEN z.n_lines < {BAR} AND d_up < ub THEN 'tight_lowres' WHEN z.n_lines < {BAR} THEN 'isolated_tail' WHEN z.n_lines >= {CAP} THEN 'head' ELSE 'mid' END AS category"
+    " FROM zz z JOIN near USING (y) JOIN (SELECT y AS nn, n_lines FROM lab) o USING (nn) LEFT JOIN magnet g USING (y), q"
 )
 def label_categories(spark, sf_dir):
     """Flat magnet, twin, tight low-resource, isolated tail, head or mid."""
     z, near = flatness(spark, sf_dir), neighbours(spark, sf_dir)
     bars = near.agg(F.percentile("d_nn", 0.3).alias("nb"), F.percentile("d_up", 0.3).alias("ub"))
     lines = z.select(F.col("y").alias("nn"), F.col("n_lines").alias("nn_lines"))
-    rows = z.join(near, "y").join(lines, "nn").crossJoin(F.broadcast(bars))
+    rows = z.join(near, "y").join(lines, "nn").join(magnets(spark, sf_dir).select("y", "magnet"), "y", "left").crossJoin(F.broadcast(bars))
     gap = F.abs(F.log("n_lines") - F.log("nn_lines"))
-    return rows.select("y", category(F.col("zh"), F.lit(0.0), F.col("d_nn"), F.col("nb"), gap, F.col("n_lines"), F.col("d_up"), F.col("ub")).alias("category"))
+    return rows.select("y", category(F.col("zh"), F.coalesce("magnet", F.lit(0.0)), F.col("d_nn"), F.col("nb"), gap, F.col("n_lines"), F.col("d_up"), F.col("ub")).alias("category"))
 
 
-CLASS_SQL = "CASE WHEN NOT regexp_matches(token, '\\p{L}') THEN 'punctuation' WHEN regexp_matches(token, '[\\x00-\\x1F\\x7F]') THEN 'script_encoding' ELSE 'character_phonotactic' END"
+# The words of the classes, by language group (a word may stand in several).
+FUNCTION_WORDS = """
+the of and in to is for that with was on are be by it as at or an not from but have this had has his her its they their who which will would been were
+one all also can more than other into said about over after when where how each
+de la le les du des un une en et est que qui dans par sur au aux ou el los las del con por se su es da di il lo gli nel dei al che si do dos das no na nos ao aos em com
+der die das den dem ein eine und ist von zu auf mit im an er sie es og er i en et af til med for har av som var det att inte kan om
+na je se ze ve ke do za po
+yang dan di ini itu dari ke untuk dengan pada ada akan juga oleh karena bahwa saya kita mereka ia nya
+na ya wa ni kwa mu
+""".split()
+RELIGIOUS = "yehuwa jehov jehovah allah biblia bible psalm jesus christ gospel scripture verse church pray lord god prophet apostle kina mose moses israel jerusalem".split()
+MARK = "\u0120"  # begins a token that starts a word
 
 
 def token_class(token):
-    """Linguistic class of a token; ordered rules. A leading U+2581 or U+0120 marks a word's begin."""
-    marked = token.rlike("^[\\u2581\\u0120]")
-    body = F.lower(F.regexp_replace(token, "^[\\u2581\\u0120]", ""))
-    letters = F.length(F.regexp_replace(body, "[^\\p{L}]", ""))
+    """Linguistic class of a token; the first rule that holds counts."""
+    marked = token.startswith(MARK)
+    bare = F.regexp_replace(token, "^" + MARK, "")
+    body, size = F.lower(bare), F.length(bare)
+    letters = F.length(F.regexp_replace(bare, "[^\\p{L}]", ""))
+    term = body.isin(RELIGIOUS)
+    for t in RELIGIOUS:
+        term = term | (body.contains(t) & (size < len(t) + 5))
     return (
-        F.when(F.length(F.regexp_replace(token, "[^\\u2581\\u0120]", "")) >= 2, "multi_word_unit")
-        .when((F.length(body) > 0) & (letters == 0), "punctuation")
-        .when((letters < F.length(body) * 0.5) & (F.length(body) <= 4), "punctuation")
-        .when((F.length(body) == 0) | body.rlike("\\p{Cc}"), "script_encoding")
-        .when(body.isin(RELIGIOUS), "domain_religious")
+        F.when(F.length(F.regexp_replace(token, f"[^{MARK}]", "")) >= 2, "multi_word_unit")
+        .when((size > 0) & (letters == 0), "punctuation")
+        .when((size > 0) & (letters < size * 0.5) & (size <= 4), "punctuation")
+        .when(size == 0, "punctuation")
+        .when(bare.rlike("\\p{Cc}"), "script_encoding")
+        .when(term, "domain_religious")
         .when(marked & body.isin(FUNCTION_WORDS), "function_word")
-        .when((F.length(body) <= 2) & (letters == F.length(body)), "character_phonotactic")
-        .when(~marked & (F.length(body) <= 5) & (letters == F.length(body)), "morphological_affix")
-        .when(marked | (F.length(body) > 5), "content_word")
+        .when((size <= 2) & (letters == size), "character_phonotactic")
+        .when(~marked & (size <= 5) & (letters == size), "morphological_affix")
+        .when(marked | (size > 5), "content_word")
         .otherwise("morphological_affix")
     )
 
 
-# Small word lists of the classes.
-FUNCTION_WORDS = "the of and in to is for that with was on are be by it as at or de la le les du des un une en et est que qui dans par sur au el los las del con por se su es der die das den dem ein eine und ist von zu auf mit im".split()
-RELIGIOUS = "allah biblia bible psalm jesus christ gospel scripture verse church pray lord god prophet apostle moses israel jerusalem".split()
+def _list_sql(words: list[str]) -> str:
+    return ", ".join(f"'{x}'" for x in words)
+
+
+CLASS_SQL = (
+    "CASE WHEN NOT regexp_matches(token, '\\p{L}') THEN 'punctuation' WHEN regexp_matches(token, '[\\x00-\\x1F\\x7F]') THEN 'script_encoding' ELSE 'character_phonotactic' END"  # of one code point
+)
+WORD_CLASS_SQL = f"""CASE WHEN length(token) - length(replace(token, '{MARK}', '')) >= 2 THEN 'multi_word_unit' WHEN size > 0 AND letters = 0 THEN 'punctuation' WHEN size > 0 AND letters < size * 0.5::DOUBLE AND size <= 4 THEN 'punctuation'
+  WHEN size = 0 THEN 'punctuation' WHEN regexp_matches(bare, '\\p{{Cc}}') THEN 'script_encoding'
+  WHEN list_bool_or(list_transform([{_list_sql(RELIGIOUS)}], lambda t: body = t OR (contains(body, t) AND size < length(t) + 5))) THEN 'domain_religious'
+  WHEN marked AND body IN ({_list_sql(FUNCTION_WORDS)}) THEN 'function_word' WHEN size <= 2 AND letters = size THEN 'character_phonotactic' WHEN NOT marked AND size <= 5 AND letters = size THEN 'morphological_affix'
+  WHEN marked OR size > 5 THEN 'content_word' ELSE 'morphological_affix' END"""
 
 
 @query(MODEL_SQL + f" SELECT token, {CLASS_SQL} AS class FROM voc")
@@ -414,6 +443,19 @@ def token_classes(spark, sf_dir):
     return counts(spark, sf_dir).select("token").distinct().select("token", token_class(F.col("token")).alias("class"))
 
 
+@query(
+    "WITH "
+    + LABELLED_SQL
+    + f", ws AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM lines), tk AS (SELECT '{MARK}' || word AS token FROM ws UNION SELECT word FROM ws UNION SELECT '{MARK}' || word || '{MARK}' FROM ws),"
+    f" b AS (SELECT token, starts_with(token, '{MARK}') AS marked, regexp_replace(token, '^{MARK}', '') AS bare, lower(bare) AS body, length(bare) AS size, length(regexp_replace(bare, '[^\\p{{L}}]', '', 'g')) AS letters FROM tk), c AS (SELECT {WORD_CLASS_SQL} AS class, count(*) AS n FROM b GROUP BY ALL) SELECT class, n FROM c"
+)
+def word_classes(spark, sf_dir):
+    """All eight classes, over the documents' words as marked, bare and joined tokens."""
+    words = labelled(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    tokens = words.select(F.explode(F.array(F.concat(F.lit(MARK), "word"), "word", F.concat(F.lit(MARK), "word", F.lit(MARK)))).alias("token")).distinct()
+    return tokens.groupBy(token_class(F.col("token")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     MODEL_SQL + f" SELECT CASE WHEN n_lines >= {CAP} THEN 'high' WHEN n_lines < {BAR} THEN 'low' ELSE 'mid' END AS level, {CLASS_SQL} AS class, count(*) AS n, round(sum(abs(p * ln(p / p_base))), 7) AS kl, round(sum(abs(p - p_base)), 7) AS delta FROM m JOIN base USING (token) GROUP BY ALL"
 )

@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators import decisions as dc
+from glossa.operators import metrics as m
 from glossa.operators import model as mo
 from glossa.operators import segment as sg
 from glossa.plans.corpus import LINES
 from glossa.plans.deciding import SCORE_SQL
 from glossa.plans.modelling import MODEL_SQL, counts, model
 from glossa.plans.registry import query
-from glossa.plans.tables import labelled
+from glossa.plans.tables import LANGUAGES, SAMPLE_SQL, labelled, sample
 from glossa.sources import lines as src
 from glossa.sources.store import shared
 from glossa.streaming import scoring as st
 
 
-@query(SCORE_SQL + " SELECT line_idx, first AS pred, round(s1, 2) AS score FROM cd")
+@query(
+    SCORE_SQL + " SELECT l.line_idx, CASE WHEN l.text = '' THEN 'EMPTY' ELSE 'SCORED' END AS status, first AS pred, round(s1, 2) AS score, coalesce(first = l.y, false) AS correct FROM lines l LEFT JOIN cd ON cd.line_idx = l.line_idx"
+)
 def predict_kernel(spark, sf_dir):
-    """The broadcast kernel over whole texts; on one-code-point tokens it must equal the join."""
-    rows = sg.score_texts(labelled(spark, sf_dir), model(spark, sf_dir)).filter("status = 'SCORED'")
-    return rows.select("line_idx", "pred", F.round(F.col("candidates")[0]["score"], 2).alias("score"))
+    """The broadcast kernel over whole texts; empty lines keep their row and count as wrong."""
+    rows = sg.score_lines(labelled(spark, sf_dir).select("line_idx", "y", "text"), model(spark, sf_dir), 1)
+    return rows.select("line_idx", "status", dc.top().alias("pred"), F.round(dc.top(1, "score"), 2).alias("score"), F.coalesce(dc.top() == F.col("y"), F.lit(False)).alias("correct"))
 
 
 PAIR_BAR = 200  # occurrences that make two neighbouring code points a token
@@ -75,20 +79,110 @@ def marginal_pairs(spark, sf_dir):
     return rows.select(F.col("line_idx").alias("item_id"), "pred", F.round(F.col("candidates")[0]["score"], 2).alias("score"))
 
 
+def _pair_scores(spark, sf_dir, **options) -> DataFrame:
+    lines = labelled(spark, sf_dir).select("line_idx", "y", "text", F.length("text").alias("text_length"))
+    return sg.score_lines(lines, pair_model(spark, sf_dir), 1, **options)
+
+
+@query()
+def viterbi_documents(spark, sf_dir):
+    """As `viterbi_pairs`, over every whole document; SQL would take a recursion a code point, so there is none."""
+    return _pair_scores(spark, sf_dir).select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"), dc.top(1, "n_tokens").alias("n_tokens"))
+
+
+@query()
+def marginal_documents(spark, sf_dir):
+    """All segmentations summed, over every whole document."""
+    return _pair_scores(spark, sf_dir, marginal=True).select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"))
+
+
+@query()
+def predict_normalised_documents(spark, sf_dir):
+    """Score over the best path's number of tokens to the power 0.1, over every whole document."""
+    return _pair_scores(spark, sf_dir, alpha=0.1).select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"))
+
+
+@query()
+def segment_documents(spark, sf_dir):
+    """Tokens of the best path of every document under its own label; they join to the text."""
+    return sg.segment(labelled(spark, sf_dir), pair_model(spark, sf_dir))
+
+
+def _vocabulary(spark, sf_dir) -> list[str]:
+    return [r[0] for r in pair_model(spark, sf_dir).select("token").distinct().collect()]
+
+
+@query()
+def train_em_documents(spark, sf_dir):
+    """EM over all documents from uniform weights, two rounds; iterative, so without SQL."""
+    return sg.train_em(spark, labelled(spark, sf_dir), _vocabulary(spark, sf_dir), rounds=2)[0]
+
+
+@query()
+def train_isolated_labels(spark, sf_dir):
+    """Labels trained one apart from another, twice with one path: a label without text fails alone, the second call trains nothing again."""
+    lines = labelled(spark, sf_dir).select("y", "text").unionByName(spark.createDataFrame([("nil_Latn", "")], "y string, text string"))
+    tokens, path = _vocabulary(spark, sf_dir), shared(spark, "labels")
+    first = sg.train_isolated(spark, lines, tokens, path, rounds=1)
+    second = sg.train_isolated(spark, lines, tokens, path, rounds=1)
+    return first.withColumn("call", F.lit(1)).unionByName(second.withColumn("call", F.lit(2)))
+
+
+@query()
+def preflight_checks(spark, sf_dir):
+    """Special tokens, size of the vocabulary and lines a label before a training."""
+    tokens = _vocabulary(spark, sf_dir)
+    return sg.preflight(tokens, labelled(spark, sf_dir), [" "], len(tokens))
+
+
+def token_deltas(spark, sf_dir: str) -> DataFrame:
+    """Each scored line's number of tokens under its first label less that under its own, and whether the score a token would turn an error right."""
+    rows = _pair_scores(spark, sf_dir, own="y").filter("status = 'SCORED'")
+    own = F.filter("cands", lambda c: c["label"] == F.col("y"))[0]
+    rows = rows.withColumns({"pred": dc.top(), "delta": dc.top(1, "n_tokens") - own["n_tokens"]})
+    return rows.withColumn("flips", (F.col("pred") != F.col("y")) & (own["score"] / own["n_tokens"] > dc.top(1, "score") / dc.top(1, "n_tokens"))).drop("cands", "status")
+
+
 @query()
-def segment_benchmark(spark, sf_dir):
-    """Tokens of the best path under a label; kept to the rule that they join to the text."""
-    lines = _benchmark(spark, sf_dir).withColumn("y", F.lit("eng_Latn"))
-    return sg.segment(lines, pair_model(spark, sf_dir))
+def token_delta_summary(spark, sf_dir):
+    """How many more tokens the predicted label's segmentation has than the true one's, by bin of length."""
+    return m.delta_summary(token_deltas(spark, sf_dir), m.length_bin(F.col("text_length")).alias("bin"))
 
 
 @query()
-def train_em_benchmark(spark, sf_dir):
-    """EM over benchmark texts from uniform weights, two rounds; iterative, so without SQL."""
-    lines = _benchmark(spark, sf_dir).withColumn("y", F.when(F.col("text").contains(" the "), "eng_Latn").otherwise("und_Latn"))
-    tokens = [r[0] for r in pair_model(spark, sf_dir).select("token").distinct().collect()]
-    found, _ = sg.train_em(spark, lines, tokens, rounds=2)
-    return found
+def normalisation_counterfactual(spark, sf_dir):
+    """Errors that the score a token would turn right, by bin of length, label and sign of the delta."""
+    rows = token_deltas(spark, sf_dir).filter(F.col("pred") != F.col("y"))
+    return rows.groupBy(m.length_bin(F.col("text_length")).alias("bin"), "y", F.signum("delta").cast("int").alias("sign")).agg(F.count(F.lit(1)).alias("wrong"), F.count_if("flips").alias("flipped"))
+
+
+@query()
+def one_sample_t(spark, sf_dir):
+    """One-sample t and Cohen's d of the token deltas against 0."""
+    return m.one_sample_t(token_deltas(spark, sf_dir))
+
+
+@query()
+def signed_rank(spark, sf_dir):
+    """Signed-rank sums of the token deltas and their normal approximation."""
+    return m.signed_rank(token_deltas(spark, sf_dir))
+
+
+@query(SAMPLE_SQL + " SELECT pred_a AS label, count(*) AS n FROM s GROUP BY pred_a")
+def web_tags_file(spark, sf_dir):
+    """Texts and tags as a gzipped table with a header, text first, written and read back."""
+    path = shared(spark, "web")
+    lines = labelled(spark, sf_dir).select("line_idx", "text").join(sample(spark, sf_dir).select("line_idx", "pred_a"), "line_idx")
+    src.write_web(lines.select("text", F.col("pred_a").alias("tag")), path)
+    return src.read_web(spark, path).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LINES + " SELECT (sum(length(y) + 1))::BIGINT AS length, sha256(string_agg(y, chr(10) ORDER BY y) || chr(10)) AS sha256 FROM (SELECT DISTINCT y FROM lines)")
+def provenance_file(spark, sf_dir):
+    """Length and digest of a written label list; `fingerprint` also gives the path and the code's commit."""
+    path = shared(spark, "list")
+    labelled(spark, sf_dir).select("y").distinct().coalesce(1).sortWithinPartitions("y").write.text(path)  # a row a label
+    return src.fingerprint(spark, path).filter("path LIKE '%.txt'").select("length", "sha256")
 
 
 @query(LINES + " SELECT y AS label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM lines GROUP BY y")
@@ -110,11 +204,12 @@ def model_file(spark, sf_dir):
     return src.load_model(spark, path).select("y", "token", F.round("w", 6).alias("w"))
 
 
-@query(LINES + " SELECT line_idx, y AS pred FROM lines")
+@query(SAMPLE_SQL + " SELECT line_idx, pred_b AS pred FROM s")
 def imported_predictions(spark, sf_dir):
     """Predictions taken over after the checks on labels and lines."""
-    rows = labelled(spark, sf_dir)
-    return src.import_predictions(rows.select("line_idx"), rows.select("line_idx", F.col("y").alias("pred")), rows.select(F.col("y").alias("label")).distinct())
+    labels = spark.createDataFrame([(f"{y}_{s}",) for y in (*LANGUAGES.values(), "und") for s in ("Latn", "Cyrl")], "label string")
+    predictions = sample(spark, sf_dir).select("line_idx", F.col("pred_b").alias("pred"))
+    return src.import_predictions(labelled(spark, sf_dir).select("line_idx"), predictions, labels)
 
 
 @query(LINES + " SELECT source, count(*) AS n FROM lines GROUP BY source")
@@ -133,10 +228,9 @@ def stream_statistics(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("y", "text")
     path = shared(spark, "stream")
     rows.write.parquet(path)
-    name = f"stats_{path.rpartition('-')[2]}"
-    run = st.running_stats(st.read_documents(spark, path)).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared(spark, "stream-state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    out = shared(spark, "stream-out")
+    st.write_stats(st.running_stats(st.read_documents(spark, path)), out, shared(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query(SCORE_SQL + " SELECT line_idx, first AS pred FROM cd")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX = "__label__"
+_WEB = {"sep": "\t", "header": True, "quote": "", "escape": "\u0000", "emptyValue": "", "nullValue": "\u0000"}
 
 
 def _parse(value: Column) -> tuple[Column, Column]:
@@ -74,9 +77,46 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_web(rows: DataFrame, path: str) -> None:
+    """Rows (text, tag) as gzipped lines with a header; tabs and line ends in a text become spaces."""
+    clean = rows.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\r\n]", " ").alias("text"), "tag")
+    clean.write.mode("overwrite").options(**_WEB, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression="gzip").csv(path)
+
+
+def read_web(spark: SparkSession, path: str) -> DataFrame:
+    """label, text of a table with a header whose columns are text and tag, gzipped or not; quotes belong to the text."""
+    rows = spark.read.options(**_WEB).schema("text string, tag string").csv(path)
+    return rows.select(F.trim("tag").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def read_macros(spark: SparkSession, path: str) -> DataFrame:
+    """member, macro of a table with a header and the columns macro, member; the last line of a member wins."""
+    rows = spark.read.options(**_WEB).schema("macro string, member string").csv(path).withColumn("at", F.monotonically_increasing_id())
+    return rows.filter("member is not null").groupBy("member").agg(F.max_by("macro", "at").alias("macro"))
+
+
+def code_commit() -> str | None:
+    """The commit of the code's folder; None where it isn't a checkout."""
+    try:
+        out = subprocess.run(["git", "rev-parse", "HEAD"], cwd=os.path.dirname(__file__), capture_output=True, text=True, timeout=10)
+    except OSError:
+        return None
+    return out.stdout.strip() or None
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and sha256 of each file, hashed where it is read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length and sha256 of each file, hashed where it is read, and the commit of the code."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit(code_commit()).cast("string").alias("commit"))
+
+
+def written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path; None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
 
 
 def write_chunks(rows: DataFrame, path: str, chunk: str, config: dict) -> list:
@@ -89,12 +129,8 @@ def write_chunks(rows: DataFrame, path: str, chunk: str, config: dict) -> list:
     spark = rows.sparkSession
     digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
     target = f"{path}/config={digest}"
-    try:
-        done = [r[0] for r in spark.read.parquet(target).select(chunk).distinct().collect()]
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        done = []
+    there = written(spark, target)
+    done = [] if there is None else [r[0] for r in there.select(chunk).distinct().collect()]
     todo = [r[0] for r in rows.select(chunk).distinct().collect() if r[0] not in done]
     if todo:
         rows.filter(F.col(chunk).isin(todo)).write.mode("append").partitionBy(chunk).parquet(target)

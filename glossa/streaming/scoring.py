@@ -18,6 +18,11 @@ def score_stream(lines: DataFrame, model: DataFrame, out: str, checkpoint: str):
     return score_texts(lines, model).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_stats(stats: DataFrame, out: str, checkpoint: str):
+    """A stream's running table, as it stands after each batch, in a Parquet folder."""
+    return stats.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def running_stats(lines: DataFrame) -> DataFrame:
     """n, mean and deviation of lengths by label; the state is a few sums a label."""
     size = F.length("text")
