@@ -263,6 +263,11 @@ def halves(rows: DataFrame) -> DataFrame:
     return sp.rank_in(rows, ["y"], "line_idx").withColumn("half", (F.col("rank") % 2).cast("int")).drop("rank")
 
 
+def best_with(bias):
+    """The label of best score after a bias, a map by label; the lesser on ties."""
+    return F.array_min(F.transform("cands", lambda c: F.struct((-F.round(c["score"] + bias[c["label"]], 4)).alias("minus"), c["label"].alias("label"))))["label"]
+
+
 @query()
 def bias_by_halves(spark, sf_dir):
     """Biases fitted on one half of each label's lines and tried on the other, both ways; iterative, so without SQL."""
@@ -275,7 +280,7 @@ def bias_by_halves(spark, sf_dir):
     for fit in (0, 1):
         bias, _ = dc.learn_bias(rows.filter(F.col("half") == fit), sorted(lines), {x: 0.1 * math.log(n + 1) for x, n in lines.items()}, steps=6)
         table = F.create_map(*(F.lit(v) for x, b in bias.items() for v in (x, float(b))))
-        new = F.array_min(F.transform("cands", lambda c, t=table: F.struct((-F.round(c["score"] + t[c["label"]], 4)).alias("minus"), c["label"].alias("label"))))["label"]
+        new = best_with(table)
         chosen = rows.filter(F.col("half") != fit).agg(F.avg((dc.top() == F.col("y")).cast("int")), F.avg((new == F.col("y")).cast("int")), F.count(F.lit(1))).first()
         out.append((fit, chosen[2], chosen[0], chosen[1]))
     return spark.createDataFrame(out, "fitted_half int, n long, accuracy_plain double, accuracy_biased double")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.functions.render import to_latex, to_markdown
+from glossa.functions.render import confusion_to_latex, to_latex, to_markdown
 from glossa.operators import decisions as dc
 from glossa.operators import distributions as d
 from glossa.operators import metrics as m
@@ -247,3 +247,110 @@ def test_tables_are_rendered(spark):
     assert r"a\_b & 1,234 & 0.500 \\" in to_latex(df, "T", "tab:t")
     with pytest.raises(ValueError):
         to_markdown(spark.range(20), most=10)
+
+
+def test_blocks_equal_single_texts():
+    rng = np.random.default_rng(8)
+    tokens = ["a", "b", "ab", "ba", "aba", "c\U0001f600"]
+    lattice = sg.Lattice(tokens, rng.normal(-2, 1, (3, len(tokens))))
+    texts = ["".join(rng.choice(list("abc\U0001f600"), n)) for n in (0, 1, 2, 3, 9, 9, 17, 40)]
+    for marginal in (False, True):
+        scores, size = lattice.scores(texts, marginal)
+        for i, t in enumerate(texts):
+            assert scores[i] == pytest.approx(lattice.score(t, marginal))
+            assert size[i].tolist() == [len(lattice.tokens(t, r)) for r in range(3)]
+    assert [["".join(p) for p in lattice.paths(texts, np.full(len(texts), r))] for r in range(3)] == [texts] * 3
+
+
+def test_token_deltas_by_hand(spark):
+    model = frame(spark, [(y, t, w) for y, row in {"p": (-1.0, -1.0, -3.0), "q": (-3.0, -3.0, -1.5)}.items() for t, w in zip(("a", "b", "ab"), row, strict=True)], "y string, token string, w double")
+    rows = sg.score_lines(frame(spark, [(1, "p", "abab"), (2, "q", ""), (3, "p", "ab")], "line_idx long, y string, text string"), model, 1, own="y").collect()
+    one = {r["line_idx"]: [(c["label"], c["score"], c["n_tokens"]) for c in r["cands"]] for r in rows}
+    assert one[1] == [("q", -3.0, 2), ("p", -4.0, 4)] and one[2] == [] and one[3] == [("q", -1.5, 1), ("p", -2.0, 2)]
+    short = sg.score_lines(frame(spark, [(1, "p", "abab")], "line_idx long, y string, text string"), model, 1, alpha=1.0).first()["cands"][0]
+    assert (short["label"], short["score"]) == ("p", -1.0)  # a token scores -1 under p and -1.5 under q
+
+
+def test_labels_in_blocks_score_alike(spark, small_model, monkeypatch):
+    lines = frame(spark, [(1, "aab"), (2, "ccd"), (3, "")], "line_idx long, text string")
+    whole = {r["line_idx"]: r["cands"] for r in sg.score_lines(lines, small_model[0], 2).collect()}
+    monkeypatch.setattr(sg, "MOST_BYTES", 40)  # one label of four tokens
+    assert {r["line_idx"]: r["cands"] for r in sg.score_lines(lines, small_model[0], 2).collect()} == whole
+
+
+def test_delta_statistics(spark):
+    deltas = [0, 1, -1, 2, 2, -3, 5, 0]
+    rows = frame(spark, [(d,) for d in deltas], "delta long")
+    v = np.array(deltas, float)
+    t = m.one_sample_t(rows).first()
+    assert t["cohen_d"] == pytest.approx(v.mean() / v.std(ddof=1)) and t["t"] == pytest.approx(t["cohen_d"] * math.sqrt(8))
+    r = m.signed_rank(rows).first()
+    assert (r["n"], r["w_plus"], r["w_minus"]) == (6, 1.5 + 3.5 + 3.5 + 6, 1.5 + 5)
+    assert m.one_sample_t(rows.limit(0)).first()["t"] is None and m.signed_rank(rows.limit(0)).first()["n"] == 0
+
+
+def test_failing_labels_stop_no_other(spark):
+    lines = frame(spark, [("p", "abab"), ("q", ""), ("r", "ba")], "y string, text string")
+    path = shared(spark, "isolated")
+    first = {r["y"]: r["status"] for r in sg.train_isolated(spark, lines.filter("y <> 'r'"), ["a", "b"], path).collect()}
+    second = {r["y"]: r["status"] for r in sg.train_isolated(spark, lines, ["a", "b"], path).collect()}
+    assert first == {"p": "trained", "q": "failed"} and second == {"p": "present", "q": "failed", "r": "trained"}
+    assert sorted(r[0] for r in spark.read.parquet(path).select("y").distinct().collect()) == ["p", "r"]
+    checks = {r["check"]: r["passed"] for r in sg.preflight(["a", "a"], lines, ["<s>"], 3).collect()}
+    assert not checks["special tokens"] and not checks["vocabulary size"] and not checks["tokens unique and not empty"] and checks["lines a label"]
+
+
+def test_ranks_and_first_rows_of_a_hot_key(spark):
+    rows = spark.range(5000).selectExpr("id * id % 7919 * 3 AS v", "CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS y").dropDuplicates()
+    by = {}
+    for r in sp.rank_in(rows, ["y"], "v", cells=16).collect():
+        by.setdefault(r["y"], []).append((r["v"], r["rank"]))
+    assert all([k for _, k in sorted(x)] == list(range(1, len(x) + 1)) for x in by.values())
+    first = sp.first_by(rows, ["y"], [F.col("v")], 7).collect()
+    assert all(sorted(r["v"] for r in first if r["y"] == y) == sorted(v for v, _ in x)[:7] for y, x in by.items())
+
+
+def test_bootstrap_by_counts(spark):
+    rows = spark.range(4000).selectExpr("CAST(id % 4 = 0 AS INT) AS v")
+    got = sp.bootstrap_counts(rows, "v", 400, 3).first()
+    spread = math.sqrt(0.25 * 0.75 / 4000)
+    assert got["mean"] == 0.25 and got["low"] == pytest.approx(0.25 - 1.96 * spread, abs=0.004) and got["high"] == pytest.approx(0.25 + 1.96 * spread, abs=0.004)
+
+
+def test_stops(spark):
+    rows = frame(spark, [(i, "a", [(5.0 + i, "a", 10), (4.0, "b", 10)]) for i in range(5)], CANDS).withColumn("own_lines", F.lit(5))
+    with pytest.raises(Exception, match="gaps"):
+        dc.thresholds(rows, 0.5, 6, stop=True).collect()
+    saved = rows.select("line_idx", F.when(F.col("line_idx") == 0, "b").otherwise("a").alias("saved"))
+    assert sorted(r["line_idx"] for r in dc.agreeing(rows, saved, 0.8).collect()) == [1, 2, 3, 4]
+    with pytest.raises(ValueError, match="under 0.99"):
+        dc.agreeing(rows, saved)
+    value = frame(spark, [(0.94,)], "v double")
+    assert sp.accept(value, "v", 0.944).first()["accepted"]
+    with pytest.raises(Exception, match="0.005"):
+        sp.accept(value, "v", 0.95).collect()
+
+
+def test_macro_tags(spark):
+    rows = frame(spark, [("uzn", "uzb", "uzb"), ("uzn", "uzb", "uzn"), ("fil", None, "tgl"), ("tgl", None, "fil"), ("eng", None, None), ("uzn", "uzb", "uzs")], "pred string, macro string, gold string")
+    assert [r[0] for r in rows.select(m.macro_correct(F.col("pred"), F.col("macro"), F.col("gold"), ("tgl", "fil"))).collect()] == [True, True, True, False, False, False]
+
+
+def test_web_tables_and_macros(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "w.tsv.gz", "wt") as f:
+        f.write('text\ttag\nsay "a\\b", x\teng \n\tfra\n')
+    assert sorted((r["label"], r["text"]) for r in src.read_web(spark, str(tmp_path / "w.tsv.gz")).collect()) == [("eng", 'say "a\\b", x'), ("fra", "")]
+    (tmp_path / "m.tab").write_text("M_Id\tI_Id\tstatus\nuzb\tuzn\tA\nuzb\tuzs\tA\n")
+    assert sorted(tuple(r) for r in src.read_macros(spark, str(tmp_path / "m.tab")).select("member", "macro").collect()) == [("uzn", "uzb"), ("uzs", "uzb")]
+    assert "commit" in src.fingerprint(spark, str(tmp_path / "m.tab")).columns
+
+
+def test_confusion_table(spark):
+    tex = confusion_to_latex(frame(spark, [("a_b", "a_b", 0.9), ("a_b", "c", 0.1)], "true string, pred string, share double"), "T", "tab:t")
+    assert r"a\_b & \cellcolor{blue!54}90.0 & \cellcolor{blue!6}10.0 \\" in tex and r"c & -- & -- \\" in tex
+
+
+def test_texts_are_normalised():
+    assert sg.preprocess("e\u0301  x\ty", "NFC", "\u2581") == "\u00e9\u2581x\u2581y" and sg.preprocess(None, "NFC") == ""
