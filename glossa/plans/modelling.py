@@ -12,11 +12,12 @@ from glossa.operators import sampling as sp
 from glossa.operators import weights as w
 from glossa.plans.registry import query
 from glossa.plans.tables import LABELLED_SQL, SAMPLE_SQL, classes_sql, labelled, sample
+from glossa.sources.store import table
 
 
 def counts(spark, sf_dir: str) -> DataFrame:
-    """Token counts by label: the only pass over the texts."""
-    return mo.token_counts(labelled(spark, sf_dir))
+    """Token counts by label, written as a table: the only pass over the texts, and as small as the model."""
+    return table(mo.token_counts(labelled(spark, sf_dir)), "counts")
 
 
 def with_lines(spark, sf_dir: str, model: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from glossa.plans.modelling import MODEL_SQL, counts, model
 from glossa.plans.registry import query
 from glossa.plans.tables import LANGUAGES, SAMPLE_SQL, labelled, sample
 from glossa.sources import lines as src
-from glossa.sources.store import shared
+from glossa.sources.store import shared, table
 from glossa.streaming import scoring as st
 
 
@@ -45,7 +45,7 @@ def pair_model(spark, sf_dir: str) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy("token"))
     both = counts(spark, sf_dir).unionByName(found.withColumn("all", total).filter(F.col("all") >= PAIR_BAR).drop("all"))
     grid = mo.dense(both).withColumn("n", F.col("n") + 0.5)
-    return grid.select("y", "token", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("y"))).alias("w"))
+    return table(grid.select("y", "token", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("y"))).alias("w")), "pairs")
 
 
 def _paths_sql(join: str) -> str:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def shared(spark: SparkSession, name: str) -> str:
     if not top and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{top or f'file://{tempfile.gettempdir()}/glossa-{os.getpid()}'}/{name}-{uuid.uuid4().hex}"
+
+
+def table(rows: DataFrame, name: str) -> DataFrame:
+    """rows written below the shared folder and read back."""
+    path = shared(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
