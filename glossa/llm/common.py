@@ -49,9 +49,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 100_000, most_bytes: int = 256 << 20) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows and its strings, arrays and maps at most `most_bytes`, else as it is (a shuffled join)."""
+    widths = [F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(F.struct(f.name))) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    total = F.lit(0).cast("long")
+    for w in widths:
+        total = total + F.coalesce(w, F.lit(0))
+    found = df.select(total.alias("width")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= most_bytes else df
 
 
 _SPACE = np.zeros(256, bool)

@@ -138,7 +138,8 @@ def align(wrapper: list[tuple[str, bool, bool]], stream: list[tuple[str, bool, b
 
 
 def parse_stream(text: str) -> list[tuple[str, bool, bool]]:
-    return [(p.rstrip("+"), False, p.endswith("+")) for p in json.loads(text)]
+    """An expression from the JSON of a page's stream (paths, "+" behind repeated ones) or of a wrapper."""
+    return [(t.rstrip("+"), False, t.endswith("+")) if isinstance(t, str) else tuple(t) for t in json.loads(text)]
 
 
 def is_article(path: str) -> bool:
@@ -255,28 +256,40 @@ def page_streams(found: DataFrame, constant: DataFrame) -> DataFrame:
     return joined.mapInArrow(streams, schema)
 
 
-def infer(pages: DataFrame, salts: int = 32, least_pages: int = 10) -> DataFrame:
-    """(host, wrapper, slots, template): a wrapper as JSON of (path, optional, repeated), the paths of its article slots and the hashes of its template texts.
+def align_all(different: DataFrame, at_once: int = 32) -> DataFrame:
+    """host, stream: the different streams of each host (host, stream) aligned into one wrapper, as JSON of (path, optional, repeated).
 
-    A text that stands on one path in all different pages of a host, of which there are `least_pages` or more, is a
-    token of its own in the streams; if it keeps a fixed place in the aligned wrapper, it is template text and no slot.
-    Equal streams of a host count once, so its pages are never gathered; its different streams are aligned one after
-    another in up to `salts` parts, and the parts' wrappers then with one another.
+    Rounds of groups of about `at_once` streams, whose wrappers are aligned in the next round: a task holds a few
+    streams however many a host has, and the rounds grow with the logarithm of that number.
     """
-    found = written(page_blocks(pages), "html-blocks")
-    streams = written(page_streams(found, constant_texts(found, least_pages)), "html-streams")
-    different = streams.select("host", "stream").distinct().withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         ordered = sorted(rows["stream"], key=lambda s: (len(s), s))
-        parse = parse_stream if "salt" in rows else lambda s: [tuple(t) for t in json.loads(s)]
-        wrapper = parse(ordered[0])
+        wrapper = parse_stream(ordered[0])
         for s in ordered[1:]:
-            wrapper = align(wrapper, parse(s))
+            wrapper = align(wrapper, parse_stream(s))
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "stream": [json.dumps(wrapper)]})
 
-    parts = different.groupBy("host", "salt").applyInPandas(merge, "host string, stream string")
-    wrappers = parts.groupBy("host").applyInPandas(merge, "host string, stream string")
+    rows, groups = written(different, "html-different"), 0
+    while groups != 1:
+        most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+        groups = -(-most // at_once)
+        salt = F.pmod(F.xxhash64("stream"), F.lit(groups)).alias("salt")
+        rows = written(rows.select("host", "stream", salt).groupBy("host", "salt").applyInPandas(merge, "host string, stream string"), "html-aligned")
+    return rows
+
+
+def infer(pages: DataFrame, at_once: int = 32, least_pages: int = 10) -> DataFrame:
+    """(host, wrapper, slots, template): a wrapper as JSON of (path, optional, repeated), the paths of its article slots and the hashes of its template texts.
+
+    A text that stands on one path in all different pages of a host, of which there are `least_pages` or more, is a
+    token of its own in the streams; if it keeps a fixed place in the aligned wrapper, it is template text and no slot.
+    Equal streams of a host count once, so its pages are never gathered; its different streams are aligned in groups of
+    about `at_once`, round by round. A host's wrapper and the paths in it are one row.
+    """
+    found = written(page_blocks(pages), "html-blocks")
+    streams = written(page_streams(found, constant_texts(found, least_pages)), "html-streams")
+    wrappers = align_all(streams.select("host", "stream").distinct(), at_once)
     sums = streams.select("host", F.explode(F.arrays_zip("paths", "chars")).alias("s")).groupBy("host", "s.paths").agg(F.sum("s.chars").alias("chars"))
     chars = sums.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("paths", "chars"))).alias("chars"))
 

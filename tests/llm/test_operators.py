@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import sys
@@ -463,6 +464,29 @@ def test_html_class_words_and_raw_text(spark):
     assert {name: rows[i] for i, name in enumerate(ARTICLES)} == {name: "one two\n\nthree" for name in ARTICLES}
 
 
+def test_html_streams_in_rounds(spark):
+    """Many different streams of one host, in groups of 4: one wrapper with every path once, optional where a stream lacks it."""
+    streams = [json.dumps(["top", *(f"p{j}" for j in range(8) if i >> j & 1), "end"]) for i in range(256)]
+    df = spark.createDataFrame([("h", s) for s in streams] + [("one", '["a", "b+"]'), ("", '["x"]')], "host string, stream string")
+    got = {r["host"]: op7_html.parse_stream(r["stream"]) for r in op7_html.align_all(df, at_once=4).collect()}
+    assert got["one"] == [("a", False, False), ("b", False, True)] and got[""] == [("x", False, False)]
+    paths = [t[0] for t in got["h"]]
+    assert set(paths) == {"top", "end", *(f"p{j}" for j in range(8))}
+    assert [t for t in got["h"] if not t[1]] == [("top", False, False), ("end", False, False)]
+    for s in streams:  # the wrapper's expression takes each stream: its paths in order
+        rest = iter(paths)
+        assert all(p in rest for p in json.loads(s))
+    assert op7_html.align_all(df.limit(0)).count() == 0
+
+
+def test_small_counts_bytes(spark):
+    from glossa.llm.common import small
+
+    df = spark.createDataFrame([(i, "x" * 1000, [1, 2], None) for i in range(20)], "a long, b string, c array<int>, d string")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small(df)) and not hinted(small(df, rows=19)) and not hinted(small(df, most_bytes=20_000)) and hinted(small(df.limit(0), 0, 0))
+
+
 def test_html_template_texts(spark):
     page = "<body><article><h1>t {0}</h1><p>By the staff<p>{1}<p>same {2}{3}</article>"
     pages = [(i, "http://t.example/", page.format(i, prose(5, i), i % 2, "<ul><li>x</ul>" * (i % 3))) for i in range(12)]
