@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA = 0.5
 
 
-def tokens(lines: DataFrame) -> DataFrame:
-    """One row a code point of each line."""
-    return lines.select("line_idx", "y", "script", F.explode(F.split("text", "")).alias("token")).filter("token <> ''")
+MOST_COUNTS = 1 << 20  # counts that a task holds before it passes them on
 
 
 def token_counts(lines: DataFrame) -> DataFrame:
-    """n by y and token; partial sums keep the shuffle at the size of the vocabulary."""
-    return tokens(lines).groupBy("y", "token").agg(F.count(F.lit(1)).alias("n"))
+    """n by y and token (code points). Tasks count whole texts in Arrow batches and pass on sums, so no row a code point is made and the shuffle has the vocabulary's size."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, dict[int, int]] = {}
+
+        def out():
+            y = [label for label, n in found.items() for _ in n]
+            token, n = [chr(t) for c in found.values() for t in c], [x for c in found.values() for x in c.values()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(y, pa.string()), pa.array(token, pa.string()), pa.array(n, pa.int64())], names=["y", "token", "n"])
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32)
+                own = found.setdefault(label, {})
+                for code, k in zip(*(x.tolist() for x in np.unique(codes, return_counts=True)), strict=True):
+                    own[code] = own.get(code, 0) + k
+            if sum(map(len, found.values())) > MOST_COUNTS:
+                yield out()
+        yield out()
+
+    return lines.select("y", "text").mapInArrow(partial, "y string, token string, n long").groupBy("y", "token").agg(F.sum("n").alias("n"))
 
 
 def dense(counts: DataFrame) -> DataFrame:

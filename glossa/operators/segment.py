@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.sources.store import table
+
 UNKNOWN_PENALTY = 10.0  # below the least weight of a row; the value is this library's own
 MOST_BYTES = 2 << 30
 BLOCK_CELLS = 1 << 20  # code points (times labels, times token lengths) of a block of texts
@@ -37,6 +39,9 @@ class Lattice:
         # rows: the tokens, an unknown code point, and no token at all
         self.rows = np.concatenate([weights.T, self.unknown[None], np.full((1, len(weights)), -np.inf)]).astype(np.float64)
         self._trie(tokens)
+        if self.longest == 1:  # the row of each code point
+            self.row_of = np.full(POINTS, len(tokens), np.int64)
+            self.row_of[[ord(t) for t in tokens if t]] = [i for i, t in enumerate(tokens) if t]
 
     def _trie(self, tokens: list[str]) -> None:
         """Nodes numbered from the root 0; an edge's key is node * POINTS + code point."""
@@ -66,6 +71,18 @@ class Lattice:
             at += len(part)
             yield part, self._tokens_at([texts[i] for i in part])
 
+    def _parts(self, texts: list[str]) -> Iterator[list[int]]:
+        """Consecutive texts of about BLOCK_CELLS code points, and no more of them than have as many counts of tokens times 4."""
+        part, size, most = [], 0, max(1, BLOCK_CELLS * 4 // len(self.rows))
+        for i, text in enumerate(texts):
+            part.append(i)
+            size += len(text)
+            if size >= BLOCK_CELLS or len(part) == most:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
     def _tokens_at(self, texts: list[str]) -> np.ndarray:
         n, none = max(map(len, texts)), len(self.names) + 1
         codes = np.full((n, len(texts)), -1, np.int64)
@@ -93,15 +110,13 @@ class Lattice:
         """(scores, numbers of tokens), texts by labels: of the best path, or of all paths together (then the best's number)."""
         labels = len(self.weights)
         total, size = np.zeros((len(texts), labels)), np.zeros((len(texts), labels), np.int64)
-        if self.longest == 1:  # one path only: counts of tokens times weights
-            for part, tok in self._blocks(texts, 1):
-                step = max(1, BLOCK_CELLS * 4 // len(self.rows))
-                for a in range(0, len(part), step):
-                    some = tok[0][:, a : a + step]
-                    cells = some.astype(np.int64) + np.arange(some.shape[1]) * len(self.rows)
-                    n = np.bincount(cells.ravel(), minlength=some.shape[1] * len(self.rows)).reshape(some.shape[1], len(self.rows))[:, :-1]
-                    total[part[a : a + step]] = n.astype(np.float64) @ self.rows[:-1]
-                    size[part[a : a + step]] = n.sum(axis=1)[:, None]
+        if self.longest == 1:  # one path only: counts of code points times weights
+            for part in self._parts(texts):
+                codes = np.frombuffer("".join([texts[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                length = np.array([len(texts[i]) for i in part])
+                cells = self.row_of[codes] + np.repeat(np.arange(len(part)) * len(self.rows), length)
+                n = np.bincount(cells, minlength=len(part) * len(self.rows)).reshape(len(part), len(self.rows))[:, :-1]
+                total[part], size[part] = n.astype(np.float64) @ self.rows[:-1], length[:, None]
             return total, size
         for part, tok in self._blocks(texts, max(self.longest, labels // 8 + 1)):
             total[part], size[part] = self._walk(tok, np.array([len(texts[i]) for i in part]), marginal)
@@ -200,21 +215,41 @@ class Lattice:
         return float(like[0])
 
 
-def matrix(model: DataFrame, labels: list[str] | None = None) -> tuple[list[str], list[str], np.ndarray]:
-    """(labels, tokens, weights) of a long model (y, token, w), both sorted; a missing cell is an error.
+def weight_rows(model: DataFrame) -> DataFrame:
+    """A long model (y, token, w and perhaps n_lines) as a written table of one row a label: its tokens in order, with a hash of them, and their weights."""
+    lines = F.first("n_lines") if "n_lines" in model.columns else F.lit(None).cast("long")
+    rows = model.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("cells"), lines.alias("n_lines"))
+    tokens = F.transform("cells", lambda c: c["token"])
+    return table(rows.select("y", "n_lines", tokens.alias("tokens"), F.xxhash64(tokens).alias("of"), F.transform("cells", lambda c: c["w"]).alias("w")), "weights")
 
-    Spark makes one array row a label, and the size is checked before any is collected.
-    """
-    model = model.select("y", "token", "w") if labels is None else model.filter(F.col("y").isin(labels)).select("y", "token", "w")
-    tokens = [r[0] for r in model.select("token").distinct().orderBy("token").collect()]
-    rows = model.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("token", "w"))), lambda c: c["w"]).alias("w"))
-    n_labels = model.select("y").distinct().count() if labels is None else len(labels)
-    if n_labels * len(tokens) * 8 > MOST_BYTES:
-        raise ValueError(f"a model of {n_labels} labels and {len(tokens)} tokens is too large to broadcast; score its labels in blocks")
-    found = sorted((r["y"], r["w"]) for r in rows.toLocalIterator())
-    if any(len(w) != len(tokens) or None in w for _, w in found):
+
+def _sizes(rows: DataFrame) -> tuple[list[str], int]:
+    """The labels, which are few by nature, and the most tokens of one; a missing or doubled cell is an error."""
+    found = rows.select("y", F.size("tokens").alias("n"), "of", F.exists("w", lambda w: w.isNull()).alias("bad")).orderBy("y").collect()
+    if any(r["bad"] for r in found) or len({(r["n"], r["of"]) for r in found}) > 1:
         raise ValueError("the model lacks weights of some labels and tokens")
-    return [y for y, _ in found], tokens, np.array([w for _, w in found], np.float64).reshape(len(found), len(tokens))
+    return [r["y"] for r in found], max((r["n"] for r in found), default=0)
+
+
+def _collected(rows: DataFrame, labels: list[str], n_tokens: int) -> tuple[list[str], np.ndarray, list[int | None]]:
+    """(tokens, weights, n_lines) of these labels, in their order; the weights come as Arrow buffers once their size is known to fit."""
+    if len(labels) * n_tokens * 8 > MOST_BYTES:
+        raise ValueError(f"a model of {len(labels)} labels and {n_tokens} tokens is too large to broadcast; score its labels in blocks")
+    tokens = rows.filter(F.col("y") == labels[0]).first()["tokens"] if labels else []
+    found = rows.filter(F.col("y").isin(labels)).select("y", "n_lines", "w").toArrow()
+    at = {y: i for i, y in enumerate(found["y"].to_pylist())}
+    order = [at[y] for y in labels]
+    weights = found["w"].combine_chunks().flatten().to_numpy().reshape(len(labels), len(tokens))[order] if labels else np.zeros((0, 0))
+    n_lines = found["n_lines"].to_pylist()
+    return tokens, weights, [n_lines[i] for i in order]
+
+
+def matrix(model: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
+    """(labels, tokens, weights) of a long model (y, token, w), both sorted; a missing cell is an error, and so is a model too large to collect."""
+    rows = weight_rows(model.select("y", "token", "w"))
+    labels, n_tokens = _sizes(rows)
+    tokens, weights, _ = _collected(rows, labels, n_tokens)
+    return labels, tokens, weights
 
 
 def preprocess(text: str | None, form: str | None = None, space: str | None = None) -> str:
@@ -226,11 +261,11 @@ def preprocess(text: str | None, form: str | None = None, space: str | None = No
 CANDIDATE = "struct<score:double,label:string,n_lines:long,n_tokens:long>"
 
 
-def _score_block(lines: DataFrame, model: DataFrame, labels, k, alpha, marginal, bias, normalise, own) -> DataFrame:
-    names, tokens, weights = matrix(model, labels)
+def _score_block(lines: DataFrame, rows: DataFrame, names: list[str], n_tokens: int, k, alpha, marginal, bias, normalise, own) -> DataFrame:
+    tokens, weights, counted = _collected(rows, names, n_tokens)
     lattice = Lattice(tokens, weights)
     add = np.array([(bias or {}).get(x, 0.0) for x in names])
-    n_lines = dict(model.select("y", "n_lines").distinct().collect()) if "n_lines" in model.columns else {}  # a row a label
+    n_lines = dict(zip(names, counted, strict=True))
     keep = [c for c in lines.columns if c != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema if f.name != "text") + f", status string, cands array<{CANDIDATE}>"
 
@@ -272,11 +307,12 @@ def score_lines(
     it isn't among the k best. Labels that don't fit into one broadcast are scored in blocks, whose candidates meet by
     line_idx, which must then be unique.
     """
-    labels, tokens = model.agg(F.sort_array(F.collect_set("y")), F.count_distinct("token")).first()  # labels are few by nature
+    rows = weight_rows(model)
+    labels, tokens = _sizes(rows)
     step = max(1, MOST_BYTES // max(1, tokens * 8))
     if len(labels) <= step:
-        return _score_block(lines, model, None, k, alpha, marginal, bias, normalise, own)
-    parts = [_score_block(lines, model, labels[a : a + step], k, alpha, marginal, bias, normalise, None) for a in range(0, len(labels), step)]
+        return _score_block(lines, rows, labels, tokens, k, alpha, marginal, bias, normalise, own)
+    parts = [_score_block(lines, rows, labels[a : a + step], tokens, k, alpha, marginal, bias, normalise, None) for a in range(0, len(labels), step)]
     one = parts[0]
     for part in parts[1:]:
         one = one.unionByName(part)
