@@ -353,68 +353,3 @@ def preflight(tokens: list[str], lines: DataFrame, special: list[str] = (), size
         ("tokens unique and not empty", len(set(tokens)) == len(tokens) and "" not in tokens, str(len(set(tokens)))), ("lines a label", few[1] > 0 and few[0] == 0, str(few[0])),
     ]
     return lines.sparkSession.createDataFrame(checks, "check string, passed boolean, found string")
-
-
-def train_em(spark: SparkSession, lines: DataFrame, tokens: list[str], rounds: int = 3, floor: float = 1e-12, failed: dict[str, str] | None = None) -> tuple[DataFrame, list[float]]:
-    """(y, token, w) after EM from uniform weights, and the log-likelihood of each round, which never falls.
-
-    Each round is one pass: batches give expected counts by label and token, Spark sums them, and the M-step
-    normalises with a floor. Sums are float64. A label whose counts aren't finite or that has no token raises; with a
-    `failed` dict it is put there with its error instead, and the other labels go on without it.
-    """
-    labels = sorted(r[0] for r in lines.select("y").distinct().collect())
-    at = {x: i for i, x in enumerate(labels)}
-    tokens = sorted(tokens)
-    weights = np.full((len(labels), len(tokens)), -np.log(len(tokens)))
-    likelihoods = []
-    out: set[int] = set()
-    for _ in range(rounds):
-        lattice = Lattice(tokens, weights)
-
-        def step(batches: Iterator[pd.DataFrame], lattice: Lattice = lattice, out: set[int] = frozenset(out)) -> Iterator[pd.DataFrame]:
-            total, like = np.zeros((len(labels), len(tokens))), np.zeros(len(labels))
-            for batch in batches:
-                batch = batch[[bool(t) and at[y] not in out for y, t in zip(batch["y"], batch["text"], strict=True)]]
-                own = np.array([at[y] for y in batch["y"]], np.int64)
-                np.add.at(like, own, lattice.expectations(batch["text"].tolist(), own, total))
-            rows, cols = np.nonzero(total)
-            used = np.nonzero(like)[0]
-            yield pd.DataFrame({"label": np.append(rows, used), "token": np.append(cols, np.full(len(used), len(tokens))), "n": np.append(total[rows, cols], like[used])})
-
-        sums = lines.select("y", "text").mapInPandas(step, "label int, token int, n double").groupBy("label", "token").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros((len(labels), len(tokens) + 1))
-        counts[sums["label"], sums["token"]] = sums["n"]
-        for i, label in enumerate(labels):
-            wrong = "an expected count isn't finite" if not np.isfinite(counts[i]).all() else "no token was counted" if failed is not None and not counts[i, :-1].any() else None
-            if wrong and failed is None:
-                raise FloatingPointError(wrong)
-            if wrong:
-                out.add(i)
-                failed.setdefault(label, wrong)
-                counts[i] = 0
-        likelihoods.append(float(counts[:, -1].sum()))
-        p = counts[:, :-1] / np.maximum(counts[:, :-1].sum(axis=1, keepdims=True), 1e-300)
-        weights = np.log(np.maximum(p, floor))
-    keep = [i for i in range(len(labels)) if i not in out]
-    rows = pd.DataFrame({"y": np.repeat([labels[i] for i in keep], len(tokens)), "token": np.tile(tokens, len(keep)), "w": weights[keep].ravel()})
-    return spark.createDataFrame(rows, "y string, token string, w double"), likelihoods
-
-
-def train_isolated(spark: SparkSession, lines: DataFrame, tokens: list[str], path: str, rounds: int = 3) -> DataFrame:
-    """(y, status, error): trains the labels that `path` doesn't hold yet and appends their weights there; a label that fails stops no other.
-
-    A second call with the same path trains only what is missing, so a run that broke off goes on, and failed labels
-    are tried again.
-    """
-    from glossa.sources.lines import written
-
-    there = written(spark, path)
-    done = [] if there is None else [r[0] for r in there.select("y").distinct().collect()]
-    todo = lines.filter(~F.col("y").isin(done)) if done else lines
-    failed: dict[str, str] = {}
-    labels = sorted(r[0] for r in todo.select("y").distinct().collect())
-    if labels:
-        found, _ = train_em(spark, todo, tokens, rounds, failed=failed)
-        found.write.mode("append").parquet(path)
-    rows = [(x, "present", None) for x in sorted(done)] + [(x, "failed" if x in failed else "trained", failed.get(x)) for x in labels]
-    return spark.createDataFrame(rows, "y string, status string, error string")

@@ -9,11 +9,12 @@ from glossa.operators import decisions as dc
 from glossa.operators import metrics as m
 from glossa.operators import model as mo
 from glossa.operators import segment as sg
+from glossa.operators import subword as sw
 from glossa.plans.corpus import LINES
 from glossa.plans.deciding import SCORE_SQL
 from glossa.plans.modelling import MODEL_SQL, counts, model
 from glossa.plans.registry import query
-from glossa.plans.tables import LANGUAGES, SAMPLE_SQL, labelled, sample
+from glossa.plans.tables import LABELLED_SQL, LANGUAGES, SAMPLE_SQL, labelled, sample
 from glossa.sources import lines as src
 from glossa.sources.store import shared, table
 from glossa.streaming import scoring as st
@@ -108,31 +109,106 @@ def segment_documents(spark, sf_dir):
     return sg.segment(labelled(spark, sf_dir), pair_model(spark, sf_dir))
 
 
-def _vocabulary(spark, sf_dir) -> list[str]:
-    return [r[0] for r in pair_model(spark, sf_dir).select("token").distinct().collect()]
+PIECES = (40, 8, 3000)  # least occurrences of a token, most code points of one, and tokens of the vocabulary
+
+
+def words_of(spark, sf_dir: str) -> DataFrame:
+    """Marked words by label with their counts: the only pass over the texts that training takes."""
+    return sw.word_counts(labelled(spark, sf_dir))
+
+
+def pieces(words: DataFrame) -> DataFrame:
+    """The vocabulary of frequent substrings of the words."""
+    least, longest, size = PIECES
+    return sw.vocabulary(sw.substring_counts(words.select("word", "n"), least, longest), size)
+
+
+def word_model(spark, sf_dir: str) -> DataFrame:
+    """Weights of the vocabulary under each label by substring counts, with the label's lines."""
+    words = words_of(spark, sf_dir)
+    lines = labelled(spark, sf_dir).groupBy("y").agg(F.count(F.lit(1)).alias("n_lines"))  # a row a label
+    return sw.substring_model(words, pieces(words)).join(F.broadcast(lines), "y")
+
+
+WORDS_SQL = (
+    "WITH "
+    + LABELLED_SQL
+    + f""", cut AS (SELECT line_idx, y, unnest(string_split_regex(nfc_normalize(text), '[\x20\x09-\x0D]+')) AS word FROM lines), wd AS (SELECT line_idx, y, '{sw.MARK}' || word AS word FROM cut WHERE word <> ''),
+  units AS (SELECT y, word, count(*) AS n FROM wd GROUP BY ALL), sub AS (SELECT y, word[i:i + k - 1] AS token, sum(n)::BIGINT AS n FROM units, range(1, {PIECES[1] + 1}) k(k), unnest(range(1, length(word) - k + 2)) i(i) GROUP BY ALL),
+  frequent AS (SELECT token, sum(n)::BIGINT AS n FROM sub GROUP BY token HAVING sum(n) >= {PIECES[0]}),
+  voc AS (SELECT token, n FROM frequent WHERE length(token) = 1 UNION ALL (SELECT token, n FROM frequent WHERE length(token) > 1 ORDER BY n * length(token) DESC, token LIMIT greatest({PIECES[2]} - (SELECT count(*) FROM frequent WHERE length(token) = 1), 0)))"""
+)
+
+
+@query(WORDS_SQL + " SELECT token, n FROM frequent")
+def substrings_frequent(spark, sf_dir):
+    """Substrings of up to 8 code points of marked words that occur 40 times or more, level by level."""
+    return sw.substring_counts(words_of(spark, sf_dir).select("word", "n"), *PIECES[:2])
+
+
+WORD_MODEL_SQL = (
+    WORDS_SQL
+    + """, wm AS (SELECT y, token, ln((coalesce(sub.n, 0) + 0.5::DOUBLE) / (sum(coalesce(sub.n, 0)) OVER (PARTITION BY y) + 0.5::DOUBLE * count(*) OVER (PARTITION BY y)))::FLOAT AS w FROM (SELECT DISTINCT y FROM units) CROSS JOIN voc LEFT JOIN sub USING (y, token))"""
+)
+
+
+@query(WORD_MODEL_SQL + " SELECT y, token, round(w::DOUBLE, 4) AS w FROM wm")
+def vocabulary_substrings(spark, sf_dir):
+    """The vocabulary by n x length, weighted under each label by its substring counts."""
+    return word_model(spark, sf_dir).select("y", "token", F.round(F.col("w").cast("double"), 4).alias("w"))
+
+
+# the best scores up to each place of a word, one after another: of the tokens that end there, given as starts and weights
+WORD_PATHS_SQL = (
+    WORD_MODEL_SQL
+    + f""", un AS (SELECT y, (min(w) - 10)::FLOAT AS w FROM wm GROUP BY y), word AS (SELECT DISTINCT word FROM units),
+  edge AS (SELECT word, i - 1 AS s, i + k - 1 AS e, word[i:i + k - 1] AS token FROM word, range(1, {PIECES[1] + 1}) k(k), unnest(range(1, length(word) - k + 2)) i(i) WHERE k = 1 OR word[i:i + k - 1] IN (SELECT token FROM voc)),
+  weighted AS (SELECT word, s, e, un.y, coalesce(wm.w, un.w)::DOUBLE AS w FROM edge CROSS JOIN un LEFT JOIN wm ON wm.token = edge.token AND wm.y = un.y),
+  ends AS (SELECT word, y, e, flatten(list([s::DOUBLE, w])) AS g FROM weighted GROUP BY word, y, e),
+  ws AS (SELECT word, y, list_reduce(list_prepend([0.0::DOUBLE], list(g ORDER BY e)), lambda b, g: list_append(b, list_max(list_transform(range(len(g) // 2), lambda j: b[g[2 * j + 1]::BIGINT + 1] + g[2 * j + 2]))))[-1] AS score FROM ends GROUP BY word, y),
+  ts AS (SELECT wd.line_idx, ws.y AS label, round(sum(ws.score), 4) AS score FROM wd JOIN ws USING (word) GROUP BY ALL),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY line_idx ORDER BY score DESC, label) AS r FROM ts)
+SELECT l.line_idx, CASE WHEN rk.label IS NULL THEN 'EMPTY' ELSE 'SCORED' END AS status, rk.label AS pred, rk.score, coalesce(rk.label = l.y, false) AS correct FROM lines l LEFT JOIN rk ON rk.line_idx = l.line_idx AND r = 1"""
+)
+
+
+@query(WORD_PATHS_SQL)
+def predict_words(spark, sf_dir):
+    """Every whole document pre-tokenised and segmented word by word into tokens of up to 8 code points, under each label; its best label."""
+    rows = sw.score_words(labelled(spark, sf_dir).select("line_idx", "y", "text"), word_model(spark, sf_dir), 1)
+    return rows.select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"), F.coalesce(dc.top() == F.col("y"), F.lit(False)).alias("correct"))
+
+
+@query()
+def marginal_words(spark, sf_dir):
+    """As `predict_words`, all segmentations summed."""
+    rows = sw.score_words(labelled(spark, sf_dir).select("line_idx", "text"), word_model(spark, sf_dir), 1, marginal=True)
+    return rows.select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"))
 
 
 @query()
 def train_em_documents(spark, sf_dir):
-    """EM over all documents from uniform weights, two rounds; iterative, so without SQL."""
-    return sg.train_em(spark, labelled(spark, sf_dir), _vocabulary(spark, sf_dir), rounds=2)[0]
+    """EM over the words of all documents from uniform weights, two rounds; iterative, so without SQL."""
+    words = words_of(spark, sf_dir)
+    return sw.unpacked(sw.train_em(words, pieces(words), rounds=2)[0])
 
 
 @query()
 def train_isolated_labels(spark, sf_dir):
     """Labels trained one apart from another, twice with one path: a label without text fails alone, the second call trains nothing again."""
-    lines = labelled(spark, sf_dir).select("y", "text").unionByName(spark.createDataFrame([("nil_Latn", "")], "y string, text string"))
-    tokens, path = _vocabulary(spark, sf_dir), shared(spark, "labels")
-    first = sg.train_isolated(spark, lines, tokens, path, rounds=1)
-    second = sg.train_isolated(spark, lines, tokens, path, rounds=1)
+    words, path = words_of(spark, sf_dir), shared(spark, "labels")
+    tokens = pieces(words)
+    labels = sorted(r[0] for r in words.select("y").distinct().collect()) + ["nil_Latn"]
+    first = sw.train_isolated(spark, labels, words, tokens, path, rounds=1)
+    second = sw.train_isolated(spark, labels, words, tokens, path, rounds=1)
     return first.withColumn("call", F.lit(1)).unionByName(second.withColumn("call", F.lit(2)))
 
 
 @query()
 def preflight_checks(spark, sf_dir):
-    """Special tokens, size of the vocabulary and lines a label before a training."""
-    tokens = _vocabulary(spark, sf_dir)
-    return sg.preflight(tokens, labelled(spark, sf_dir), [" "], len(tokens))
+    """Special tokens, the size that the vocabulary was asked to have, and lines a label before a training."""
+    tokens = [r[0] for r in pieces(words_of(spark, sf_dir)).select("token").collect()]  # as many as asked for
+    return sg.preflight(tokens, labelled(spark, sf_dir), [sw.MARK], PIECES[2])
 
 
 def token_deltas(spark, sf_dir: str) -> DataFrame:

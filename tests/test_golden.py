@@ -163,12 +163,6 @@ def test_segmentation_against_all_paths():
     assert lattice.score("axb")[0] == pytest.approx(lattice.weights[0, 0] + lattice.unknown[0] + lattice.weights[0, 3])
 
 
-def test_em_raises_the_likelihood(spark):
-    lines = frame(spark, [("p", "ababab"), ("p", "aab"), ("q", "cccab"), ("q", "")], "y string, text string")
-    found, likelihoods = sg.train_em(spark, lines, ["a", "b", "c", "ab"], rounds=5)
-    assert all(b >= a - 1e-9 for a, b in zip(likelihoods, likelihoods[1:])) and found.count() == 8
-
-
 def test_empty_texts_keep_a_row(spark, small_model):
     out = {r["line_idx"]: r for r in sg.score_texts(frame(spark, [(1, "aab"), (2, ""), (3, None)], "line_idx long, text string"), small_model[0], k=2).collect()}
     assert out[1]["pred"] == "p" and len(out[1]["candidates"]) == 2
@@ -289,13 +283,8 @@ def test_delta_statistics(spark):
     assert m.one_sample_t(rows.limit(0)).first()["t"] is None and m.signed_rank(rows.limit(0)).first()["n"] == 0
 
 
-def test_failing_labels_stop_no_other(spark):
+def test_preflight(spark):
     lines = frame(spark, [("p", "abab"), ("q", ""), ("r", "ba")], "y string, text string")
-    path = shared(spark, "isolated")
-    first = {r["y"]: r["status"] for r in sg.train_isolated(spark, lines.filter("y <> 'r'"), ["a", "b"], path).collect()}
-    second = {r["y"]: r["status"] for r in sg.train_isolated(spark, lines, ["a", "b"], path).collect()}
-    assert first == {"p": "trained", "q": "failed"} and second == {"p": "present", "q": "failed", "r": "trained"}
-    assert sorted(r[0] for r in spark.read.parquet(path).select("y").distinct().collect()) == ["p", "r"]
     checks = {r["check"]: r["passed"] for r in sg.preflight(["a", "a"], lines, ["<s>"], 3).collect()}
     assert not checks["special tokens"] and not checks["vocabulary size"] and not checks["tokens unique and not empty"] and checks["lines a label"]
 
