@@ -53,6 +53,39 @@ def char_entropy(counts: DataFrame, *by: str) -> DataFrame:
     return counts.groupBy(*by).agg((F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n).alias("entropy"))
 
 
+REGISTERS = 12  # bits of a register's number
+
+
+def registers(words: DataFrame, *by: str) -> DataFrame:
+    """(by, register, rank): a mergeable sketch of the distinct words of (by, word), one row a register that is set.
+
+    The lowest bits of a word's md5 name its register, the 64 bits above them give its rank, one more than their
+    leading zeros; a register keeps the greatest. At most 2^12 rows a group, whatever the number of words.
+    """
+    digest = F.md5(F.encode("word", "UTF-8"))
+    low = F.conv(F.substring(digest, 32 - REGISTERS // 4 + 1, REGISTERS // 4), 16, 10).cast("int")
+    bits = F.substring(digest, 32 - REGISTERS // 4 - 16 + 1, 16)
+    zeros = F.length(F.regexp_extract(bits, "^0*", 0))
+    digit = F.conv(F.substring(bits, zeros + 1, F.lit(1)), 16, 10).cast("int")  # the first that isn't 0
+    rank = F.when(zeros == 16, 65).otherwise(4 * zeros + 5 - F.length(F.bin(digit.cast("long"))))
+    return words.select(*by, low.alias("register"), rank.cast("int").alias("rank")).groupBy(*by, "register").agg(F.max("rank").alias("rank"))
+
+
+def merged(sketches: DataFrame, *by: str) -> DataFrame:
+    """The sketch of the union of what several sketches, stacked, have seen."""
+    return sketches.groupBy(*by, "register").agg(F.max("rank").alias("rank"))
+
+
+def estimate(sketch: DataFrame, *by: str) -> DataFrame:
+    """(by, words): the number of distinct words by a sketch, with linear counting while registers are empty."""
+    m = float(1 << REGISTERS)
+    alpha = 0.7213 / (1 + 1.079 / m)
+    sums = sketch.groupBy(*by).agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("inverse"), (m - F.count(F.lit(1))).alias("empty"))
+    raw = alpha * m * m / (F.col("inverse") + F.col("empty"))
+    linear = m * F.log(m / F.col("empty"))
+    return sums.select(*by, F.floor(F.when((raw <= 2.5 * m) & (F.col("empty") > 0), linear).otherwise(raw)).cast("long").alias("words"))
+
+
 def register(spark: SparkSession) -> None:
     """Makes `classify_domain(text)` and `detect_script(text)` functions of the session's SQL; both are plain expressions that Catalyst inlines."""
     terms = "(?i)" + "|".join(t.replace(".", r"\.") for t in RELIGIOUS)

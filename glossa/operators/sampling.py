@@ -5,10 +5,13 @@ A draw orders rows by md5 of "seed:id", so any engine repeats it; it isn't a dra
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.model import require
+from glossa.sources.store import table
 
 CELLS = 64  # parts that a hot key is cut into
 # Cumulative probabilities of Poisson(1).
@@ -37,21 +40,23 @@ def first_by(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFr
     return cut.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_k") <= most).drop("_cell", "_k")
 
 
-def rank_in(rows: DataFrame, keys: list[str], order: str, name: str = "rank", cells: int = 256) -> DataFrame:
-    """rows with the rank (from 1) in their key by a numeric column.
+def rank_in(rows: DataFrame, keys: list[str], order: str, name: str = "rank") -> DataFrame:
+    """rows, written, with the rank (from 1) in their key by a column of any ordered type.
 
-    A key's range is cut into cells: a row's rank is the count of the cells before, a table of keys times cells, plus
-    its place in its own. Nulls come first; the order among equal values is open.
+    Rows are dealt by sampled ranges of (keys, order), so neither a hot key nor far or hashed values fill one task,
+    and sorted there; the runs of a key, one a partition at most, give each run's offset. Nulls come first; the order
+    among equal values is open.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    width = ((high - low) if low is not None else 0) / cells + 1
-    cell = F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(float(width))), F.lit(-1)).cast("int") if low is not None else F.lit(-1)
-    rows = rows.withColumn("_cell", cell)
-    sizes = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.join(F.broadcast(sizes.select(*keys, "_cell", before.alias("_before"))), [*keys, "_cell"])
-    place = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(order))
-    return placed.withColumn(name, F.col("_before") + place).drop("_cell", "_before")
+    by = [*keys, order]
+    dealt = rows.repartitionByRange(*by, F.xxhash64(*rows.columns)).sortWithinPartitions(*by)
+    dealt = table(dealt.withColumn("_seen", F.monotonically_increasing_id()), "ranks").withColumn("_part", F.shiftright("_seen", 33))
+    runs = dealt.groupBy(*keys, "_part").agg(F.min("_seen").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_part").alias("_run"), (before - F.col("_start") + 1).alias("_shift"))
+    same = F.col("_part") == F.col("_run")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return dealt.join(F.broadcast(runs), same).withColumn(name, F.col("_seen") + F.col("_shift")).select(*rows.columns, name)  # partitions and keys together, at most
 
 
 def balanced_draw(rows: DataFrame, seed: int, most: int = 100, share: float = 0.5, exclude: DataFrame | None = None) -> DataFrame:
@@ -73,25 +78,79 @@ def poisson_weights(draws: int, seed: int, key: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda k, s: k + (u(b) >= s).cast("int")))
 
 
-def bootstrap_counts(values: DataFrame, value: str, draws: int, seed: int) -> DataFrame:
-    """As `bootstrap_interval`, for a value that takes few distinct ones: n equal rows are taken Poisson(n) times together.
+MEANS = [1, 4, 16, 64]  # of the draws that a number of equal rows is cut into
+
+
+def poisson_table(mean: int) -> list[float]:
+    """Cumulative probabilities of a Poisson law from 0 on, up to where 52 bits see no more: its terms, added up."""
+    term, total, k, out = math.exp(-mean), math.exp(-mean), 0, []
+    while total < 1 and (term > 2**-60 or k < mean):
+        out.append(total)
+        k += 1
+        term *= mean / k
+        total += term
+    return out
+
+
+def poisson_pieces(n: Column) -> Column:
+    """n as a sum of MEANS: an array of (mean, i), the i-th piece of that mean."""
+    def of(mean: int, whole: Column) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0).cast("long"), whole), lambda i: i < whole)
+        return F.transform(numbers, lambda i: F.struct(F.lit(mean).alias("mean"), i.alias("i")))
+
+    pieces, left = [], n.cast("long")
+    for mean in reversed(MEANS):
+        whole = F.floor(left / mean)
+        pieces.append(of(mean, whole))
+        left = left - whole * mean
+    return F.concat(*pieces)
+
+
+def poisson_draws(counts: DataFrame, key: Column, draws: int, seed: int) -> DataFrame:
+    """counts (…, n) with draw and k for every piece: the k of a row's pieces add up to a Poisson(n) number, how often n equal rows are taken together.
 
-    The rows are read once and counted; each draw takes one number a distinct value. Under 64 rows it is the sum of
-    n draws of mean 1, else the rounded normal of mean and variance n.
+    Each piece is an exact inverse draw by a 52-bit hash of seed, draw, key, mean and piece, and a sum of Poisson
+    numbers is one again; nothing is approximated for large n.
     """
+    each = counts.withColumn("_key", key).withColumn("_piece", F.explode(poisson_pieces(F.col("n"))))
+    each = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "_key", "_piece.mean", "_piece.i")), 1, 13), 16, 10).cast("double") / float(16**13)
+    k = F.lit(None)
+    for mean in reversed(MEANS):
+        steps = F.array(*map(F.lit, poisson_table(mean)))
+        k = F.when(F.col("_piece.mean") == mean, F.size(F.filter(steps, lambda c: F.col("_u") >= c))).otherwise(k)
+    return each.withColumn("_u", u).withColumn("k", k.cast("long")).drop("_key", "_piece", "_u", "n")
+
+
+def bootstrap_counts(values: DataFrame, value: str, draws: int, seed: int) -> DataFrame:
+    """As `bootstrap_interval`, for a value that takes few distinct ones: rows are counted once, and n equal rows are taken Poisson(n) times together."""
     counts = values.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    b = counts.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", F.col("v").cast("string"), *parts)), 1, 8), 16, 10).cast("double") / float(16**8)
-    steps = F.array(*map(F.lit, POISSON))
-    each = F.transform(F.sequence(F.lit(0), (F.least("n", F.lit(64)) - 1).cast("int")), lambda i: F.aggregate(steps, F.lit(0), lambda k, s: k + (u(i.cast("string")) >= s).cast("int")))
-    small = F.aggregate(each, F.lit(0), lambda a, k: a + k).cast("double")
-    normal = F.sqrt(-2 * F.log(u(F.lit("a")) + 1e-10)) * F.cos(2 * F.pi() * u(F.lit("b")))
-    k = F.when(F.col("n") < 64, small).otherwise(F.greatest(F.round(F.col("n") + F.sqrt("n") * normal), F.lit(0.0)))
-    means = b.withColumn("k", k).groupBy("draw").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("mean"))
+    taken = poisson_draws(counts, F.col("v").cast("string"), draws, seed)
+    means = taken.groupBy("draw").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("mean"))
     ends = means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
     return counts.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mean")).crossJoin(ends)
 
 
+def bootstrap_macro_f1(rows: DataFrame, base: str, cand: str, draws: int, seed: int) -> DataFrame:
+    """mean, low and high (2.5 and 97.5 percentiles) of macro-F1(cand) - macro-F1(base) over resamples of the lines (y, base, cand).
+
+    Both systems are scored on the same resample. Lines are counted by (y, base, cand) once; each draw takes its cells
+    and scores the labels that it has lines of. An empty prediction (null) misses its label and is no false positive.
+    """
+    cells = rows.groupBy("y", F.col(base).alias("a"), F.col(cand).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    taken = poisson_draws(cells, F.concat_ws("|", "y", F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))), draws, seed).filter("k > 0")
+    none = F.lit(0).cast("long")
+    side = lambda label, support, a, b: F.struct(F.col(label).alias("label"), support.alias("support"), a.alias("pred_a"), b.alias("pred_b"))
+    k = F.col("k")
+    sides = F.array(side("y", k, none, none), side("a", none, k, none), side("b", none, none, k))
+    right = [F.when(F.col("s.label").eqNullSafe(F.col("y")) & (F.col("s.support") > 0) & F.col(c).eqNullSafe(F.col("y")), k).otherwise(none) for c in ("a", "b")]
+    each = taken.withColumn("s", F.explode(sides)).filter("s.label IS NOT NULL")
+    by = each.select("draw", "s.*", right[0].alias("tp_a"), right[1].alias("tp_b")).groupBy("draw", "label").agg(*(F.sum(c).alias(c) for c in ("support", "pred_a", "pred_b", "tp_a", "tp_b")))
+    f1 = lambda c: 2.0 * F.col(f"tp_{c}") / (F.col("support") + F.col(f"pred_{c}"))
+    deltas = by.filter("support > 0").groupBy("draw").agg(F.avg(f1("b") - f1("a")).alias("delta"))
+    return deltas.agg(F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
+
+
 def accept(rows: DataFrame, value: str, published: float, tolerance: float = 0.005) -> DataFrame:
     """rows with `accepted`; a value further than the tolerance from the published one raises."""
     far = ~(F.abs(F.col(value) - published) <= tolerance)

@@ -12,10 +12,10 @@ from glossa.operators import model as mo
 from glossa.operators import sampling as sp
 from glossa.operators import segment as sg
 from glossa.operators import weights as w
-from glossa.plans.modelling import BAR, CAP, MODEL_SQL, model
+from glossa.plans.modelling import BAR, CAP, MODEL_SQL, counts, model, with_lines
 from glossa.plans.registry import query
 from glossa.plans.tables import labelled
-from glossa.sources.store import shared
+from glossa.sources.store import shared, table
 
 SCORE_SQL = (
     MODEL_SQL.replace("ch AS (SELECT y, unnest", "ch AS (SELECT line_idx, y, unnest")
@@ -225,31 +225,48 @@ def gate_listed_labels(spark, sf_dir):
     return dc.gate(rows, taus, "head", BAR).select("line_idx", "y", "pred", "outcome")
 
 
-CARVE_SQL = TAU_SQL + ", saved AS (SELECT *, CASE WHEN substr(md5(line_idx::VARCHAR), 1, 3) = '000' THEN 'und_Latn' ELSE first END AS saved FROM cd)"
+OLD_ALPHA = 0.4  # the smoothing of an older run's model
+OLD_SQL = (
+    f", om AS (SELECT y, token, ln((n + {OLD_ALPHA}::DOUBLE) / (total + {OLD_ALPHA}::DOUBLE * size)) AS w FROM grid), os AS (SELECT c.line_idx, m.y AS label, round(sum(c.n * m.w), 4) AS score FROM lc c JOIN om m USING (token) GROUP BY ALL),"
+    " old AS (SELECT line_idx, arg_min(label, (-score, label)) AS saved FROM os GROUP BY line_idx)"
+)
+CARVE_SQL = TAU_SQL + OLD_SQL
 
 
-def saved_predictions(rows: DataFrame) -> DataFrame:
-    """An older run's labels: those of rows, but for one line in 4,096, which had no label."""
-    old = F.when(F.substring(F.md5(F.col("line_idx").cast("string")), 1, 3) == "000", "und_Latn").otherwise(dc.top())
-    return rows.select("line_idx", old.alias("saved"))
+def saved_predictions(spark, sf_dir: str) -> DataFrame:
+    """The labels that an older run saved to a file: those of another model, smoothed less, scored by itself."""
+    old = with_lines(spark, sf_dir, mo.smoothed(counts(spark, sf_dir), OLD_ALPHA))
+    path = shared(spark, "saved")
+    candidates(spark, sf_dir, 1, old).select("line_idx", dc.top().alias("saved")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-@query(CARVE_SQL + " SELECT line_idx, y, CASE WHEN gap < tau THEN second ELSE first END AS pred, CASE WHEN gap < tau THEN 'moved' ELSE 'kept' END AS outcome FROM saved LEFT JOIN tau ON first = label WHERE first = saved")
+@query(CARVE_SQL + " SELECT line_idx, y, CASE WHEN gap < tau THEN second ELSE first END AS pred, CASE WHEN gap < tau THEN 'moved' ELSE 'kept' END AS outcome FROM cd JOIN old USING (line_idx) LEFT JOIN tau ON first = label WHERE first = saved")
 def agreement_carve_out(spark, sf_dir):
-    """Only lines whose label equals the saved one go through the gate; an agreement under 0.99 stops the query."""
+    """Only lines whose label equals the one that an older model's run saved go through the gate; an agreement under 0.99 stops the query."""
     rows = stored(spark, sf_dir)
-    same = dc.agreeing(rows, saved_predictions(rows))
+    same = dc.agreeing(rows, saved_predictions(spark, sf_dir))
     return dc.gate(same, fixed_taus(rows), "second").select("line_idx", "y", "pred", "outcome")
 
 
-@query(SCORE_SQL + ", p AS (SELECT line_idx, first FROM cd ORDER BY md5('42:' || line_idx), line_idx LIMIT 200) SELECT count(*) AS lines, count(*) AS equal FROM p")
+def plain_labels(lines: DataFrame, model: DataFrame) -> DataFrame:
+    """line_idx, pred by joins alone: the code points of lines (line_idx, text) with their weights, summed; another implementation than the kernel's."""
+    each = lines.select("line_idx", F.explode(F.split("text", "")).alias("token")).filter("token <> ''").groupBy("line_idx", "token").agg(F.count(F.lit(1)).alias("n"))
+    scores = each.join(model.select("y", "token", "w"), "token").groupBy("line_idx", "y").agg(F.round(F.sum(F.col("n") * F.col("w")), 4).alias("score"))
+    return scores.groupBy("line_idx").agg(F.min(F.struct((-F.col("score")).alias("minus"), "y")).alias("best")).select("line_idx", F.col("best.y").alias("pred"))
+
+
+@query(SCORE_SQL + ", p AS (SELECT line_idx, first FROM cd ORDER BY md5('42:' || line_idx), line_idx LIMIT 200) SELECT count(*) AS lines, count(first) AS equal FROM p")
 def import_agreement(spark, sf_dir):
-    """Imported labels must equal the recomputed ones on all lines of the seed-42 sample, else the query stops."""
+    """Labels that another implementation made and a file of its own brings must equal the kernel's on all lines of the seed-42 sample, else the query stops."""
     rows = stored(spark, sf_dir)
+    drawn = table(sp.uniform_sample(rows, 200, 42), "drawn")
     path = shared(spark, "imported")
-    rows.select("line_idx", dc.top().alias("saved")).write.parquet(path)
-    drawn = sp.uniform_sample(rows, 200, 42)
-    return dc.agreeing(drawn, spark.read.parquet(path), 1.0).agg(F.count(F.lit(1)).alias("lines"), F.count_if(dc.top().isNotNull()).alias("equal"))
+    lines = labelled(spark, sf_dir).select("line_idx", "text").join(F.broadcast(drawn.select("line_idx")), "line_idx", "left_semi")
+    plain_labels(lines, model(spark, sf_dir)).select(F.col("line_idx").cast("string"), "pred").write.option("sep", "\t").csv(path)
+    imported = spark.read.option("sep", "\t").schema("line_idx long, saved string").csv(path)
+    same = dc.agreeing(drawn, imported, 1.0).agg(F.count(F.lit(1)).alias("equal"))
+    return drawn.agg(F.count(F.lit(1)).alias("lines")).crossJoin(same)
 
 
 @query(SCORE_SQL + ", h AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY line_idx) % 2 AS half FROM cd) SELECT half, y, count(*) AS n, round(avg((first = y)::INT), 9) AS accuracy FROM h GROUP BY ALL")
@@ -279,8 +296,8 @@ def bias_by_halves(spark, sf_dir):
     out = []
     for fit in (0, 1):
         bias, _ = dc.learn_bias(rows.filter(F.col("half") == fit), sorted(lines), {x: 0.1 * math.log(n + 1) for x, n in lines.items()}, steps=6)
-        table = F.create_map(*(F.lit(v) for x, b in bias.items() for v in (x, float(b))))
-        new = best_with(table)
+        added = F.create_map(*(F.lit(v) for x, b in bias.items() for v in (x, float(b))))
+        new = best_with(added)
         chosen = rows.filter(F.col("half") != fit).agg(F.avg((dc.top() == F.col("y")).cast("int")), F.avg((new == F.col("y")).cast("int")), F.count(F.lit(1))).first()
         out.append((fit, chosen[2], chosen[0], chosen[1]))
     return spark.createDataFrame(out, "fitted_half int, n long, accuracy_plain double, accuracy_biased double")
@@ -288,8 +305,8 @@ def bias_by_halves(spark, sf_dir):
 
 @query()
 def learned_bias(spark, sf_dir):
-    """C11: biases by label that minimise the regularised softmax loss; iterative, so without SQL."""
-    rows = stored(spark, sf_dir)
+    """C11: biases by label that minimise the regularised softmax loss over the 20 best candidates; iterative, so without SQL."""
+    rows = stored(spark, sf_dir, k=20)
     labels = sorted(r[0] for r in model(spark, sf_dir).select("y").distinct().collect())
     lines = {r["y"]: r["own_lines"] for r in rows.select("y", "own_lines").distinct().collect()}
     bias, losses = dc.learn_bias(rows, labels, {x: 0.1 * math.log(lines.get(x, 0) + 1) for x in labels}, steps=12)

@@ -11,7 +11,7 @@ from glossa.operators import model as mo
 from glossa.operators import sampling as sp
 from glossa.operators import weights as w
 from glossa.plans.registry import query
-from glossa.plans.tables import LABELLED_SQL, SAMPLE_SQL, classes_sql, labelled, sample
+from glossa.plans.tables import LABELLED_SQL, SAMPLE_SQL, classes_sql, families, labelled, sample
 from glossa.sources.store import table
 
 
@@ -169,9 +169,10 @@ FAMILY_SQL = "CASE WHEN split_part(y, '_', 1) IN ('eng', 'deu') THEN 'grm' ELSE
     " SELECT y, token, round(coalesce(fprior, prior), 9) AS prior, CASE WHEN fprior IS NOT NULL THEN 'family' WHEN prior IS NOT NULL THEN 'script' ELSE 'none' END AS tier FROM m LEFT JOIN fp USING (y, token) LEFT JOIN prior USING (y, token)"
 )
 def tiered_prior(spark, sf_dir):
-    """The family's mean within the script where it has two backbone rows, else the script's."""
-    m = model(spark, sf_dir)
-    m = m.withColumn("family", F.concat_ws("|", F.when(F.substring_index("y", "_", 1).isin("eng", "deu"), "grm").otherwise("rom"), F.col("script")))
+    """The family's mean within the script where it has two backbone rows, else the script's; families come from a table's file."""
+    known = families(spark).select("iso", F.col("family").alias("group"))  # a row a language
+    m = model(spark, sf_dir).withColumn("iso", F.substring_index("y", "_", 1)).join(F.broadcast(known), "iso").drop("iso")
+    m = m.withColumn("family", F.concat_ws("|", "group", "script")).drop("group")
     enough = m.filter(F.col("n_lines") >= BAR).select("family", "y").distinct().groupBy("family").count().filter("count >= 2").select("family")
     first = w.backbone_mean(m, "family", "n_lines", BAR, CAP).withColumnRenamed("prior", "first")
     first = first.join(F.broadcast(m.join(F.broadcast(enough), "family", "left_semi").select("y").distinct()), "y", "left_semi")

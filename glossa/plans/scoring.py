@@ -309,6 +309,21 @@ def stream_statistics(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(LINES + " SELECT y, count(*) AS n, round(avg(length(text)), 6) AS mean_length, round(stddev_pop(length(text)), 6) AS std_length FROM lines GROUP BY y")
+def stream_sums(spark, sf_dir):
+    """2.12, P3: sums by label kept by batch id; every batch comes twice, as after a failure, and counts once."""
+    path, out = shared(spark, "stream"), shared(spark, "stream-sums")
+    labelled(spark, sf_dir).select("y", "text").repartition(4, "text").write.parquet(path)
+    merge = st.merge_sums(out)
+
+    def twice(rows, batch):
+        merge(rows, batch)
+        merge(rows, batch)
+
+    st.write_sums(st.read_documents(spark, path, 1), out, shared(spark, "stream-state"), twice).awaitTermination()
+    return st.read_sums(spark, out)
+
+
 @query(SCORE_SQL + " SELECT line_idx, first AS pred FROM cd")
 def stream_predictions(spark, sf_dir):
     """2.12: predictions of a stream of lines, appended to files."""

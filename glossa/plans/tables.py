@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.sources.lines import read_codes, write_codes
+from glossa.sources.store import shared
+
 LANGUAGES = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa"}
 NEXT = {"eng": "fra", "fra": "deu", "deu": "spa", "spa": "eng"}
 #: Sources whose lines count as another script.
 OTHER_SCRIPT = ["src1", "src3", "src5", "src7"]
 MODELS = ["a", "b", "c"]
+#: A table of languages (codes, a single code, family, genus) whose lines list several codes and repeat some.
+FAMILIES = [("eng deu", None, "grm", "west"), ("fra;spa, eng", "und", "rom", "italic"), ("deu", "nld", None, "south"), (None, "por", "rom", None)]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +29,13 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("line_idx"), F.concat_ws("_", iso, script).alias("y"), script.alias("script"), "source", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def families(spark: SparkSession) -> DataFrame:
+    """iso, family, genus of FAMILIES, written as a file and read again; of a code's lines the first counts."""
+    path = shared(spark, "families")
+    write_codes(spark.createDataFrame(FAMILIES, "ISO_codes string, ISO639P3code string, Family string, Genus string").coalesce(1), path)
+    return read_codes(spark, path)
+
+
 def _marks(chars: str):
     return F.length(F.regexp_replace("text", f"[^{chars}]", ""))
 

@@ -45,12 +45,30 @@ def unknown_labels(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("label").distinct().join(known, "label", "left_anti")
 
 
+_TABLE = {"header": True, "quote": '"', "escape": '"', "multiLine": False}
+
+
+def write_codes(rows: DataFrame, path: str) -> None:
+    """A table (ISO_codes, ISO639P3code, Family, Genus) as CSV with a header."""
+    rows.select("ISO_codes", "ISO639P3code", "Family", "Genus").write.mode("overwrite").options(**_TABLE).csv(path)
+
+
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """iso, family, genus of a table whose first column may list several codes; the first line of a code wins."""
-    rows = read_tsv(spark, path, "codes", "rest").withColumn("at", F.monotonically_increasing_id())
-    names = F.split("rest", "\t")
-    rows = rows.select("at", F.explode(F.split("codes", "[ ;,]+")).alias("iso"), names[0].alias("family"), F.get(names, F.lit(1)).alias("genus")).filter("iso <> ''")
-    return rows.groupBy("iso").agg(F.min(F.struct("at", "family", "genus")).alias("f")).select("iso", "f.family", "f.genus")
+    """iso, family, genus of such a table, whose first column may list several codes between spaces, commas or semicolons.
+
+    Of a code's lines the first that has a family gives that, and the first that has a genus that. First is by file
+    name, place of the part in the file and line, whichever task reads it. A table without any family is an error.
+    """
+    schema = "ISO_codes string, ISO639P3code string, Family string, Genus string"
+    rows = spark.read.options(**_TABLE).schema(schema).csv(path).withColumn("_n", F.monotonically_increasing_id())
+    rows = rows.withColumn("at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.col("_n").alias("n")))
+    codes = F.array_distinct(F.concat(F.split(F.coalesce("ISO_codes", F.lit("")), "[ ;,]+"), F.array(F.coalesce("ISO639P3code", F.lit("")))))
+    each = rows.select("at", F.explode(codes).alias("iso"), "Family", "Genus").filter("iso <> ''")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("at")))
+    out = each.groupBy("iso").agg(first("Family").alias("family"), first("Genus").alias("genus")).filter("family IS NOT NULL OR genus IS NOT NULL")
+    if out.filter("family IS NOT NULL").isEmpty():
+        raise ValueError(f"no family in {path}")
+    return out
 
 
 def import_predictions(lines: DataFrame, predictions: DataFrame, labels: DataFrame) -> DataFrame:

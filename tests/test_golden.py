@@ -1,6 +1,8 @@
 """Hand-computed cases of ties, edges and invariants."""
 
+import hashlib
 import math
+import os
 
 import numpy as np
 import pytest
@@ -16,7 +18,9 @@ from glossa.operators import sampling as sp
 from glossa.operators import segment as sg
 from glossa.operators import weights as w
 from glossa.sources import lines as src
+from glossa.sources import reports
 from glossa.sources.store import shared
+from glossa.streaming import scoring as st
 
 
 def frame(spark, rows, schema):
@@ -180,10 +184,75 @@ def test_labelled_lines(spark, tmp_path):
     assert src.unknown_labels(src.read_tsv(spark, str(tmp_path / "t")), frame(spark, [("eng",)], "label string")).first()[0] == "fra"
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "w.tsv").write_text("eng sco\tIE\tGermanic\neng\tother\tother\n")
-    assert sorted(tuple(r) for r in src.read_codes(spark, str(tmp_path / "c")).collect()) == [("eng", "IE", "Germanic"), ("sco", "IE", "Germanic")]
     assert src.fingerprint(spark, str(tmp_path / "c")).first()["length"] == 36
 
 
+def test_code_tables(spark, tmp_path):
+    head = "ISO_codes,ISO639P3code,Family,Genus\n"
+    (tmp_path / "b.csv").write_text(head + 'eng,,late,late\nfra,,"Indo, European",\n')
+    (tmp_path / "a.csv").write_text(head + "eng sco;nld,eng,,Germanic\n,deu,IE,Germanic\n" + "eng,,IE,\n" * 5000 + "sco,,last,last\n")
+    wanted = [("deu", "IE", "Germanic"), ("eng", "IE", "Germanic"), ("fra", "Indo, European", None), ("nld", None, "Germanic"), ("sco", "last", "Germanic")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # many tasks a file
+    try:
+        assert sorted(tuple(r) for r in src.read_codes(spark, str(tmp_path)).collect()) == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    src.write_codes(frame(spark, [("x", None, None, "g")], "ISO_codes string, ISO639P3code string, Family string, Genus string"), str(tmp_path / "n"))
+    with pytest.raises(ValueError, match="no family"):
+        src.read_codes(spark, str(tmp_path / "n"))
+
+
+def test_reports(spark):
+    path = shared(spark, "reports")
+    rows = frame(spark, [("a|b", 1, 0.5, True), (None, None, None, None), ("", 3, 1.25, False), ('say "x", y\nz', 4, 2.0, True)], "name string, n long, v double, ok boolean").orderBy("n")
+    assert reports.write_report(rows, path, "r", "A caption") == ["csv", "markdown", "latex"]
+    assert reports.write_report(rows, path, "r", "A caption") == []
+    assert reports.write_report(rows, path, "r", "Another", ("csv",)) == ["csv"]
+    digest = os.listdir(path.removeprefix("file://") + "/r")
+    assert len(digest) == 2
+    broken = [f"{path.removeprefix('file://')}/r/{d}/latex-done" for d in digest if os.path.isdir(f"{path.removeprefix('file://')}/r/{d}/latex-done")]
+    for name in os.listdir(broken[0]):
+        os.remove(f"{broken[0]}/{name}")
+    assert reports.write_report(rows, path, "r", "A caption") == ["latex"]
+    with pytest.raises(ValueError, match="over 1000"):
+        reports.write_report(spark.range(1001), path, "many", "x")
+    plain = frame(spark, [("x", 1, 0.5), ("y", None, None)], "label string, n long, v double").orderBy("label")
+    reports.write_report(plain, path, "p", "x")
+    back = reports.read_report(spark, path, "p", "label string, n long, v double")
+    assert sorted(tuple(r)[:3] for r in back.collect()) == [("x", 1, 0.5), ("y", None, None)] and len(back.first()["digest"]) == 16
+
+
+def sketch_of(words):
+    """Registers by plain arithmetic on the md5 as a number."""
+    out = {}
+    for x in words:
+        h = int(hashlib.md5(x.encode()).hexdigest(), 16)
+        bits = (h >> 12) & (2**64 - 1)
+        out[h & 4095] = max(out.get(h & 4095, 0), 65 - bits.bit_length())
+    return out
+
+
+def test_sketches_merge(spark):
+    a, b = [f"w{i}" for i in range(3000)], [f"w{i}" for i in range(2000, 40_000)]
+    one, two = (pf.registers(frame(spark, [("p", x) for x in xs], "y string, word string"), "y") for xs in (a, b))
+    assert {r["register"]: r["rank"] for r in one.collect()} == sketch_of(a)
+    both = pf.merged(one.unionByName(two), "y")
+    assert {r["register"]: r["rank"] for r in both.collect()} == sketch_of(a + b)
+    for sketch, words in ((one, 3000), (both, 40_000)):
+        assert pf.estimate(sketch, "y").first()["words"] == pytest.approx(words, rel=0.05)
+    assert pf.estimate(one.limit(0), "y").count() == 0
+
+
+def test_replayed_batches_count_once(spark):
+    folder = shared(spark, "sums")
+    merge = st.merge_sums(folder)
+    first, second = frame(spark, [("p", "ab"), ("p", "abcd"), ("q", "")], "y string, text string"), frame(spark, [("p", "x")], "y string, text string")
+    for rows, batch in ((first, 0), (second, 1), (first, 0), (second, 1), (second, 1)):
+        merge(rows, batch)
+    found = {r["y"]: tuple(r)[1:] for r in st.read_sums(spark, folder).collect()}
+    assert found == {"p": (3, round(7 / 3, 6), pytest.approx(np.std([2, 4, 1]), abs=1e-6)), "q": (1, 0.0, 0.0)}
+
+
 def test_imports_are_checked(spark):
     lines, labels = frame(spark, [(1,), (2,)], "line_idx long"), frame(spark, [("a",)], "label string")
     for predictions, fault in (([(1, "a")], "no prediction"), ([(1, "a"), (2, "x")], "unknown"), ([(1, "a"), (2, "a"), (3, "a")], "no line"), ([(1, "a"), (2, "a"), (2, "a")], "two")):
@@ -292,7 +361,7 @@ def test_preflight(spark):
 def test_ranks_and_first_rows_of_a_hot_key(spark):
     rows = spark.range(5000).selectExpr("id * id % 7919 * 3 AS v", "CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS y").dropDuplicates()
     by = {}
-    for r in sp.rank_in(rows, ["y"], "v", cells=16).collect():
+    for r in sp.rank_in(rows, ["y"], "v").collect():
         by.setdefault(r["y"], []).append((r["v"], r["rank"]))
     assert all([k for _, k in sorted(x)] == list(range(1, len(x) + 1)) for x in by.values())
     first = sp.first_by(rows, ["y"], [F.col("v")], 7).collect()
@@ -306,6 +375,53 @@ def test_bootstrap_by_counts(spark):
     assert got["mean"] == 0.25 and got["low"] == pytest.approx(0.25 - 1.96 * spread, abs=0.004) and got["high"] == pytest.approx(0.25 + 1.96 * spread, abs=0.004)
 
 
+def test_poisson_draws(spark):
+    """Pieces add up to n, tables are the law's, and draws have its mean and variance at small and large n."""
+    for mean in sp.MEANS:
+        law = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(400)]
+        assert sp.poisson_table(mean) == pytest.approx(np.cumsum(law)[: len(sp.poisson_table(mean))])
+    counts = frame(spark, [("a", 0), ("b", 1), ("c", 63), ("d", 64), ("e", 1000)], "v string, n long")
+    whole = counts.select("v", "n", F.aggregate(sp.poisson_pieces(F.col("n")), F.lit(0).cast("long"), lambda s, p: s + p["mean"]).alias("m")).collect()
+    assert all(r["n"] == r["m"] for r in whole)
+    drawn = sp.poisson_draws(counts, F.col("v"), 2000, 1).groupBy("v", "draw").agg(F.sum("k").alias("k")).groupBy("v").agg(F.avg("k").alias("mean"), F.var_pop("k").alias("var"))
+    for r in drawn.collect():
+        n = {"b": 1, "c": 63, "d": 64, "e": 1000}[r["v"]]
+        assert r["mean"] == pytest.approx(n, abs=4 * math.sqrt(n / 2000)) and r["var"] == pytest.approx(n, rel=0.15)
+
+
+def test_bootstrap_of_macro_f1(spark):
+    """Intervals against resampled lines in numpy; equal systems never differ."""
+    rng = np.random.default_rng(5)
+    y = rng.choice(["p", "q", "r"], 1500, p=[0.7, 0.25, 0.05])
+    a, b = (np.where(rng.random(1500) < rate, y, rng.choice(["p", "q", "s"], 1500)) for rate in (0.7, 0.8))
+    rows = frame(spark, [(str(t), str(i) if i != "s" else None, str(j)) for t, i, j in zip(y, a, b, strict=True)], "y string, a string, b string")
+
+    def macro(t, p):
+        return np.mean([2 * np.sum((t == x) & (p == x)) / (np.sum(t == x) + np.sum(p == x)) for x in np.unique(t)])
+
+    deltas = []
+    for _ in range(1000):
+        at = rng.integers(0, 1500, 1500)
+        deltas.append(macro(y[at], b[at]) - macro(y[at], np.where(a == "s", "none", a)[at]))
+    got = sp.bootstrap_macro_f1(rows, "a", "b", 500, 2).first()
+    assert [got["mean"], got["low"], got["high"]] == pytest.approx([np.mean(deltas), *np.percentile(deltas, [2.5, 97.5])], abs=0.012)
+    assert tuple(sp.bootstrap_macro_f1(rows, "b", "b", 50, 2).first()) == (0.0, 0.0, 0.0)
+
+
+def test_ranks_of_hashed_and_far_values(spark):
+    ids = [(i * 2654435761 * 40503 % 2**63) * (-1) ** i for i in range(3000)] + [10**12, None, None, 5, 5, 5]
+    rows = frame(spark, [("hot" if i % 10 else None, v) for i, v in enumerate(ids)], "y string, v long")
+    by = {}
+    for r in sp.rank_in(rows, ["y"], "v").collect():
+        by.setdefault(r["y"], []).append((r["v"] is not None, r["v"] or 0, r["rank"]))
+    assert set(by) == {"hot", None}
+    for found in by.values():
+        assert [k for *_, k in sorted(found)] == list(range(1, len(found) + 1))
+    everything = sp.rank_in(rows.select("v"), [], "v").collect()
+    assert sorted(r["rank"] for r in everything) == list(range(1, len(ids) + 1))
+    assert sp.rank_in(rows.limit(0), ["y"], "v").count() == 0
+
+
 def test_stops(spark):
     rows = frame(spark, [(i, "a", [(5.0 + i, "a", 10), (4.0, "b", 10)]) for i in range(5)], CANDS).withColumn("own_lines", F.lit(5))
     with pytest.raises(Exception, match="gaps"):
