@@ -12,6 +12,7 @@ from glossa.operators import segment as sg
 from glossa.operators import subword as sw
 from glossa.plans.corpus import LINES
 from glossa.plans.deciding import SCORE_SQL
+from glossa.plans.evaluation import LENGTH_SQL
 from glossa.plans.modelling import MODEL_SQL, counts, model
 from glossa.plans.registry import query
 from glossa.plans.tables import LABELLED_SQL, LANGUAGES, SAMPLE_SQL, labelled, sample
@@ -158,21 +159,23 @@ def vocabulary_substrings(spark, sf_dir):
     return word_model(spark, sf_dir).select("y", "token", F.round(F.col("w").cast("double"), 4).alias("w"))
 
 
-# the best scores up to each place of a word, one after another: of the tokens that end there, given as starts and weights
+# the best score up to each place of a word and its tokens' number, negative, one pair after another: of the tokens that end there, given as starts and weights
 WORD_PATHS_SQL = (
     WORD_MODEL_SQL
     + f""", un AS (SELECT y, (min(w) - 10)::FLOAT AS w FROM wm GROUP BY y), word AS (SELECT DISTINCT word FROM units),
   edge AS (SELECT word, i - 1 AS s, i + k - 1 AS e, word[i:i + k - 1] AS token FROM word, range(1, {PIECES[1] + 1}) k(k), unnest(range(1, length(word) - k + 2)) i(i) WHERE k = 1 OR word[i:i + k - 1] IN (SELECT token FROM voc)),
   weighted AS (SELECT word, s, e, un.y, coalesce(wm.w, un.w)::DOUBLE AS w FROM edge CROSS JOIN un LEFT JOIN wm ON wm.token = edge.token AND wm.y = un.y),
   ends AS (SELECT word, y, e, flatten(list([s::DOUBLE, w])) AS g FROM weighted GROUP BY word, y, e),
-  ws AS (SELECT word, y, list_reduce(list_prepend([0.0::DOUBLE], list(g ORDER BY e)), lambda b, g: list_append(b, list_max(list_transform(range(len(g) // 2), lambda j: b[g[2 * j + 1]::BIGINT + 1] + g[2 * j + 2]))))[-1] AS score FROM ends GROUP BY word, y),
-  ts AS (SELECT wd.line_idx, ws.y AS label, round(sum(ws.score), 4) AS score FROM wd JOIN ws USING (word) GROUP BY ALL),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY line_idx ORDER BY score DESC, label) AS r FROM ts)
-SELECT l.line_idx, CASE WHEN rk.label IS NULL THEN 'EMPTY' ELSE 'SCORED' END AS status, rk.label AS pred, rk.score, coalesce(rk.label = l.y, false) AS correct FROM lines l LEFT JOIN rk ON rk.line_idx = l.line_idx AND r = 1"""
+  ws AS (SELECT word, y, b[-2] AS score, -b[-1] AS n FROM (SELECT word, y, list_reduce(list_prepend([0.0::DOUBLE, 0.0::DOUBLE], list(g ORDER BY e)), lambda b, g: list_concat(b, list_max(list_transform(range(len(g) // 2), lambda j: [b[2 * g[2 * j + 1]::BIGINT + 1] + g[2 * j + 2], b[2 * g[2 * j + 1]::BIGINT + 2] - 1])))) AS b FROM ends GROUP BY word, y)),
+  ts AS (SELECT wd.line_idx, ws.y AS label, round(sum(ws.score), 4) AS score, sum(ws.n)::BIGINT AS n_tokens FROM wd JOIN ws USING (word) GROUP BY ALL),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY line_idx ORDER BY score DESC, label) AS r FROM ts)"""
 )
 
 
-@query(WORD_PATHS_SQL)
+@query(
+    WORD_PATHS_SQL
+    + """ SELECT l.line_idx, CASE WHEN rk.label IS NULL THEN 'EMPTY' ELSE 'SCORED' END AS status, rk.label AS pred, rk.score, coalesce(rk.label = l.y, false) AS correct FROM lines l LEFT JOIN rk ON rk.line_idx = l.line_idx AND r = 1"""
+)
 def predict_words(spark, sf_dir):
     """Every whole document pre-tokenised and segmented word by word into tokens of up to 8 code points, under each label; its best label."""
     rows = sw.score_words(labelled(spark, sf_dir).select("line_idx", "y", "text"), word_model(spark, sf_dir), 1)
@@ -213,35 +216,50 @@ def preflight_checks(spark, sf_dir):
 
 def token_deltas(spark, sf_dir: str) -> DataFrame:
     """Each scored line's number of tokens under its first label less that under its own, and whether the score a token would turn an error right."""
-    rows = _pair_scores(spark, sf_dir, own="y").filter("status = 'SCORED'")
+    lines = labelled(spark, sf_dir).select("line_idx", "y", "text", F.length("text").alias("text_length"))
+    rows = sw.score_words(lines, word_model(spark, sf_dir), 1, own="y").filter("status = 'SCORED'")
     own = F.filter("cands", lambda c: c["label"] == F.col("y"))[0]
     rows = rows.withColumns({"pred": dc.top(), "delta": dc.top(1, "n_tokens") - own["n_tokens"]})
     return rows.withColumn("flips", (F.col("pred") != F.col("y")) & (own["score"] / own["n_tokens"] > dc.top(1, "score") / dc.top(1, "n_tokens"))).drop("cands", "status")
 
 
-@query()
+DELTA_SQL = (
+    WORD_PATHS_SQL
+    + f""", dl AS (SELECT f.line_idx, l.y, f.label AS pred, {LENGTH_SQL.replace("text_length", "length(l.text)")} AS bin, f.n_tokens - o.n_tokens AS delta, f.label <> l.y AND o.score / o.n_tokens > f.score / f.n_tokens AS flips
+  FROM rk f JOIN lines l ON l.line_idx = f.line_idx JOIN ts o ON o.line_idx = f.line_idx AND o.label = l.y WHERE f.r = 1)"""
+)
+
+
+@query(
+    DELTA_SQL + " SELECT bin, count(*) AS n, round(avg(delta), 9) AS mean, median(delta)::DOUBLE AS median, round(avg((delta < 0)::INT), 9) AS fewer, round(avg((delta = 0)::INT), 9) AS same, round(avg((delta > 0)::INT), 9) AS more FROM dl GROUP BY bin"
+)
 def token_delta_summary(spark, sf_dir):
     """How many more tokens the predicted label's segmentation has than the true one's, by bin of length."""
-    return m.delta_summary(token_deltas(spark, sf_dir), m.length_bin(F.col("text_length")).alias("bin"))
+    rows = m.delta_summary(token_deltas(spark, sf_dir), m.length_bin(F.col("text_length")).alias("bin"))
+    return rows.select("bin", "n", "median", *(F.round(c, 9).alias(c) for c in ("mean", "fewer", "same", "more")))
 
 
-@query()
+@query(DELTA_SQL + " SELECT bin, y, sign(delta)::INT AS sign, count(*) AS wrong, count(*) FILTER (WHERE flips) AS flipped FROM dl WHERE pred <> y GROUP BY ALL")
 def normalisation_counterfactual(spark, sf_dir):
     """Errors that the score a token would turn right, by bin of length, label and sign of the delta."""
     rows = token_deltas(spark, sf_dir).filter(F.col("pred") != F.col("y"))
     return rows.groupBy(m.length_bin(F.col("text_length")).alias("bin"), "y", F.signum("delta").cast("int").alias("sign")).agg(F.count(F.lit(1)).alias("wrong"), F.count_if("flips").alias("flipped"))
 
 
-@query()
+@query(DELTA_SQL + " SELECT count(*) AS n, round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 9) AS t, round(avg(delta) / stddev_samp(delta), 9) AS cohen_d FROM dl")
 def one_sample_t(spark, sf_dir):
     """One-sample t and Cohen's d of the token deltas against 0."""
-    return m.one_sample_t(token_deltas(spark, sf_dir))
+    return m.one_sample_t(token_deltas(spark, sf_dir)).select("n", F.round("t", 9).alias("t"), F.round("cohen_d", 9).alias("cohen_d"))
 
 
-@query()
+@query(
+    DELTA_SQL + ", rk2 AS (SELECT delta, abs(delta) AS size, rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2.0::DOUBLE AS place FROM dl WHERE delta <> 0),"
+    " w AS (SELECT count(*) AS n, coalesce(sum(place) FILTER (WHERE delta > 0), 0)::DOUBLE AS w_plus, coalesce(sum(place) FILTER (WHERE delta < 0), 0)::DOUBLE AS w_minus FROM rk2), ti AS (SELECT coalesce(sum(k * k * k - k), 0)::DOUBLE AS ties FROM (SELECT count(*) AS k FROM rk2 GROUP BY size))"
+    " SELECT n, w_plus, w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48), 9) AS z FROM w, ti"
+)
 def signed_rank(spark, sf_dir):
     """Signed-rank sums of the token deltas and their normal approximation."""
-    return m.signed_rank(token_deltas(spark, sf_dir))
+    return m.signed_rank(token_deltas(spark, sf_dir)).withColumn("z", F.round("z", 9))
 
 
 @query(SAMPLE_SQL + " SELECT pred_a AS label, count(*) AS n FROM s GROUP BY pred_a")
