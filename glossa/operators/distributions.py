@@ -68,3 +68,17 @@ def robust_z(rows: DataFrame, value: str, group: str, least: int = 3) -> DataFra
     spread = off.groupBy(group).agg(F.median("off").alias("mad"))
     z = (F.col(value) - F.col("mid")) / (1.4826 * F.col("mad") + 1e-9)
     return off.join(F.broadcast(spread), group).withColumn("z", F.when(F.col("members") >= least, z).otherwise(0.0)).drop("mid", "mad", "off", "members")
+
+
+def richer(labels: DataFrame) -> DataFrame:
+    """(a, b): for each label (y, script, n_lines) the labels of its script that have more lines.
+
+    A range join by buckets: sizes fall into buckets by powers of two, a label meets the members of its own script's
+    higher buckets by equality, and only within its own bucket sizes are compared. Labels without lines have bucket -1;
+    a null script meets nothing.
+    """
+    sized = labels.select("y", "script", F.col("n_lines").alias("n"), F.when(F.col("n_lines") > 0, F.floor(F.log2("n_lines"))).otherwise(-1).cast("int").alias("bucket"))
+    highest = sized.groupBy("script").agg(F.max("bucket").alias("highest"))
+    asks = sized.join(F.broadcast(highest), "script").select(F.col("y").alias("a"), "script", F.col("n").alias("own"), F.col("bucket").alias("low"), F.explode(F.sequence("bucket", "highest")).alias("bucket"))
+    found = asks.join(sized.withColumnRenamed("y", "b"), ["script", "bucket"])
+    return found.filter((F.col("bucket") > F.col("low")) | (F.col("n") > F.col("own"))).select("a", "b")

@@ -279,6 +279,31 @@ class WordLattice:
                     summed[here] = -np.inf
         return total, count
 
+    def paths(self, words: list[str], label: np.ndarray) -> list[list[str]]:
+        """The best path's tokens of each word under its own label (an index); the first found of equal paths stays."""
+        out: list[list[str]] = [[] for _ in words]
+        longest = max(map(len, words), default=0)
+        for part in self._blocks(words, 2 * (longest + 1)):
+            own = [words[i] for i in part]
+            length = np.array([len(w) for w in own])
+            best, back = np.full((int(length.max()) + 1, len(own)), -np.inf), np.zeros((int(length.max()) + 1, len(own)), np.int64)
+            best[0] = 0
+            start, size, word, token = self.edges(own)
+            weight = self.rows[token, label[part][word]]
+            cuts = np.flatnonzero(np.diff(start * (self.longest + 1) + size)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(start)], strict=True) if len(start) else ():
+                s, e, w = start[i], start[i] + size[i], word[i:j]
+                new = best[s, w] + weight[i:j]
+                better = new > best[e, w]
+                best[e, w], back[e, w] = np.where(better, new, best[e, w]), np.where(better, s, back[e, w])
+            for b, i in enumerate(part):
+                e = int(length[b])
+                while e:
+                    out[i].append(own[b][back[e, b] : e])
+                    e = int(back[e, b])
+                out[i].reverse()
+        return out
+
     def expectations(self, words: list[str], n: np.ndarray) -> tuple[np.ndarray, float]:
         """Expected counts of the tokens in words that stand n times each, under the first label, and the log-likelihood."""
         weight = self.rows[:, 0].astype(np.float64)
@@ -362,14 +387,28 @@ class Scorer:
 MOST_MODEL = 1 << 30  # bytes of a block of labels' weights, in single precision
 
 
-def _pass(lines: DataFrame, rows: DataFrame, names: list[str], at: int, k: int | None, alpha: float | None, marginal: bool, bias: dict[str, float], words: Words, own: str | None) -> DataFrame:
-    """lines with cands{at}, the k best labels of one block, and own{at}, the label of column `own` if the block has it."""
+def _lattice(rows: DataFrame, names: list[str]) -> tuple[WordLattice, pa.Array]:
+    """The lattice of some labels of packed rows, in their order, and their lines; MOST_MODEL bounds what comes here."""
     found = rows.filter(F.col("y").isin(names)).select("y", "n_lines", "tokens", F.col("w").cast("array<float>").alias("w")).toArrow()
     order = np.argsort(found["y"].to_pylist(), kind="stable")
     tokens = found["tokens"][0].as_py() if len(found) else []
-    weights = found["w"].combine_chunks().flatten().to_numpy().reshape(len(found), len(tokens))[order]
-    n_lines = pa.array([found["n_lines"][int(i)].as_py() for i in order], pa.int64())
-    held = lines.sparkSession.sparkContext.broadcast(Scorer(WordLattice(tokens, weights), words, marginal))
+    weights = found["w"].combine_chunks().flatten().to_numpy().reshape(len(found), len(tokens))[order] if len(found) else np.zeros((0, 0), np.float32)
+    return WordLattice(tokens, weights), pa.array([found["n_lines"][int(i)].as_py() for i in order], pa.int64())
+
+
+def _label_blocks(rows: DataFrame) -> list[list[str]]:
+    """The labels of packed rows, a row a label, in blocks of MOST_MODEL bytes; a missing or doubled weight is an error."""
+    found = rows.select("y", F.size("tokens").alias("n"), "of", F.exists("w", lambda w: w.isNull()).alias("bad")).orderBy("y").collect()
+    if any(r["bad"] for r in found) or len({(r["n"], r["of"]) for r in found}) > 1:
+        raise ValueError("the model lacks weights of some labels and tokens")
+    labels, step = [r["y"] for r in found], max(1, MOST_MODEL // max(4 * found[0]["n"], 1)) if found else 1
+    return [labels[i : i + step] for i in range(0, len(labels), step)]
+
+
+def _pass(lines: DataFrame, rows: DataFrame, names: list[str], at: int, k: int | None, alpha: float | None, marginal: bool, bias: dict[str, float], words: Words, own: str | None) -> DataFrame:
+    """lines with cands{at}, the k best labels of one block, and own{at}, the label of column `own` if the block has it."""
+    lattice, n_lines = _lattice(rows, names)
+    held = lines.sparkSession.sparkContext.broadcast(Scorer(lattice, words, marginal))
     label, add, place = pa.array(names, pa.string()), np.array([bias.get(y, 0.0) for y in names]), {y: i for i, y in enumerate(names)}
     most = len(names) if k is None else min(k, len(names))
 
@@ -409,16 +448,12 @@ def score_words(lines: DataFrame, model: DataFrame, k: int | None = 5, alpha: fl
     MOST_MODEL bytes are scored block by block, each block in the same rows as the one before: nothing is shuffled.
     """
     rows = weight_rows(model)
-    found = rows.select("y", F.size("tokens").alias("n"), "of", F.exists("w", lambda w: w.isNull()).alias("bad")).orderBy("y").collect()  # a row a label
-    if any(r["bad"] for r in found) or len({(r["n"], r["of"]) for r in found}) > 1:
-        raise ValueError("the model lacks weights of some labels and tokens")
-    labels, step = [r["y"] for r in found], max(1, MOST_MODEL // max(4 * found[0]["n"], 1)) if found else 1
+    blocks = _label_blocks(rows)
     keep = [c for c in lines.columns if c != "text"]
-    blocks = range(0, len(labels), step)
     lines = spread(lines)
-    for i, a in enumerate(blocks):
-        lines = _pass(lines, rows, labels[a : a + step], i, k, alpha, marginal, bias or {}, words, own)
-    if not labels:
+    for i, names in enumerate(blocks):
+        lines = _pass(lines, rows, names, i, k, alpha, marginal, bias or {}, words, own)
+    if not blocks:
         lines = lines.withColumn("cands0", F.array().cast(f"array<{CANDIDATE}>"))
     cands = F.col("cands0")
     if len(blocks) > 1:
@@ -427,13 +462,46 @@ def score_words(lines: DataFrame, model: DataFrame, k: int | None = 5, alpha: fl
         every = F.array_sort(F.transform(F.concat(*(F.col(f"cands{i}") for i in range(len(blocks)))), key))
         cands = F.transform(every if k is None else F.slice(every, 1, k), back)
     out = lines.withColumn("cands", cands)
-    if own is not None and labels:
+    if own is not None and blocks:
         mine = F.coalesce(*(F.col(f"own{i}") for i in range(len(blocks))))
         more = mine.isNotNull() & ~F.exists("cands", lambda c: c["label"] == mine["label"])
         out = out.withColumn("cands", F.when(more, F.concat("cands", F.array(mine))).otherwise(F.col("cands")))
     return out.select(*keep, F.when(F.size("cands") > 0, "SCORED").otherwise("EMPTY").alias("status"), "cands")
 
 
+def segment_words(lines: DataFrame, model: DataFrame, words: Words = Words()) -> DataFrame:
+    """The columns of lines but text, with tokens: the best path of each text (y, text), word by word, under its own label y.
+
+    A batch's different words are segmented once a label. Labels beyond MOST_MODEL bytes go block by block, each in
+    the same rows; a text whose label the model lacks has no tokens (null), one without words an empty list.
+    """
+    rows = weight_rows(model)
+    keep, blocks = [c for c in lines.columns if c != "text"], _label_blocks(rows)
+    lines = spread(lines)
+    for i, names in enumerate(blocks):
+        lines = _paths_pass(lines, rows, names, i, words)
+    tokens = F.coalesce(*(F.col(f"tokens{i}") for i in range(len(blocks)))) if blocks else F.lit(None).cast("array<string>")
+    return lines.select(*keep, tokens.alias("tokens"))
+
+
+def _paths_pass(lines: DataFrame, rows: DataFrame, names: list[str], at: int, words: Words) -> DataFrame:
+    """lines with tokens{at}, the paths of the texts whose label is in the block."""
+    held, place = lines.sparkSession.sparkContext.broadcast(_lattice(rows, names)[0]), {y: i for i, y in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = [place.get(y, -1) for y in batch.column("y").to_pylist()]
+            cut = [words.cut(words.normal(t)) if label >= 0 else [] for t, label in zip(batch.column("text").to_pylist(), labels, strict=True)]
+            pairs = list(dict.fromkeys((label, w) for label, own in zip(labels, cut, strict=True) for w in own))
+            found = held.value.paths(words.marked([w for _, w in pairs]), np.array([label for label, _ in pairs], np.int64))
+            known = dict(zip(pairs, found, strict=True))
+            tokens = [None if label < 0 else [t for w in own for t in known[label, w]] for label, own in zip(labels, cut, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string()))], names=[*batch.schema.names, f"tokens{at}"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + f", tokens{at} array<string>"
+    return lines.mapInArrow(run, schema)
+
+
 # EM. The model is a table of packed rows, one a label: its tokens in order and their weights. A label's words come in
 # blocks by hash, each with a copy of that one row, so neither the driver nor a task holds more than one label's row.
 

@@ -331,14 +331,12 @@ NEAR_SQL = ", sk AS (SELECT a.y AS a, b.y AS b, round((sum(a.p * ln(a.p / b.p))
 
 def neighbours(spark, sf_dir):
     m = model(spark, sf_dir)
-    of = F.broadcast(m.select("y", "script", "n_lines").distinct())
-    pairs = d.both_ways(d.pairwise(m)).withColumn("kl", F.round("sym_kl", 8))
+    of = m.select("y", "script", "n_lines").distinct()
+    pairs = table(d.both_ways(d.pairwise(m)).select("a", "b", F.round("sym_kl", 8).alias("kl")), "pairs")  # labels squared
     bar = pairs.agg(F.percentile("kl", 0.25).alias("bar"))
-    pairs = pairs.join(of.select(F.col("y").alias("a"), F.col("script").alias("sa"), F.col("n_lines").alias("na")), "a").join(of.select(F.col("y").alias("b"), F.col("script").alias("sb"), F.col("n_lines").alias("nb")), "b")
-    up = (F.col("sa") == F.col("sb")) & (F.col("nb") > F.col("na"))
-    best = pairs.crossJoin(F.broadcast(bar)).groupBy(F.col("a").alias("y")).agg(
-        F.min(F.struct("kl", "b")).alias("one"), F.count_if(F.col("kl") < F.col("bar")).alias("k_close"), F.min(F.when(up, F.struct("kl", "b"))).alias("two")
-    )
+    near = pairs.crossJoin(F.broadcast(bar)).groupBy(F.col("a").alias("y")).agg(F.min(F.struct("kl", "b")).alias("one"), F.count_if(F.col("kl") < F.col("bar")).alias("k_close"))
+    up = pairs.join(d.richer(of), ["a", "b"]).groupBy(F.col("a").alias("y")).agg(F.min(F.struct("kl", "b")).alias("two"))
+    best = near.join(up, "y", "left")
     return best.select("y", F.col("one.kl").alias("d_nn"), F.col("one.b").alias("nn"), "k_close", F.col("two.kl").alias("d_up"), F.col("two.b").alias("target"))
 
 

@@ -81,35 +81,6 @@ def marginal_pairs(spark, sf_dir):
     return rows.select(F.col("line_idx").alias("item_id"), "pred", F.round(F.col("candidates")[0]["score"], 2).alias("score"))
 
 
-def _pair_scores(spark, sf_dir, **options) -> DataFrame:
-    lines = labelled(spark, sf_dir).select("line_idx", "y", "text", F.length("text").alias("text_length"))
-    return sg.score_lines(lines, pair_model(spark, sf_dir), 1, **options)
-
-
-@query()
-def viterbi_documents(spark, sf_dir):
-    """As `viterbi_pairs`, over every whole document; SQL would take a recursion a code point, so there is none."""
-    return _pair_scores(spark, sf_dir).select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"), dc.top(1, "n_tokens").alias("n_tokens"))
-
-
-@query()
-def marginal_documents(spark, sf_dir):
-    """All segmentations summed, over every whole document."""
-    return _pair_scores(spark, sf_dir, marginal=True).select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"))
-
-
-@query()
-def predict_normalised_documents(spark, sf_dir):
-    """Score over the best path's number of tokens to the power 0.1, over every whole document."""
-    return _pair_scores(spark, sf_dir, alpha=0.1).select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"))
-
-
-@query()
-def segment_documents(spark, sf_dir):
-    """Tokens of the best path of every document under its own label; they join to the text."""
-    return sg.segment(labelled(spark, sf_dir), pair_model(spark, sf_dir))
-
-
 PIECES = (40, 8, 3000)  # least occurrences of a token, most code points of one, and tokens of the vocabulary
 
 
@@ -182,13 +153,45 @@ def predict_words(spark, sf_dir):
     return rows.select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"), F.coalesce(dc.top() == F.col("y"), F.lit(False)).alias("correct"))
 
 
-@query()
-def marginal_words(spark, sf_dir):
-    """As `predict_words`, all segmentations summed."""
+@query(WORD_PATHS_SQL + " SELECT l.line_idx, CASE WHEN rk.label IS NULL THEN 'EMPTY' ELSE 'SCORED' END AS status, rk.label AS pred, rk.score, rk.n_tokens FROM lines l LEFT JOIN rk ON rk.line_idx = l.line_idx AND r = 1")
+def viterbi_documents(spark, sf_dir):
+    """The best label's score of every whole document with the number of tokens of its best path."""
+    rows = sw.score_words(labelled(spark, sf_dir).select("line_idx", "text"), word_model(spark, sf_dir), 1)
+    return rows.select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"), dc.top(1, "n_tokens").alias("n_tokens"))
+
+
+# as the best paths, with the logarithm of the sum of all
+MARGINAL_SQL = (
+    WORD_PATHS_SQL[: WORD_PATHS_SQL.index("  ws AS (")]
+    + """  ws AS (SELECT word, y, list_reduce(list_prepend([0.0::DOUBLE], list(g ORDER BY e)), lambda b, g: list_append(b, list_transform([list_transform(range(len(g) // 2), lambda j: b[g[2 * j + 1]::BIGINT + 1] + g[2 * j + 2])], lambda c: list_max(c) + ln(list_sum(list_transform(c, lambda x: exp(x - list_max(c))))))[1]))[-1] AS score FROM ends GROUP BY word, y),
+  ts AS (SELECT wd.line_idx, ws.y AS label, round(sum(ws.score), 4) AS score FROM wd JOIN ws USING (word) GROUP BY ALL),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY line_idx ORDER BY score DESC, label) AS r FROM ts)"""
+)
+
+
+@query(MARGINAL_SQL + " SELECT l.line_idx, CASE WHEN rk.label IS NULL THEN 'EMPTY' ELSE 'SCORED' END AS status, rk.label AS pred, rk.score FROM lines l LEFT JOIN rk ON rk.line_idx = l.line_idx AND r = 1")
+def marginal_documents(spark, sf_dir):
+    """All segmentations of each word summed, over every whole document."""
     rows = sw.score_words(labelled(spark, sf_dir).select("line_idx", "text"), word_model(spark, sf_dir), 1, marginal=True)
     return rows.select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"))
 
 
+@query(
+    WORD_PATHS_SQL + ", na AS (SELECT line_idx, label, round(score / pow(n_tokens, 0.1::DOUBLE), 4) AS score FROM ts), nr AS (SELECT *, row_number() OVER (PARTITION BY line_idx ORDER BY score DESC, label) AS r FROM na)"
+    " SELECT l.line_idx, CASE WHEN nr.label IS NULL THEN 'EMPTY' ELSE 'SCORED' END AS status, nr.label AS pred, nr.score FROM lines l LEFT JOIN nr ON nr.line_idx = l.line_idx AND r = 1"
+)
+def predict_normalised_documents(spark, sf_dir):
+    """Score over the best path's number of tokens to the power 0.1, over every whole document."""
+    rows = sw.score_words(labelled(spark, sf_dir).select("line_idx", "text"), word_model(spark, sf_dir), 1, alpha=0.1)
+    return rows.select("line_idx", "status", dc.top().alias("pred"), dc.top(1, "score").alias("score"))
+
+
+@query()
+def segment_documents(spark, sf_dir):
+    """Tokens of the best path of every document's words under its own label; they join to the marked words."""
+    return sw.segment_words(labelled(spark, sf_dir).select("line_idx", "y", "text"), word_model(spark, sf_dir)).select("line_idx", "tokens")
+
+
 @query()
 def train_em_documents(spark, sf_dir):
     """EM over the words of all documents from uniform weights, two rounds; iterative, so without SQL."""

@@ -243,6 +243,13 @@ def test_sketches_merge(spark):
     assert pf.estimate(one.limit(0), "y").count() == 0
 
 
+def test_richer_labels_by_buckets(spark):
+    rng = np.random.default_rng(3)
+    labels = [(f"l{i}", [None, "A", "B"][i % 3], int(n)) for i, n in enumerate([0, 1, 2, 3, 4, 7, 8, 8, 9, 1000, 1023, 1024, *rng.integers(0, 5000, 60)])]
+    found = {tuple(r) for r in d.richer(frame(spark, labels, "y string, script string, n_lines long")).collect()}
+    assert found == {(a, b) for a, s, n in labels for b, t, k in labels if s is not None and s == t and k > n}
+
+
 def test_replayed_batches_count_once(spark):
     folder = shared(spark, "sums")
     merge = st.merge_sums(folder)

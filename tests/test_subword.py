@@ -52,6 +52,24 @@ def test_words_against_all_paths(cells, monkeypatch):
             assert count[i, y] in {len(p) for p, v in zip(found, values, strict=True) if v > max(values) - 1e-9}
 
 
+def test_tokens_of_the_best_path(spark, monkeypatch):
+    w = weights(3)
+    lattice = sw.WordLattice(TOKENS, w)
+    label = np.arange(len(WORDS)) % 3
+    best = lattice.score(WORDS)[0]
+    for word, y, found, score in zip(WORDS, label, lattice.paths(WORDS, label), best, strict=True):
+        assert "".join(found) == word
+        assert value([t if t in TOKENS else None for t in found], w[y]) == pytest.approx(score[y], abs=1e-9)
+    lines = spark.createDataFrame(TEXTS, "line_idx long, y string, text string")
+    whole = {(r["line_idx"], r["y"], None if r["tokens"] is None else tuple(r["tokens"])) for r in sw.segment_words(lines, long_model(spark, w)).collect()}
+    for line, y, text in TEXTS:
+        words = ["▁" + x for x in unicodedata.normalize("NFC", text or "").replace("\n", " ").replace("\t", " ").split(" ") if x]
+        joined = {"".join(t) for i, g, t in whole if (i, g) == (line, y) and t is not None}
+        assert ("".join(words) in joined) if y != "lx" else (line, y, None) in whole
+    monkeypatch.setattr(sw, "MOST_MODEL", 60)
+    assert {(r["line_idx"], r["y"], None if r["tokens"] is None else tuple(r["tokens"])) for r in sw.segment_words(lines, long_model(spark, w)).collect()} == whole
+
+
 def test_expected_counts_against_all_paths(monkeypatch):
     monkeypatch.setattr(sw, "CELLS", 60)
     w = weights(1)
