@@ -159,14 +159,15 @@ def with_text(path: str, slot: int) -> str:
 
 
 def template(wrapper: list[tuple[str, bool, bool]]) -> list[int]:
-    """The constant texts that the wrapper has in every page: tokens with a text that alignment didn't make optional."""
-    return sorted({int(t[0].rpartition(" ")[2]) for t in wrapper if " " in t[0] and not t[1]} - {int(t[0].rpartition(" ")[2]) for t in wrapper if " " in t[0] and t[1]})
+    """The host's template texts: constant ones that stand in one place of the wrapper, and not in an article."""
+    texts = [t[0] for t in wrapper if " " in t[0]]
+    return sorted({int(t.rpartition(" ")[2]) for t in texts if texts.count(t) == 1 and not is_article(t.partition(" ")[0])})
 
 
 def choose(wrapper: list[tuple[str, bool, bool]], chars: dict[str, float]) -> list[str]:
     """The text slots of the article: those in an article element; else those under the element that holds most text and yet most of its parent's.
 
-    Template texts are none; a constant text that isn't at a fixed place of the wrapper is a slot like another.
+    Template texts are none; a constant text in an article or in several places of the wrapper is a slot like another.
     """
     fixed = {str(t) for t in template(wrapper)}
     wrapper = [(t[0].partition(" ")[0], t[1], t[2]) for t in wrapper if t[0].partition(" ")[2] not in fixed]
@@ -224,15 +225,17 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.select(_host().alias("host"), "html").mapInArrow(found, schema)
 
 
-def constant_texts(found: DataFrame, least_pages: int) -> DataFrame:
-    """(h, fixed): the slots that all different pages of a host have, for hosts of at least `least_pages` of these.
+def constant_texts(found: DataFrame, least_pages: int, share: float = 0.9) -> DataFrame:
+    """(h, fixed): the slots that nearly all different pages of a host have, for hosts of at least `least_pages` of these.
 
-    Only one page's slots are looked for in the others, so few rows are counted and no host is gathered.
+    Only two pages' slots are looked for in the others, so few rows are counted and no host is gathered; a slot that
+    one page in ten lacks is missed with one host in a hundred.
     """
-    one = found.groupBy("host").agg(F.min_by("slots", "page").alias("first"), F.count_distinct("page").alias("n")).filter(F.col("n") >= least_pages)
+    two = F.array_union(F.min_by("slots", "page"), F.max_by("slots", "page"))
+    one = found.groupBy("host").agg(two.alias("first"), F.count_distinct("page").alias("n")).filter(F.col("n") >= least_pages)
     one = written(one.select(F.col("host").alias("h"), "first", "n"), "html-first")
     both = found.join(small(one, 10_000), F.col("host") == F.col("h")).select("h", "n", "page", F.explode(F.array_intersect("slots", "first")).alias("slot"))
-    shared = both.groupBy("h", "slot").agg(F.count_distinct("page").alias("pages"), F.first("n").alias("n")).filter("pages = n")
+    shared = both.groupBy("h", "slot").agg(F.count_distinct("page").alias("pages"), F.first("n").alias("n")).filter(F.col("pages") >= share * F.col("n"))
     return written(shared.groupBy("h").agg(F.collect_list("slot").alias("fixed")), "html-constant")
 
 
@@ -282,8 +285,9 @@ def align_all(different: DataFrame, at_once: int = 32) -> DataFrame:
 def infer(pages: DataFrame, at_once: int = 32, least_pages: int = 10) -> DataFrame:
     """(host, wrapper, slots, template): a wrapper as JSON of (path, optional, repeated), the paths of its article slots and the hashes of its template texts.
 
-    A text that stands on one path in all different pages of a host, of which there are `least_pages` or more, is a
-    token of its own in the streams; if it keeps a fixed place in the aligned wrapper, it is template text and no slot.
+    A text that stands on one path in nine of ten different pages of a host, of which there are `least_pages` or more
+    (fewer don't show what is constant), is a token of its own in the streams; if it has one place in the aligned
+    wrapper and that is in no article, it is template text and no slot.
     Equal streams of a host count once, so its pages are never gathered; its different streams are aligned in groups of
     about `at_once`, round by round. A host's wrapper and the paths in it are one row.
     """
@@ -309,7 +313,8 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html): the texts of the host's article slots, in page order.
 
-    A block is what stands between two tags that aren't inline; template texts of the host are left out. A page that
+    A block is what stands between two tags that aren't inline; template texts of the host are left out, but none that
+    stands in an article. A page that
     has none of the slots is read by its own stream. Null and empty pages have an empty text; pages without a host form one; repeated rows stay; a page's length isn't bounded.
     """
     wrappers = infer(pages).select(F.col("host").alias("h"), "slots", "template")

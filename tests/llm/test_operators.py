@@ -497,16 +497,30 @@ def test_small_counts_bytes(spark):
 
 
 def test_html_template_texts(spark):
+    """No text of an article is template, however many pages have it; outside one, what nearly all pages have is."""
     page = "<body><article><h1>t {0}</h1><p>By the staff<p>{1}<p>same {2}{3}</article>"
+    flat = "<body>{0}<p>{1}<p>{2}<p>By the staff"
     pages = [(i, "http://t.example/", page.format(i, prose(5, i), i % 2, "<ul><li>x</ul>" * (i % 3))) for i in range(12)]
     pages += [(100 + i, "http://few.example/", page.format(i, prose(5, i), 0, "")) for i in range(4)]
     pages += [(200 + i, "http://copies.example/", page.format(1, "one", 0, "")) for i in range(20)]
+    pages += [(300 + i, "http://flat.example/", flat.format("" if i == 7 else "<p>The site's line", prose(9, i), prose(6, 50 + i))) for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     rows = {r["page_id"]: r["text"] for r in op7_html.extract(df).collect()}
-    for i in range(12):  # only what all of many different pages have is template
-        assert rows[i] == "\n\n".join([f"t {i}", prose(5, i), f"same {i % 2}", *["x"] * (i % 3)])
+    for i in range(12):
+        assert rows[i] == "\n\n".join([f"t {i}", "By the staff", prose(5, i), f"same {i % 2}", *["x"] * (i % 3)])
     assert all(rows[100 + i] == "\n\n".join([f"t {i}", "By the staff", prose(5, i), "same 0"]) for i in range(4))
     assert all(rows[200 + i] == "t 1\n\nBy the staff\n\none\n\nsame 0" for i in range(20))
+    assert all(rows[300 + i] == prose(9, i) + "\n\n" + prose(6, 50 + i) for i in range(40))  # the line is gone where 39 of 40 have it
+
+
+def test_html_pages_without_ids_and_long_ones(spark):
+    """A null page_id and a null url keep their rows; a very long page is read whole; extra columns are left out."""
+    body = "".join(f"<p>{prose(20, i)}" for i in range(4000))
+    pages = [(None, "http://l.example/1", f"<body><nav>menu</nav><article>{body}</article>", "x"), (None, None, None, "x"), (1, None, "<p>one", None), (1, None, "<p>one", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    rows = sorted((r["page_id"] or 0, r["n_chars"], r["text"]) for r in op7_html.extract(df).collect())
+    whole = "\n\n".join(prose(20, i) for i in range(4000))
+    assert rows == sorted([(0, len(whole), whole), (0, 0, ""), (1, 3, "one"), (1, 3, "one")])
 
 
 def test_wrapper_alignment():
