@@ -14,8 +14,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# What a context may mark: a run of at least 6 letters, digits and hyphens with 4 digits or more.
-CANDIDATE = r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*+(?:[0-9][A-Za-z-]*+){4})[A-Za-z0-9-]{6,}+"
+def candidate(least_chars: int, least_digits: int) -> str:
+    """What a context may mark: a maximal run of letters, digits and hyphens of at least so many characters and digits."""
+    digits = f"(?=[A-Za-z-]*+(?:[0-9][A-Za-z-]*+){{{least_digits}}})" if least_digits else ""
+    return rf"(?<![A-Za-z0-9-]){digits}[A-Za-z0-9-]{{{least_chars},}}+"
+
+
 NEAR = 64  # code points that are looked at first for a word; where they hold no whole one, all the text is
 LETTER, OTHER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 
@@ -69,7 +73,8 @@ def score_patterns(edges: DataFrame, occurrences: DataFrame, least_score: float,
     A seed's value is 1, another token's 0 at first. In turn a word's score becomes the values of what it precedes
     over its own occurrences plus `smoothing`, and a token's value the chance that one of its words is right. Tokens
     of value `least_score` or more are seeds of the next round: a word's support counts them, so each round may bring
-    in further words. Scores only rise; it ends after `rounds` at least, when a round adds no word and no seed.
+    in further words. Scores only rise; it ends after `rounds` at least, when a round adds no word, no seed and less
+    than a thousandth to the scores' sum.
     """
     edges = written(edges.join(occurrences, "word"), "pii-edges")
     tokens = edges.groupBy("token").agg(F.max("seed").cast("double").alias("value"))
@@ -80,7 +85,7 @@ def score_patterns(edges: DataFrame, occurrences: DataFrame, least_score: float,
             .agg((F.sum(F.col("value") * F.col("n")) / (F.first("n_all") + smoothing)).alias("score"), F.sum((F.col("value") >= least_score).cast("long")).alias("support"))
         )
         words = written(words.filter(F.col("support") >= least_support).withColumn("score", F.least("score", F.lit(0.999))), "pii-words")
-        now = words.agg(F.count(F.lit(1)), F.count_if(F.col("score") >= least_score), F.sum("support")).first()
+        now = words.agg(F.count(F.lit(1)), F.count_if(F.col("score") >= least_score), F.sum("support"), F.round(F.sum("score"), 3)).first()
         r += 1
         if not now[0] or (r >= rounds and now == before):
             return words
@@ -90,17 +95,19 @@ def score_patterns(edges: DataFrame, occurrences: DataFrame, least_score: float,
         tokens = written(tokens, "pii-tokens")
 
 
-def find(docs: DataFrame, least_score: float = 0.5, least_support: int = 5) -> DataFrame:
+def find(docs: DataFrame, least_score: float = 0.5, least_support: int = 5, least_chars: int = 6, least_digits: int = 4) -> DataFrame:
     """doc_id, counts, base_sha256 and spans for each row of docs (doc_id, text).
 
     Seeds are the base matches. The word before a seed is a lexical pattern, and so is the word after it; those of at
     least `least_support` distinct seeds are scored on the graph of patterns and tokens, with the words' occurrences in
-    all texts below the line; what they find counts as seeds in turn, until no pattern is added. Candidates in a
-    pattern of at least `least_score` that overlap no base span are spans of kind context.
+    all texts below the line; what they find counts as seeds in turn, until no score rises. Candidates in a pattern of
+    at least `least_score` that overlap no base span are spans of kind context. A candidate is a run of letters, digits
+    and hyphens with `least_chars` of them and `least_digits` digits: with 4 digits numbers and codes are looked at,
+    with none user names and other words too, at the cost of a row for every such word of the texts.
     Null and empty texts have no spans; repeated rows stay; null ids are a key like another.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = docs.select("doc_id", text.alias("text"), base_spans(text).alias("base"), found(text, CANDIDATE, 4).alias("more"))
+    spans = docs.select("doc_id", text.alias("text"), base_spans(text).alias("base"), found(text, candidate(least_chars, least_digits), 4).alias("more"))
     spans = spans.withColumn("more", clear_of(F.col("more"), F.col("base")))
     spans = written(spans.select("doc_id", F.md5("text").alias("text_key"), "base", _in_context(F.col("text"), F.col("base")).alias("seeds"), _in_context(F.col("text"), F.col("more")).alias("more")), "pii-spans")
 
