@@ -154,11 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: i
     """A Model from the labelled documents (doc_id, text) whose rest is not 2; about `most_rows` of them, those of smallest hashed doc_id.
 
     A share of 1 / (folds + 1) of them calibrates, the others give the normal equations, summed on each partition and
-    then by fold and cell. The folds choose the ridge; held-out rows have no part in it. None without labelled rows.
+    then by fold and cell. Of several rows with a labelled id the one of least statistics counts, so no more than the
+    labels' number come out. The folds choose the ridge; held-out rows have no part in it. None without labelled rows.
     """
     marks = labels.filter((rest(F.col("doc_id")) != 2) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     order = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
-    marks = written(marks.select(F.col("doc_id").alias("marked"), "y", order.alias("o")), "quality-marks")
+    marks = written(marks.select(F.col("doc_id").cast("long").alias("marked"), "y", order.alias("o")), "quality-marks")
     n = marks.count()
     marks = marks.filter(F.col("o") < 2**32 * min(1.0, most_rows / max(n, 1)))
     chosen = docs.select("doc_id", "text").join(small(marks), F.col("doc_id") == F.col("marked"))
@@ -168,9 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: i
             for i, j, raw, ends in slices(batch.column(0)):
                 stats = statistics(raw, ends)
                 lists = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, len(STATS), dtype=np.int32), pa.array(stats.ravel()))
-                yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(i, j - i) for k in (1, 2))], names=["stats", "y", "fold"])
+                yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(i, j - i) for k in (1, 2, 3))], names=["stats", "y", "fold", "marked"])
 
-    rows = chosen.select("text", "y", (F.col("o") % (folds + 1)).cast("int").alias("fold")).mapInArrow(measure, "stats array<double>, y double, fold int")
+    rows = chosen.select("text", "y", (F.col("o") % (folds + 1)).cast("int").alias("fold"), "marked").mapInArrow(measure, "stats array<double>, y double, fold int, marked long")
+    rows = rows.groupBy("marked").agg(F.min(F.struct("stats", "y", "fold")).alias("row")).select("row.*")  # an id that stands on many rows counts once
     rows = written(rows, "quality-fit")
     one = rows.select(*(x for i in range(len(STATS)) for x in (F.avg(F.col("stats")[i]), F.stddev_pop(F.col("stats")[i]))), F.count(F.lit(1))).first()
     if not one[-1]:

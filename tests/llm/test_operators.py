@@ -1,8 +1,11 @@
 """The ten operators on small tables: nulls, empty and repeated rows, ties, clashing names, and brute-force versions."""
 
+import cmath
 import collections
 import hashlib
+import itertools
 import json
+import math
 import random
 import re
 import sys
@@ -323,6 +326,33 @@ def test_media_peaks_find_a_tone():
     assert set(np.concatenate(list(op4_media.peaks(tone, 3))).tolist()) == {16}
 
 
+def plain_fingerprint(payload):
+    """Peak pairs by the transform's definition, frame by frame, in plain Python."""
+    size, hop = op4_media.WINDOW, op4_media.HOP
+    x = list(payload)
+    while len(x) < size or (len(x) - size) % hop:
+        x.append(128)
+    bins = []
+    for at in range(0, len(x) - size + 1, hop):
+        frame = x[at : at + size]
+        mean = sum(frame) / size
+        w = [(v - mean) * (0.5 - 0.5 * math.cos(2 * math.pi * i / (size - 1))) for i, v in enumerate(frame)]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * k * i / size) for i, v in enumerate(w))) for k in range(1, size // 2 + 1)]
+        bins.append(max(range(len(power)), key=lambda k: (round(power[k], 6), -k)) + 1)
+    return [(t, bins[t] << 16 | bins[t + d] << 8 | d) for t in range(len(bins)) for d in range(1, op4_media.REACH + 1) if t + d < len(bins)]
+
+
+def test_media_features_against_the_definition(spark):
+    texts_ = [None, "", "short", prose(30, 1), prose(120, 2), "é😀" * 90, "a" * 700]
+    rows = {r["doc_id"]: r for r in op4_media.media_columns(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts_):
+        data = (t or "").encode()
+        pairs = plain_fingerprint(data + bytes(-len(data) % 64 or (64 if not data else 0)))
+        assert list(zip(rows[i]["frame_times"], rows[i]["pair_codes"], strict=True)) == pairs
+        digest = hashlib.sha256(b"".join(p[0].to_bytes(8, "little") for p in pairs) + b"".join(p[1].to_bytes(8, "little") for p in pairs)).hexdigest()
+        assert rows[i]["feature"] == f"pairs={len(pairs)};sha256={digest}"
+
+
 def test_media_hears_the_end():
     for n in (320, 448, 1088):
         one = np.random.default_rng(n).integers(32, 127, n).astype(np.uint8)
@@ -408,6 +438,38 @@ def test_quality(spark, odd, none, sf):
     assert op6_quality.score(none, labels).count() == 0
 
 
+def test_quality_against_row_by_row_fit(spark):
+    """Fit and scores against one plain least-squares fit of all rows; a labelled id on many rows counts as one row."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = op6_quality.fit(docs, labels)
+    known = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] in known]
+    data = [t.encode() for _, t in rows]
+    stats = op6_quality.statistics(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(x) for x in data]))
+    fold = np.array([zlib.crc32(f"fit{d}".encode()) % 4 for d, _ in rows])
+    y = np.array([known[d] for d, _ in rows])
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale, np.maximum(stats.std(axis=0), 1e-6))
+    z = model.expand(stats[fold > 0])
+    beta = np.linalg.lstsq(np.vstack([z, np.sqrt(model.ridge * len(z)) * np.eye(z.shape[1])[:-1], 1e-4 * np.eye(z.shape[1])[-1:] * 0]), np.concatenate([y[fold > 0], np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.corrcoef(z @ beta, z @ model.beta)[0, 1] > 0.999
+    raw = model.raw(stats[fold == 0])
+    order = np.argsort(raw)
+    blocks = [[v] for v in y[fold == 0][order]]  # pools adjacent violators
+    i = 0
+    while i + 1 < len(blocks):
+        if np.mean(blocks[i]) >= np.mean(blocks[i + 1]):
+            blocks[i : i + 2] = [blocks[i] + blocks[i + 1]]
+            i = max(i - 1, 0)
+        else:
+            i += 1
+    wanted = np.repeat([np.mean(b) for b in blocks], [len(b) for b in blocks])
+    assert np.abs(model.score(stats[fold == 0])[order] - wanted).mean() < 0.02
+    one = min(known)
+    many = docs.unionByName(docs.filter(f"doc_id = {one}").crossJoin(spark.range(500)).select(*docs.columns))
+    again = op6_quality.fit(many, labels)
+    assert np.allclose(again.mean, model.mean) and np.allclose(again.beta, model.beta, atol=1e-6)
+
+
 def test_ridge_comes_from_the_folds():
     r = np.random.default_rng(7)
     z = np.column_stack([r.normal(size=(90, 6)), np.ones(90)])
@@ -557,6 +619,30 @@ def test_sharding(spark, odd, none):
     assert op9_sharding.shard(none).count() == 0
 
 
+def plain_differencing(sizes, k):
+    """Sums of the parts: the two partial partitions of largest spread (the elder on ties), biggest with smallest, again and again, on lists alone."""
+    parts = [(i, sorted([s] + [0] * (k - 1))) for i, s in enumerate(sizes)]
+    for new in range(len(sizes), 2 * len(sizes) - 1):
+        parts.sort(key=lambda p: (p[1][0] - p[1][-1], p[0]))
+        (_, a), (_, b) = parts.pop(0), parts.pop(0)
+        parts.append((new, sorted(x + y for x, y in zip(a, reversed(b), strict=True))))
+    return parts[0][1]
+
+
+def test_differencing_against_lists_and_all_ways():
+    r = random.Random(6)
+    for k, n in ((2, 9), (3, 8), (3, 40), (16, 120)):
+        for _ in range(5):
+            sizes = r.sample(range(1, 10_000), n)
+            homes = op9_sharding.differencing(sizes, k)
+            loads = sorted(sum(s for s, h in zip(sizes, homes, strict=True) if h == i) for i in range(k))
+            assert loads[-1] - loads[0] == plain_differencing(sizes, k)[-1] - plain_differencing(sizes, k)[0]
+            if k**n <= 3**9:
+                ways = ([sum(s for s, h in zip(sizes, way, strict=True) if h == i) for i in range(k)] for way in itertools.product(range(k), repeat=n))
+                assert loads[-1] <= 1.2 * min(max(w) for w in ways)
+    assert op9_sharding.differencing([], 4) == [] and len(op9_sharding.differencing([5], 4)) == 1
+
+
 def test_sharding_heavy_nulls(spark):
     small_table = spark.createDataFrame([(1, None), (2, "a"), (3, "b" * 50)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in op9_sharding.shard(small_table).collect()) == [1, 2, 3]
@@ -595,6 +681,14 @@ def test_warc(spark):
     assert op10_warc.read_archives(op10_warc.archive_pages(df.limit(0))).count() == 0
 
 
+def test_warc_without_ids(spark):
+    """Pages without an id keep their records; they refer to, or are, no page of a known id."""
+    big = prose(300, 4)
+    df = spark.createDataFrame([(None, "http://a/1", big), (2, "http://a/2", big), (None, None, "x"), (None, None, None), (3, "u", prose(300, 5))], "page_id long, url string, html string")
+    rows = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in op10_warc.read_archives(op10_warc.archive_pages(df)).collect()), key=str)
+    assert rows == sorted([(0, len(big.encode()), "revisit", 2), (2, len(big.encode()), "response", None), (0, 1, "response", None), (0, 0, "response", None), (3, len(prose(300, 5).encode()), "response", None)], key=str)
+
+
 def test_warc_files_and_faults(spark, tmp_path):
     record = op10_warc.build_record(1, "http://a/1", b"payload", hashlib.sha1(b"payload").hexdigest(), 7, None)
     data = op10_warc.write_archive([record, record], op10_warc.train_dictionary([record]))
