@@ -1,4 +1,4 @@
-"""Segmentation under unigram token models: best and summed paths of all labels at once, expected counts, and EM.
+"""Segmentation of whole texts under unigram token models: best and summed paths of all labels at once.
 
 Texts go through in blocks of similar length, place by place: one numpy step adds a token of one length to a whole
 block under all labels. Which tokens stand where is found once a block, in a trie held as sorted arrays, and serves
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.sources.store import table
@@ -34,15 +34,22 @@ class Lattice:
         self.names = list(tokens)
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.longest = max(map(len, tokens), default=1)
-        self.weights = weights
-        self.unknown = weights.min(axis=1) - UNKNOWN_PENALTY
-        # rows: the tokens, an unknown code point, and no token at all
-        self.rows = np.concatenate([weights.T, self.unknown[None], np.full((1, len(weights)), -np.inf)]).astype(np.float64)
+        # rows: the tokens, an unknown code point, and no token at all; the only copy of the weights
+        self.rows = np.empty((len(tokens) + 2, len(weights)))
+        self.rows[:-2], self.rows[-2], self.rows[-1] = weights.T, weights.min(axis=1) - UNKNOWN_PENALTY, -np.inf
         self._trie(tokens)
         if self.longest == 1:  # the row of each code point
             self.row_of = np.full(POINTS, len(tokens), np.int64)
             self.row_of[[ord(t) for t in tokens if t]] = [i for i, t in enumerate(tokens) if t]
 
+    @property
+    def weights(self) -> np.ndarray:
+        return self.rows[:-2].T
+
+    @property
+    def unknown(self) -> np.ndarray:
+        return self.rows[-2]
+
     def _trie(self, tokens: list[str]) -> None:
         """Nodes numbered from the root 0; an edge's key is node * POINTS + code point."""
         children: dict[int, int] = {}
@@ -108,7 +115,7 @@ class Lattice:
 
     def scores(self, texts: list[str], marginal: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(scores, numbers of tokens), texts by labels: of the best path, or of all paths together (then the best's number)."""
-        labels = len(self.weights)
+        labels = self.rows.shape[1]
         total, size = np.zeros((len(texts), labels)), np.zeros((len(texts), labels), np.int64)
         if self.longest == 1:  # one path only: counts of code points times weights
             for part in self._parts(texts):
@@ -126,7 +133,7 @@ class Lattice:
         longest, n, texts = tok.shape
         used = (tok <= len(self.names)).any(axis=2)
         ring = longest + 1
-        shape = (ring, texts, len(self.weights))
+        shape = (ring, texts, self.rows.shape[1])
         best, steps = np.full(shape, -np.inf), np.zeros(shape, np.int32)
         summed = np.full(shape, -np.inf) if marginal else None
         best[0] = 0
@@ -155,65 +162,9 @@ class Lattice:
                 summed[here] = -np.inf
         return total, size
 
-    def paths(self, texts: list[str], label: np.ndarray) -> list[list[str]]:
-        """The best path's tokens of each text under its own label (an index); the earlier start wins a tie."""
-        out: list[list[str]] = [[] for _ in texts]
-        for part, tok in self._blocks(texts, self.longest):
-            longest, n, texts_n = tok.shape
-            own = label[part]
-            best, back = np.full((n + 1, texts_n), -np.inf), np.zeros((n + 1, texts_n), np.int64)
-            best[0] = 0
-            for s in range(n):
-                for k in range(min(longest, n - s)):
-                    new = best[s] + self.rows[tok[k, s], own]
-                    better = new > best[s + k + 1]
-                    best[s + k + 1] = np.where(better, new, best[s + k + 1])
-                    back[s + k + 1] = np.where(better, s, back[s + k + 1])
-            for b, i in enumerate(part):
-                text, e = texts[i], len(texts[i])
-                while e:
-                    out[i].append(text[back[e, b] : e])
-                    e = int(back[e, b])
-                out[i].reverse()
-        return out
-
-    def expectations(self, texts: list[str], label: np.ndarray, into: np.ndarray) -> np.ndarray:
-        """Adds the expected counts of each text's tokens under its own label to `into` (labels by tokens); returns log-likelihoods."""
-        like = np.zeros(len(texts))
-        for part, tok in self._blocks(texts, self.longest):
-            longest, n, texts_n = tok.shape
-            own, ends = label[part], np.array([len(texts[i]) for i in part])
-            w = self.rows[tok, own]
-            a, b = np.full((n + 1, texts_n), -np.inf), np.full((n + 1, texts_n), -np.inf)
-            a[0], b[ends, np.arange(texts_n)] = 0, 0
-            for s in range(n):
-                for k in range(min(longest, n - s)):
-                    np.logaddexp(a[s + k + 1], a[s] + w[k, s], out=a[s + k + 1])
-            whole = a[ends, np.arange(texts_n)]
-            for s in range(n - 1, -1, -1):
-                for k in range(min(longest, n - s)):
-                    np.logaddexp(b[s], b[s + k + 1] + w[k, s], out=b[s])
-            like[part] = whole
-            for k in range(min(longest, n)):
-                known = tok[k, : n - k] < len(self.names)
-                with np.errstate(invalid="ignore"):
-                    chance = np.exp(a[: n - k] + w[k, : n - k] + b[k + 1 :] - whole)
-                place, row = np.nonzero(known)
-                np.add.at(into, (own[row], tok[k, place, row]), chance[place, row])
-        return like
-
     def score(self, text: str, marginal: bool = False) -> np.ndarray:
         return self.scores([text], marginal)[0][0]
 
-    def tokens(self, text: str, row: int) -> list[str]:
-        return self.paths([text], np.array([row]))[0]
-
-    def expected(self, text: str, row: int, into: np.ndarray) -> float:
-        counts = np.zeros((len(self.weights), len(self.names)))
-        like = self.expectations([text], np.array([row]), counts)
-        into += counts[row]
-        return float(like[0])
-
 
 def weight_rows(model: DataFrame) -> DataFrame:
     """A long model (y, token, w and perhaps n_lines) as a written table of one row a label: its tokens in order, with a hash of them, and their weights."""
@@ -331,19 +282,6 @@ def score_texts(lines: DataFrame, model: DataFrame, k: int = 1, alpha: float | N
     return rows.select("line_idx", "status", F.get("cands", F.lit(0))["label"].alias("pred"), pairs.alias("candidates"))
 
 
-def segment(lines: DataFrame, model: DataFrame) -> DataFrame:
-    """line_idx, tokens: the best path of each line (line_idx, y, text) under its own label y."""
-    labels, tokens, weights = matrix(model)
-    lattice, at = Lattice(tokens, weights), {x: i for i, x in enumerate(labels)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = lattice.paths([t or "" for t in batch["text"]], np.array([at[y] for y in batch["y"]], np.int64))
-            yield pd.DataFrame({"line_idx": batch["line_idx"], "tokens": found})
-
-    return lines.select("line_idx", "y", "text").mapInPandas(run, "line_idx long, tokens array<string>")
-
-
 def preflight(tokens: list[str], lines: DataFrame, special: list[str] = (), size: int | None = None, least_lines: int = 1) -> DataFrame:
     """(check, passed, found) before a training: special tokens are there, no token twice or empty, the vocabulary has `size`, every label `least_lines` lines."""
     missing = [t for t in special if t not in set(tokens)]

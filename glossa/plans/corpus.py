@@ -6,10 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.operators import metrics as m
-
 from glossa.operators import profile as pf
 from glossa.operators import sampling as sp
-from glossa.plans.evaluation import LENGTH_SQL, RARE, RESOURCE_SQL, WIDE_SQL, long, scores, wide_f1
+from glossa.plans.evaluation import RARE, RESOURCE_SQL, WIDE_SQL, long, scores, wide_f1
 from glossa.plans.modelling import MODEL_SQL, counts
 from glossa.plans.registry import query
 from glossa.plans.tables import LABELLED_SQL, MODELS, SAMPLE_SQL, classes_sql, families, labelled, sample
