@@ -31,6 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. One that is read in fewer parts than there are cores (a small file) is dealt out, so that a pass over its texts uses them all; larger tables are left as they lie."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)
+
+
 def numbers(df: DataFrame) -> list[np.ndarray]:
     """The numeric columns of a df of bounded size as arrays; they come packed, a row a partition, not as rows of objects."""
     kinds = [(f.name, {"bigint": np.int64, "int": np.int32, "double": np.float64}[f.dataType.simpleString()]) for f in df.schema.fields]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from glossa.llm.common import written
+from glossa.llm.common import read, written
 
 SKIPPABLE = 0x184D2A5D  # of a dictionary frame
 FRAME = 0xFD2FB528
@@ -225,7 +225,7 @@ def archive_pages(pages: DataFrame, samples: int = 200, sample_chars: int = 8192
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
-    archives = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    archives = archive_pages(read(spark, sf_dir, "pages"))
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

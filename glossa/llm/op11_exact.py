@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import mix64, written
+from glossa.llm.common import mix64, read, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 FILTER = "bucket long, seed long, segment long, segments long, prints binary"
@@ -241,7 +241,7 @@ def exact_dedup(docs: DataFrame, parts: int = 2, digest: Callable[[Column], Colu
 
 def op11_exact(spark, sf_dir: str) -> DataFrame:
     """All documents in two batches, the later screened against the earlier one's snapshot."""
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(read(spark, sf_dir, "documents"))
 
 
 SQL = """

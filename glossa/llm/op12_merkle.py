@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import small, written
+from glossa.llm.common import read, small, written
 
 # The levels of one block, leaves first: each level's runs of two become their hash, k times.
 LEVELS = """
@@ -139,7 +139,7 @@ def tampering() -> dict[str, Column]:
 
 def op12_merkle(spark, sf_dir: str) -> DataFrame:
     """All documents, a tree per language and one over the languages."""
-    return manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), tampering()).drop("path")
+    return manifest(read(spark, sf_dir, "documents"), tampering()).drop("path")
 
 
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import small, written
+from glossa.llm.common import read, small, written
 
 INDEX = "id long, nth long, n long, terms array<binary>, counts array<int>"
 FOUND = "item long, score long, id long, nth long"
@@ -237,7 +237,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, most_terms: int = 300
 
 def op13_lexical(spark, sf_dir: str) -> DataFrame:
     """The 20 best documents of all for each benchmark item."""
-    return search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return search(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 _TERMS = "SELECT {id}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {table}"

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import small, word_count, written
+from glossa.llm.common import read, small, word_count, written
 
 CELLS = 4096
 
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0,
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed at 150 % of their words by the weights 3, 1, 2."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

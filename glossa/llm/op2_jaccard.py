@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import numbers, shingles, slices, small, words, written
+from glossa.llm.common import numbers, read, shingles, slices, small, words, written
 from glossa.llm.components import components
 
 STEP = 1.1  # sizes within a class of sizes differ by less than this factor
@@ -337,4 +337,4 @@ def jaccard_join(docs: DataFrame, turns: tuple[int, ...] = (0, 1)) -> DataFrame:
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.common import read
+
 RATE, WINDOW, HOP, REACH = 8000, 256, 128, 3
 _HANN = np.hanning(WINDOW)
 
@@ -98,4 +100,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
 def op4_media(spark, sf_dir: str) -> DataFrame:
     """Sound and fingerprints of all documents."""
-    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return media_columns(read(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import shingles, slices, small, words, written
+from glossa.llm.common import read, shingles, slices, small, words, written
 
 RADIUS = 3
 SIZES = [1, 2, 3, 4, 6, 9, 13, 20, 30, 45, 68, 102, 153, 230]
@@ -217,4 +217,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, bloc
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

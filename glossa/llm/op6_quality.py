@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import numbers, slices, small, words, written
+from glossa.llm.common import numbers, read, slices, small, words, written
 
 STATS = [
     "log_words", "log_bytes", "word_bytes", "upper", "digits", "marks", "symbols", "bars", "stops", "beyond_ascii", "lines", "line_repeats",
@@ -235,4 +235,4 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, keep: tuple[st
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

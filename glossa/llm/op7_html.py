@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import small, written
+from glossa.llm.common import read, small, written
 
 # Elements and class words that mark what isn't the article.
 NOT_TEXT = set("nav header footer aside form script style noscript template button select textarea iframe svg object dialog menu head title".split())
@@ -336,4 +336,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def op7_html(spark, sf_dir: str) -> DataFrame:
     """Article texts of all pages."""
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(read(spark, sf_dir, "pages"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import small, written
+from glossa.llm.common import read, small, written
 from glossa.llm.spans import clear_of, count_kind, found, joined
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -141,4 +141,4 @@ def find(docs: DataFrame, least_score: float = 0.5, least_support: int = 5, leas
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find(read(spark, sf_dir, "documents"))

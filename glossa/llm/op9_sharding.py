@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import small, written
+from glossa.llm.common import read, small, written
 
 
 def differencing(sizes: list[int], k: int) -> list[int]:
@@ -82,5 +82,5 @@ def shard(docs: DataFrame, shards: int = 16, chunks: int = 4096, part_bytes: int
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes."""
-    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = shard(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
