@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,83 +103,165 @@ def blocks(page: str | None) -> Iterator[tuple[str, str]]:
         yield path, text
 
 
-def fold(tokens: list[str], longest: int = 4) -> list[str]:
-    """tokens with each run of a repeated group of up to `longest` as one group, marked by "+" at its end."""
-    out: list[str] = []
-    for t in tokens:
-        out.append(t)
+def is_article(path: str) -> bool:
+    """Whether a path lies in an article element or one named so, and in nothing that is none."""
+    labels = path.split(">")
+    return not any(x.startswith("!") for x in labels) and any(x.split(".")[0] in ARTICLE or not ARTICLE_WORDS.isdisjoint(x.split(".")[1:]) for x in labels)
+
+
+def text_slot(path: str, text: str) -> int:
+    """A 64-bit hash of a block's path and text."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+# A wrapper is the expression that takes all streams of a host that it was made from: {"pages": their number, "nodes": [...]},
+# each node a dict of
+#   path, text (the string's hash; null: a text slot), n (pages that have it), chars (of all its strings), many (repeated), or
+#   group (the nodes of a repeated group), n.
+# A node that fewer than all pages have is optional.
+
+
+def of_stream(paths: list[str], texts: list[int | None], chars: list[int], pages: int = 1) -> dict:
+    """The wrapper of pages with one sequence of paths, whose strings are equal (a hash) or not (null) at each place."""
+    return {"pages": pages, "nodes": [{"path": p, "text": t, "n": pages, "chars": c, "many": False} for p, t, c in zip(paths, texts, chars, strict=True)]}
+
+
+def shape(node: dict) -> tuple:
+    """What a node is apart from its strings: its path, or a group's nodes' shapes."""
+    return ("", *map(shape, node["group"])) if "group" in node else (node["path"],)
+
+
+def constant(node: dict) -> bool:
+    """Whether several pages have the node with one string."""
+    return "group" not in node and node["text"] is not None and node["n"] > 1 and not node["many"]
+
+
+def joined(x: dict, y: dict) -> dict:
+    """Two nodes of one shape, of different pages, as one; strings that differ make a slot."""
+    n = x["n"] + y["n"]
+    if "group" in x:
+        return {"group": list(map(joined, x["group"], y["group"])), "n": n}
+    return {"path": x["path"], "text": x["text"] if x["text"] == y["text"] else None, "n": n, "chars": x["chars"] + y["chars"], "many": x["many"] or y["many"]}
+
+
+def turn(x: dict, y: dict) -> dict:
+    """Two nodes of one shape that stand in two turns of a group: what one of them lacks somewhere is optional in it."""
+    if "group" in x:
+        return {"group": list(map(turn, x["group"], y["group"])), "n": min(x["n"], y["n"])}
+    return {**joined(x, y), "n": min(x["n"], y["n"])}
+
+
+def pages_of(*turns: list[dict]) -> int:
+    """Pages that have one of the turns: as many as their nodes, if these agree; else no less than that, so that their nodes are optional in the group."""
+    ns = {x["n"] for t in turns for x in t}
+    return ns.pop() if len(ns) == 1 else sum(max(x["n"] for x in t) for t in turns)
+
+
+def folded(nodes: list[dict], longest: int = 4) -> list[dict]:
+    """nodes with each run of equal shapes, one after another, as a repeated slot or group; constant strings are never folded."""
+    out: list[dict] = []
+    for node in nodes:
+        out.append(node)
         shrunk = True
         while shrunk:
             shrunk = False
             for k in range(1, longest + 1):
-                if len(out) >= 2 * k and [x.rstrip("+") for x in out[-k:]] == [x.rstrip("+") for x in out[-2 * k : -k]]:
-                    del out[-k:]
-                    out[-1] = out[-1].rstrip("+") + "+"
+                last, before = out[-k:], out[-2 * k : -k]
+                if len(before) < k or any(map(constant, [*before, *last])):
+                    continue
+                if [*map(shape, last)] == [*map(shape, before)]:
+                    if k > 1:
+                        one = {"group": list(map(turn, before, last)), "n": pages_of(before, last)}
+                    elif "group" in last[0]:
+                        one = {"group": list(map(turn, before[0]["group"], last[0]["group"])), "n": pages_of(before, last)}
+                    else:
+                        one = {**joined(before[0], last[0]), "n": max(before[0]["n"], last[0]["n"]), "many": True}
+                    out[-2 * k :] = [one]
+                    shrunk = True
+                    break
+                if k > 1 and len(out) > k and "group" in out[-k - 1] and shape(out[-k - 1]) == ("", *map(shape, last)):
+                    out[-k - 1 :] = [{"group": list(map(turn, out[-k - 1]["group"], last)), "n": pages_of([out[-k - 1]], last)}]
                     shrunk = True
                     break
     return out
 
 
-def align(wrapper: list[tuple[str, bool, bool]], stream: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
-    """Both as one expression of (path, optional, repeated): what only one has becomes optional, what repeats in one repeats."""
-    out: list[tuple[str, bool, bool]] = []
-    matcher = SequenceMatcher(None, [t[0] for t in wrapper], [t[0] for t in stream], autojunk=False)
-    for kind, a, b, c, d in matcher.get_opcodes():
-        if kind == "equal":
-            out += [(x[0], x[1] or y[1], x[2] or y[2]) for x, y in zip(wrapper[a:b], stream[c:d], strict=True)]
-        else:
-            out += [(x[0], True, x[2]) for x in [*wrapper[a:b], *stream[c:d]]]
-    again: list[tuple[str, bool, bool]] = []
-    for t in out:  # neighbours on one path are a repeated slot
-        if again and again[-1][0] == t[0]:
-            again[-1] = (t[0], again[-1][1] and t[1], True)
+def grouped(nodes: list[dict], groups: list[dict]) -> list[dict]:
+    """nodes with each run that is one turn of a known group as that group, so that it meets its repeated form."""
+    out, i = [], 0
+    shapes = {shape(g)[1:] for g in groups}
+    while i < len(nodes):
+        for k in sorted(map(len, shapes), reverse=True):
+            run = nodes[i : i + k]
+            if len(run) == k and not any(map(constant, run)) and tuple(map(shape, run)) in shapes:
+                out.append({"group": run, "n": min(x["n"] for x in run)})
+                i += k
+                break
         else:
-            again.append(t)
-    return again
-
+            out.append(nodes[i])
+            i += 1
+    return out
 
-def parse_stream(text: str) -> list[tuple[str, bool, bool]]:
-    """An expression from the JSON of a page's stream (paths, "+" behind repeated ones) or of a wrapper."""
-    return [(t.rstrip("+"), False, t.endswith("+")) if isinstance(t, str) else tuple(t) for t in json.loads(text)]
 
+def gap(a: list[dict], b: list[dict]) -> list[dict]:
+    """Two runs of nodes without a string in common: what repeats is folded, equal shapes meet, and what only one has becomes optional."""
+    a, b = folded(a), folded(b)
+    a, b = grouped(a, [x for x in b if "group" in x]), grouped(b, [x for x in a if "group" in x])
+    key = lambda x: (shape(x), x["text"] if constant(x) else None)
+    out: list[dict] = []
+    for kind, i, j, k, m in SequenceMatcher(None, list(map(key, a)), list(map(key, b)), autojunk=False).get_opcodes():
+        out += [joined(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)] if kind == "equal" else [*a[i:j], *b[k:m]]
+    return out
 
-def is_article(path: str) -> bool:
-    """Whether a path lies in an article element or one named so, and in nothing that is none."""
-    labels = path.split(">")
-    return not any(x.startswith("!") for x in labels) and any(x.split(".")[0] in ARTICLE or not ARTICLE_WORDS.isdisjoint(x.split(".")[1:]) for x in labels)
 
+def align(one: dict, two: dict) -> dict:
+    """One wrapper of two: strings that both have anchor it; between them strings that differ become slots, and nodes of different shape optional or repeated ones."""
+    a, b, out, i, k = one["nodes"], two["nodes"], [], 0, 0
+    string = lambda nodes, side: [(x["path"], x["text"]) if "group" not in x and x["text"] is not None and not x["many"] else (side, i) for i, x in enumerate(nodes)]
+    for m in SequenceMatcher(None, string(a, 0), string(b, 1), autojunk=False).get_matching_blocks():
+        out += gap(a[i : m.a], b[k : m.b])
+        out += [joined(x, y) for x, y in zip(a[m.a : m.a + m.size], b[m.b : m.b + m.size], strict=True)]
+        i, k = m.a + m.size, m.b + m.size
+    pages = one["pages"] + two["pages"]
+    rare = lambda x: constant(x) and 4 * x["n"] < pages
+    return {"pages": pages, "nodes": folded([{**x, "text": None} if rare(x) else x for x in out])}
 
-def text_slot(path: str, text: str) -> int:
-    """A 64-bit hash of a block's path and text."""
-    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
+def leaves(nodes: list[dict]) -> Iterator[dict]:
+    for x in nodes:
+        yield from leaves(x["group"]) if "group" in x else (x,)
 
-def with_text(path: str, slot: int) -> str:
-    """The token of a block whose text is a host's constant one; no path has a space."""
-    return f"{path} {slot}"
 
+def template(wrapper: dict) -> list[int]:
+    """The hashes of the host's template texts: constant strings of the wrapper that half of its pages have or more, in one place, and outside articles.
 
-def template(wrapper: list[tuple[str, bool, bool]]) -> list[int]:
-    """The host's template texts: constant ones that stand in one place of the wrapper, and not in an article."""
-    texts = [t[0] for t in wrapper if " " in t[0]]
-    return sorted({int(t.rpartition(" ")[2]) for t in texts if texts.count(t) == 1 and not is_article(t.partition(" ")[0])})
+    Where constant strings outweigh all others the pages are copies of one another and tell nothing; then there is none.
+    """
+    outside = [x for x in leaves(wrapper["nodes"]) if not is_article(x["path"])]
+    texts = [x["text"] for x in outside]
+    fixed = [x for x in outside if constant(x) and 2 * x["n"] >= wrapper["pages"] and texts.count(x["text"]) == 1]
+    if 2 * sum(x["chars"] for x in fixed) >= sum(x["chars"] for x in leaves(wrapper["nodes"])):
+        return []
+    return sorted(x["text"] for x in fixed)
 
 
-def choose(wrapper: list[tuple[str, bool, bool]], chars: dict[str, float]) -> list[str]:
-    """The text slots of the article: those in an article element; else those under the element that holds most text and yet most of its parent's.
+def choose(wrapper: dict) -> list[str]:
+    """The paths of the article's text slots: those in an article element; else those under the element that holds most text and yet most of its parent's.
 
     Template texts are none; a constant text in an article or in several places of the wrapper is a slot like another.
     """
-    fixed = {str(t) for t in template(wrapper)}
-    wrapper = [(t[0].partition(" ")[0], t[1], t[2]) for t in wrapper if t[0].partition(" ")[2] not in fixed]
-    named = [t[0] for t in wrapper if t[0].split(">")[-1] and is_article(t[0])]
+    fixed, chars = set(template(wrapper)), {}
+    for x in leaves(wrapper["nodes"]):
+        if x["text"] is None or x["text"] not in fixed:
+            chars[x["path"]] = chars.get(x["path"], 0) + x["chars"]
+    named = [p for p in chars if p.split(">")[-1] and is_article(p)]
     elements = [p for p in named if any(x.split(".")[0] in ARTICLE for x in p.split(">"))]
     if named:
         return sorted(set(elements or named))
-    free = {t[0]: chars.get(t[0], 0.0) for t in wrapper if "!" not in t[0]}
+    free = {p: n for p, n in chars.items() if "!" not in p}
     if not free:  # class words alone don't reject all that there is
         by_tag = lambda path: any(x[0] == "!" and x[1:].split(".")[0] in NOT_TEXT for x in path.split(">") if x)
-        free = {t[0]: chars.get(t[0], 0.0) for t in wrapper if not by_tag(t[0])}
+        free = {p: n for p, n in chars.items() if not by_tag(p)}
     total = sum(free.values())
     root = ""
     while free:
@@ -197,113 +280,110 @@ def choose(wrapper: list[tuple[str, bool, bool]], chars: dict[str, float]) -> li
 
 def own_slots(page: list[tuple[str, str]]) -> list[str]:
     """The article slots that a page's own stream gives, for pages whose host's wrapper finds nothing in them."""
-    chars: dict[str, float] = {}
-    for path, text in page:
-        chars[path] = chars.get(path, 0.0) + len(text)
-    return choose([(p, False, False) for p in chars], chars)
+    return choose(of_stream([p for p, _ in page], [None] * len(page), [len(t) for _, t in page]))
 
 
 def _host() -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.col("url")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """host, page (a hash of all blocks), paths, slots (hash of path and text), chars of the blocks of each page (url, html) that has any."""
-    schema = "host string, page long, paths array<string>, slots array<long>, chars array<long>"
+def page_streams(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of all blocks), shape (a hash of their paths), paths, texts (hashes of path and string), chars of the blocks of each page (url, html) that has any."""
+    schema = "host string, page long, shape long, paths array<string>, texts array<long>, chars array<int>"
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = list(blocks(page.as_py()))
-                slots = [text_slot(path, text) for path, text in own]
+                texts, paths = [text_slot(path, text) for path, text in own], [path for path, _ in own]
                 if own:
-                    rows.append((host, text_slot("", repr(slots)), [path for path, _ in own], slots, [len(text) for _, text in own]))
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "page", "paths", "slots", "chars"])
+                    rows.append((host, text_slot("", repr(texts)), text_slot("", repr(paths)), paths, texts, [len(text) for _, text in own]))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "page", "shape", "paths", "texts", "chars"])
 
     return pages.select(_host().alias("host"), "html").mapInArrow(found, schema)
 
 
-def constant_texts(found: DataFrame, least_pages: int, share: float = 0.9) -> DataFrame:
-    """(h, fixed): the slots that nearly all different pages of a host have, for hosts of at least `least_pages` of these.
+def shape_wrappers(streams: DataFrame, salts: int = 64) -> DataFrame:
+    """host, wrapper (JSON) of the pages of each host that have one sequence of paths, each different page once; up to `salts` of them a sequence.
 
-    Only two pages' slots are looked for in the others, so few rows are counted and no host is gathered; a slot that
-    one page in ten lacks is missed with one host in a hundred.
+    What is shuffled of a page are the hashes and lengths of its blocks, not its paths; a sorted partition holds one
+    page and one wrapper at a time.
     """
-    two = F.array_union(F.min_by("slots", "page"), F.max_by("slots", "page"))
-    one = found.groupBy("host").agg(two.alias("first"), F.count_distinct("page").alias("n")).filter(F.col("n") >= least_pages)
-    one = written(one.select(F.col("host").alias("h"), "first", "n"), "html-first")
-    both = found.join(small(one, 10_000), F.col("host") == F.col("h")).select("h", "n", "page", F.explode(F.array_intersect("slots", "first")).alias("slot"))
-    shared = both.groupBy("h", "slot").agg(F.count_distinct("page").alias("pages"), F.first("n").alias("n")).filter(F.col("pages") >= share * F.col("n"))
-    return written(shared.groupBy("h").agg(F.collect_list("slot").alias("fixed")), "html-constant")
+    names = streams.groupBy("host", "shape").agg(F.first("paths").alias("paths"))
+    light = streams.select("host", "shape", "page", "texts", "chars").repartition("host", "shape", F.pmod("page", F.lit(salts))).sortWithinPartitions("host", "shape", "page")
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, page, texts, chars, n = None, None, [], np.zeros(0, np.int64), 0
 
-def page_streams(found: DataFrame, constant: DataFrame) -> DataFrame:
-    """host, stream (folded paths as JSON, constant texts beside theirs), paths, chars (of the other texts) of each page of page_blocks."""
-    schema = "host string, stream string, paths array<string>, chars array<long>"
-    joined = found.join(small(constant, 10_000), F.col("host") == F.col("h"), "left").select("host", "paths", "slots", "chars", "fixed")
+        def out():
+            columns = [[key[0]], [key[1]], [texts], [chars.tolist()], [n]]
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "shape", "texts", "chars", "pages"])
 
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, paths, slots, lengths, fixed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fixed, tokens, chars = set(fixed or ()), [], {}
-                for path, slot, n in zip(paths, slots, lengths, strict=True):
-                    tokens.append(with_text(path, slot) if slot in fixed else path)
-                    chars[path] = chars.get(path, 0) + (0 if slot in fixed else n)
-                rows.append((host, json.dumps(fold(tokens)), list(chars), list(chars.values())))
-            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "stream", "paths", "chars"])
+            for host, own, this, words, sizes in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "page", "texts", "chars")), strict=True):
+                if (host, own) != key:
+                    if key is not None:
+                        yield out()
+                    key, page, texts, chars, n = (host, own), this, words, np.array(sizes, np.int64), 1
+                elif this != page:
+                    page, texts, n = this, [a if a == b else None for a, b in zip(texts, words, strict=True)], n + 1
+                    chars += np.array(sizes, np.int64)
+        if key is not None:
+            yield out()
+
+    merged = light.mapInArrow(merge, "host string, shape long, texts array<long>, chars array<long>, pages long")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of_stream(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("paths", "texts", "chars", "pages")), strict=True)]
+            found = [{**w, "nodes": folded(w["nodes"])} if w["pages"] > 1 else w for w in found]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(list(map(json.dumps, found)), pa.string())], names=["host", "wrapper"])
 
-    return joined.mapInArrow(streams, schema)
+    return merged.join(names, ["host", "shape"]).select("host", "paths", "texts", "chars", "pages").mapInArrow(name, "host string, wrapper string")
 
 
-def align_all(different: DataFrame, at_once: int = 32) -> DataFrame:
-    """host, stream: the different streams of each host (host, stream) aligned into one wrapper, as JSON of (path, optional, repeated).
+def align_all(wrappers: DataFrame, at_once: int = 32) -> DataFrame:
+    """host, wrapper: the wrappers of each host (host, wrapper) aligned into one.
 
-    Rounds of groups of about `at_once` streams, whose wrappers are aligned in the next round: a task holds a few
-    streams however many a host has, and the rounds grow with the logarithm of that number.
+    Rounds of groups of about `at_once`, whose wrappers are aligned in the next round: a task holds a few however many
+    a host has, and the rounds grow with the logarithm of that number. In a group those of most pages come first, so
+    that strings are known to be constant before rare pages are met.
     """
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = sorted(rows["stream"], key=lambda s: (len(s), s))
-        wrapper = parse_stream(ordered[0])
-        for s in ordered[1:]:
-            wrapper = align(wrapper, parse_stream(s))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "stream": [json.dumps(wrapper)]})
+        found = sorted(map(json.loads, sorted(rows["wrapper"])), key=lambda w: (-w["pages"], len(w["nodes"])))
+        whole = found[0]
+        for w in found[1:]:
+            whole = align(whole, w)
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(whole)]})
 
-    rows, groups = written(different, "html-different"), 0
+    rows, groups = written(wrappers, "html-shapes"), 0
     while groups != 1:
         most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 1
         groups = -(-most // at_once)
-        salt = F.pmod(F.xxhash64("stream"), F.lit(groups)).alias("salt")
-        rows = written(rows.select("host", "stream", salt).groupBy("host", "salt").applyInPandas(merge, "host string, stream string"), "html-aligned")
+        salt = F.pmod(F.xxhash64("wrapper"), F.lit(groups)).alias("salt")
+        rows = written(rows.select("host", "wrapper", salt).groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string"), "html-aligned")
     return rows
 
 
-def infer(pages: DataFrame, at_once: int = 32, least_pages: int = 10) -> DataFrame:
-    """(host, wrapper, slots, template): a wrapper as JSON of (path, optional, repeated), the paths of its article slots and the hashes of its template texts.
+def infer(pages: DataFrame, at_once: int = 32) -> DataFrame:
+    """(host, wrapper, slots, template): a wrapper as JSON, the paths of its article slots and the hashes of its template texts.
 
-    A text that stands on one path in nine of ten different pages of a host, of which there are `least_pages` or more
-    (fewer don't show what is constant), is a token of its own in the streams; if it has one place in the aligned
-    wrapper and that is in no article, it is template text and no slot.
-    Equal streams of a host count once, so its pages are never gathered; its different streams are aligned in groups of
-    about `at_once`, round by round. A host's wrapper and the paths in it are one row.
+    Pages of a host with one sequence of paths are one stream whose strings are compared place by place; the different
+    sequences are aligned, strings that both have first, in groups of about `at_once`, round by round. A host's pages
+    are never gathered; its wrapper is one row.
     """
-    found = written(page_blocks(pages), "html-blocks")
-    streams = written(page_streams(found, constant_texts(found, least_pages)), "html-streams")
-    wrappers = align_all(streams.select("host", "stream").distinct(), at_once)
-    sums = streams.select("host", F.explode(F.arrays_zip("paths", "chars")).alias("s")).groupBy("host", "s.paths").agg(F.sum("s.chars").alias("chars"))
-    chars = sums.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("paths", "chars"))).alias("chars"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            wrappers = [[tuple(t) for t in json.loads(w)] for w in rows["stream"]]
-            slots = [choose(w, dict(c) if c is not None else {}) for w, c in zip(wrappers, rows["chars"], strict=True)]
-            yield pd.DataFrame({"host": rows["host"], "wrapper": rows["stream"], "slots": slots, "template": [template(w) for w in wrappers]})
+            found = [json.loads(w) for w in rows["wrapper"]]
+            yield pd.DataFrame({"host": rows["host"], "wrapper": rows["wrapper"], "slots": list(map(choose, found)), "template": list(map(template, found))})
 
-    picked = wrappers.join(chars, "host", "left").mapInPandas(pick, "host string, wrapper string, slots array<string>, template array<long>")
+    streams = written(page_streams(pages), "html-streams")
+    picked = align_all(shape_wrappers(streams), at_once).mapInPandas(pick, "host string, wrapper string, slots array<string>, template array<long>")
     return written(picked, "html-wrappers")
 
 

@@ -547,21 +547,67 @@ def test_html_class_words_and_raw_text(spark):
     assert {name: rows[i] for i, name in enumerate(ARTICLES)} == {name: "one two\n\nthree" for name in ARTICLES}
 
 
+def takes(nodes, paths):
+    """Whether the expression takes a sequence of paths: each node once, optional ones not at all, repeated ones several times."""
+
+    def ends(nodes, pages, starts):
+        for node in nodes:
+            once = {e for s in starts for e in (ends(node["group"], node["n"], {s}) if "group" in node else {s + 1} if paths[s : s + 1] == [node["path"]] else set())}
+            after, seen = once, set(once)
+            while ("group" in node or node["many"]) and after:
+                after = {e for s in after for e in (ends(node["group"], node["n"], {s}) if "group" in node else {s + 1} if paths[s : s + 1] == [node["path"]] else set())} - seen
+                seen |= after
+            starts = seen | (starts if node["n"] < pages else set())
+        return starts
+
+    return len(paths) in ends(nodes["nodes"], nodes["pages"], {0})
+
+
 def test_html_streams_in_rounds(spark):
-    """Many different streams of one host, in groups of 4: one wrapper with every path once, optional where a stream lacks it."""
-    streams = [json.dumps(["top", *(f"p{j}" for j in range(8) if i >> j & 1), "end"]) for i in range(256)]
-    df = spark.createDataFrame([("h", s) for s in streams] + [("one", '["a", "b+"]'), ("", '["x"]')], "host string, stream string")
-    got = {r["host"]: op7_html.parse_stream(r["stream"]) for r in op7_html.align_all(df, at_once=4).collect()}
-    assert got["one"] == [("a", False, False), ("b", False, True)] and got[""] == [("x", False, False)]
-    paths = [t[0] for t in got["h"]]
-    assert set(paths) == {"top", "end", *(f"p{j}" for j in range(8))}
-    assert [t for t in got["h"] if not t[1]] == [("top", False, False), ("end", False, False)]
-    for s in streams:  # the wrapper's expression takes each stream: its paths in order
-        rest = iter(paths)
-        assert all(p in rest for p in json.loads(s))
+    """Many different streams of one host, in groups of 4: one wrapper that takes every one of them, optional where a stream lacks a path."""
+    streams = [["top", *(f"p{j}" for j in range(8) if i >> j & 1), "end"] for i in range(256)]
+    one = lambda paths, texts=None: json.dumps(op7_html.of_stream(paths, texts or [None] * len(paths), [3] * len(paths)))
+    df = spark.createDataFrame([("h", one(s)) for s in streams] + [("one", one(["a", "b"])), ("", one(["x"]))], "host string, wrapper string")
+    got = {r["host"]: json.loads(r["wrapper"]) for r in op7_html.align_all(df, at_once=4).collect()}
+    assert [x["path"] for x in got["one"]["nodes"]] == ["a", "b"] and got[""]["pages"] == 1
+    assert got["h"]["pages"] == 256 and sum(x["chars"] for x in op7_html.leaves(got["h"]["nodes"])) == 3 * sum(map(len, streams))
+    assert {x["path"] for x in op7_html.leaves(got["h"]["nodes"])} == {"top", "end", *(f"p{j}" for j in range(8))}
+    assert [x["path"] for x in got["h"]["nodes"] if x["n"] == 256] == ["top", "end"]
+    assert all(takes(got["h"], s) for s in streams)
     assert op7_html.align_all(df.limit(0)).count() == 0
 
 
+def test_html_wrappers_take_their_streams():
+    """Random streams with optional parts, lists and nested groups: aligned in any order, the wrapper takes each of them."""
+    r = random.Random(9)
+
+    def page():
+        rows = [p for _ in range(r.randint(0, 4)) for p in ("h", *["li"] * r.randint(1, 3), "f")]
+        return ["top", *(["ad"] if r.random() < 0.5 else []), *rows, *(["q"] * r.randint(0, 3)), "end"]
+
+    for _ in range(40):
+        pages = [page() for _ in range(r.randint(2, 7))]
+        whole = op7_html.of_stream(pages[0], [None] * len(pages[0]), [1] * len(pages[0]))
+        for p in pages[1:]:
+            whole = op7_html.align(whole, op7_html.of_stream(p, [None] * len(p), [1] * len(p)))
+        assert all(takes(whole, p) for p in pages), (pages, whole)
+        assert json.loads(json.dumps(whole)) == whole
+
+
+def test_html_alignment_by_hand():
+    at = lambda paths, texts: op7_html.of_stream(paths, texts, [1] * len(paths))
+    plain = lambda nodes: [("+", plain(x["group"]), x["n"]) if "group" in x else (x["path"], x["text"], x["n"], x["many"]) for x in nodes]
+    # strings that differ become a slot, equal ones stay, and what only one has is optional
+    both = op7_html.align(at(["a", "b", "c"], [1, 2, 3]), at(["a", "x", "b", "c"], [1, 8, 9, 3]))
+    assert plain(both["nodes"]) == [("a", 1, 2, False), ("x", 8, 1, False), ("b", None, 2, False), ("c", 3, 2, False)]
+    # a page without the constant string doesn't make it a slot
+    third = op7_html.align(op7_html.align(at(["p", "p"], [1, 2]), at(["p", "p"], [1, 3])), at(["p"], [4]))
+    assert plain(third["nodes"]) == [("p", 1, 2, False), ("p", None, 3, False)]
+    # lists repeat, groups nest
+    rows = op7_html.align(at(["t", "h", "li", "li", "h", "li"], [1, 2, 3, 4, 5, 6]), at(["t", "h", "li"], [1, 7, 8]))
+    assert plain(rows["nodes"]) == [("t", 1, 2, False), ("+", [("h", None, 2, False), ("li", None, 2, True)], 2)]
+
+
 def test_small_counts_bytes(spark):
     from glossa.llm.common import small
 
@@ -585,6 +631,9 @@ def test_html_template_texts(spark):
     assert all(rows[100 + i] == "\n\n".join([f"t {i}", "By the staff", prose(5, i), "same 0"]) for i in range(4))
     assert all(rows[200 + i] == "t 1\n\nBy the staff\n\none\n\nsame 0" for i in range(20))
     assert all(rows[300 + i] == prose(9, i) + "\n\n" + prose(6, 50 + i) for i in range(40))  # the line is gone where 39 of 40 have it
+    # names say nothing here: by a page's own paths all is article, by the wrapper the site's lines are not
+    own = op7_html.own_slots(list(op7_html.blocks(pages[-1][2])))
+    assert [t for p, t in op7_html.blocks(pages[-1][2]) if p in own][0] == "The site's line"
 
 
 def test_html_pages_without_ids_and_long_ones(spark):
@@ -597,13 +646,6 @@ def test_html_pages_without_ids_and_long_ones(spark):
     assert rows == sorted([(0, len(whole), whole), (0, 0, ""), (1, 3, "one"), (1, 3, "one")])
 
 
-def test_wrapper_alignment():
-    one = op7_html.parse_stream('["a", "b+", "c"]')
-    two = op7_html.parse_stream('["a", "b", "x", "c"]')
-    assert op7_html.align(one, two) == [("a", False, False), ("b", False, True), ("x", True, False), ("c", False, False)]
-    assert op7_html.fold(list("apqpqpqz")) == ["a", "p", "q+", "z"]
-
-
 def test_sharding(spark, odd, none):
     rows = op9_sharding.shard(odd).collect()
     assert len(rows) == odd.count()
