@@ -48,12 +48,6 @@ class Words:
         return [self.mark + w.decode("utf-8", "surrogatepass") for w in words]
 
 
-def spread(lines: DataFrame) -> DataFrame:
-    """lines in at least as many partitions as there are cores: a table of few files is dealt out, one of many is left as it is."""
-    cores = lines.sparkSession.sparkContext.defaultParallelism
-    return lines if lines.rdd.getNumPartitions() >= cores else lines.repartition(2 * cores)
-
-
 def word_counts(lines: DataFrame, words: Words = Words()) -> DataFrame:
     """(y, word, n) of lines (y, text), written: how often each marked word stands in each label's texts.
 
@@ -77,7 +71,7 @@ def word_counts(lines: DataFrame, words: Words = Words()) -> DataFrame:
                     yield out()
         yield out()
 
-    rows = spread(lines.select("y", "text")).mapInArrow(partial, "y string, word string, n long")
+    rows = lines.select("y", "text").mapInArrow(partial, "y string, word string, n long")
     return table(rows.groupBy("y", "word").agg(F.sum("n").alias("n")), "words")
 
 
@@ -450,7 +444,6 @@ def score_words(lines: DataFrame, model: DataFrame, k: int | None = 5, alpha: fl
     rows = weight_rows(model)
     blocks = _label_blocks(rows)
     keep = [c for c in lines.columns if c != "text"]
-    lines = spread(lines)
     for i, names in enumerate(blocks):
         lines = _pass(lines, rows, names, i, k, alpha, marginal, bias or {}, words, own)
     if not blocks:
@@ -477,7 +470,6 @@ def segment_words(lines: DataFrame, model: DataFrame, words: Words = Words()) ->
     """
     rows = weight_rows(model)
     keep, blocks = [c for c in lines.columns if c != "text"], _label_blocks(rows)
-    lines = spread(lines)
     for i, names in enumerate(blocks):
         lines = _paths_pass(lines, rows, names, i, words)
     tokens = F.coalesce(*(F.col(f"tokens{i}") for i in range(len(blocks)))) if blocks else F.lit(None).cast("array<string>")

@@ -199,7 +199,9 @@ def train_em_documents(spark, sf_dir):
     return sw.unpacked(sw.train_em(words, pieces(words), rounds=2)[0])
 
 
-@query()
+@query(
+    WORDS_SQL + " SELECT y, CASE WHEN y = 'nil_Latn' THEN 'failed' WHEN call = 1 THEN 'trained' ELSE 'present' END AS status, CASE WHEN y = 'nil_Latn' THEN 'no words' END AS error, call FROM (SELECT DISTINCT y FROM units UNION ALL SELECT 'nil_Latn') CROSS JOIN range(1, 3) c(call)"
+)
 def train_isolated_labels(spark, sf_dir):
     """Labels trained one apart from another, twice with one path: a label without text fails alone, the second call trains nothing again."""
     words, path = words_of(spark, sf_dir), shared(spark, "labels")
@@ -210,7 +212,11 @@ def train_isolated_labels(spark, sf_dir):
     return first.withColumn("call", F.lit(1)).unionByName(second.withColumn("call", F.lit(2)))
 
 
-@query()
+@query(
+    WORDS_SQL + f""" SELECT 'special tokens' AS "check", bool_or(token = '{sw.MARK}') AS passed, CASE WHEN bool_or(token = '{sw.MARK}') THEN '' ELSE '{sw.MARK}' END AS found FROM voc UNION ALL
+  SELECT 'vocabulary size', count(*) = {PIECES[2]}, count(*)::VARCHAR FROM voc UNION ALL SELECT 'tokens unique and not empty', count(*) = count(DISTINCT token) AND bool_and(token <> ''), count(DISTINCT token)::VARCHAR FROM voc UNION ALL
+  SELECT 'lines a label', count(*) > 0, '0' FROM (SELECT DISTINCT y FROM lines)"""
+)
 def preflight_checks(spark, sf_dir):
     """Special tokens, the size that the vocabulary was asked to have, and lines a label before a training."""
     tokens = [r[0] for r in pieces(words_of(spark, sf_dir)).select("token").collect()]  # as many as asked for

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.sources.lines import read_codes, write_codes
-from glossa.sources.store import shared
+from glossa.sources.store import dealt, shared
 
 LANGUAGES = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa"}
 NEXT = {"eng": "fra", "fra": "deu", "deu": "spa", "spa": "eng"}
@@ -18,7 +18,7 @@ FAMILIES = [("eng deu", None, "grm", "west"), ("fra;spa, eng", "und", "rom", "it
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,3 +22,9 @@ def table(rows: DataFrame, name: str) -> DataFrame:
     path = shared(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A plain read of files; one that comes in fewer parts than there are cores (a small table) is dealt out, so that a pass over its texts uses them all. Larger tables are left as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)
