@@ -172,8 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, features: i
                 yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(i, j - i) for k in (1, 2, 3))], names=["stats", "y", "fold", "marked"])
 
     rows = chosen.select("text", "y", (F.col("o") % (folds + 1)).cast("int").alias("fold"), "marked").mapInArrow(measure, "stats array<double>, y double, fold int, marked long")
-    rows = rows.groupBy("marked").agg(F.min(F.struct("stats", "y", "fold")).alias("row")).select("row.*")  # an id that stands on many rows counts once
-    rows = written(rows, "quality-fit")
+    often = docs.select("doc_id").join(small(marks.select("marked")), F.col("doc_id") == F.col("marked")).groupBy("marked").count().filter("count > 1").select("marked")
+    often = written(often, "quality-often")
+    if not often.isEmpty():  # an id that stands on many rows counts once; there are no more of them than marks
+        once = rows.join(small(often), "marked", "left_semi").groupBy("marked").agg(F.min(F.struct("stats", "y", "fold")).alias("row")).select("row.*")
+        rows = rows.join(small(often), "marked", "left_anti").select("stats", "y", "fold").unionByName(once)
+    rows = written(rows.select("stats", "y", "fold"), "quality-fit")
     one = rows.select(*(x for i in range(len(STATS)) for x in (F.avg(F.col("stats")[i]), F.stddev_pop(F.col("stats")[i]))), F.count(F.lit(1))).first()
     if not one[-1]:
         return None
