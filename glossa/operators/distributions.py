@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.segment import matrix
-
 
 def kl(p: Column, q: Column) -> Column:
     """Divergence in nats of grouped columns."""
@@ -25,30 +23,57 @@ def entropy(model: DataFrame) -> DataFrame:
     )
 
 
-def pairwise(model: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+CHUNK = 512  # tokens whose weights under all labels are one product
+
+
+def pairwise(model: DataFrame, pairs: DataFrame | None = None, parts: int = 16) -> DataFrame:
     """(a, b, sym_kl) for a < b, or for the given pairs (a, b).
 
-    All pairs come from products of blocks of labels with the matrix of p and ln p, which is broadcast if its size
-    allows; no row a pair and token is made. A list of pairs is joined by token.
+    A list of pairs is joined by token. All pairs come from products: tokens are dealt into `parts`, a task goes through
+    its own some at a time, adds up p ln q of all labels against all, and passes on one row a pair. The model is never
+    in one place, and no row a pair and token is made. A label that lacks a token is an error.
     """
     if pairs is not None:
         a = model.select(F.col("y").alias("a"), "token", F.col("p").alias("pa"))
         b = model.select(F.col("y").alias("b"), "token", F.col("p").alias("pb"))
         joined = a.join(F.broadcast(pairs), "a").join(b, ["b", "token"])
         return joined.groupBy("a", "b").agg(((kl(F.col("pa"), F.col("pb")) + kl(F.col("pb"), F.col("pa"))) / 2).alias("sym_kl"))
-    spark = model.sparkSession
-    labels, _, logs = matrix(model.select("y", "token", F.log("p").alias("w")))
-    names = np.array(labels, object)
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = np.exp(logs)
-        own = (p * logs).sum(axis=1)
-        for batch in batches:
-            for i in batch["id"]:
-                sym = (own[i] - p[i] @ logs[i + 1 :].T + own[i + 1 :] - p[i + 1 :] @ logs[i]) / 2
-                yield pd.DataFrame({"a": names[np.full(len(sym), i)], "b": names[i + 1 :], "sym_kl": sym})
-
-    return spark.range(len(labels)).mapInPandas(block, "a string, b string, sym_kl double")
+    labels = sorted(r[0] for r in model.select("y").distinct().collect())  # few by nature
+    names, at = np.array(labels, object), {y: i for i, y in enumerate(labels)}
+    upper = np.triu_indices(len(labels), 1)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(labels), len(labels)))
+        rest = None
+        for last, batch in ends_marked(batches):
+            rows = pa.Table.from_batches([batch]) if batch is not None else None
+            rows = rows if rest is None else rest if rows is None else pa.concat_tables([rest, rows])
+            if rows is None or not len(rows):
+                continue
+            whole = len(rows) if last else len(rows) // len(labels) * len(labels)
+            if not last and whole < CHUNK * len(labels):
+                rest = rows
+                continue
+            rest = rows.slice(whole)
+            y = np.array([at[x] for x in rows["y"].slice(0, whole).to_pylist()])
+            if len(y) % len(labels) or (np.sort(y.reshape(-1, len(labels)), axis=1) != np.arange(len(labels))).any():
+                raise ValueError("the model lacks weights of some labels and tokens")
+            p = rows["p"].slice(0, whole).to_numpy().reshape(-1, len(labels))
+            p = np.take_along_axis(p, np.argsort(y.reshape(-1, len(labels)), axis=1), axis=1)
+            total += p.T @ np.log(p)
+        own = np.diag(total)
+        sym = (own[:, None] + own[None] - total - total.T)[upper] / 2
+        yield pa.RecordBatch.from_arrays([pa.array(names[upper[0]], pa.string()), pa.array(names[upper[1]], pa.string()), pa.array(sym)], names=["a", "b", "sym_kl"])
+
+    dealt = model.select("y", "token", "p").repartition(parts, "token").sortWithinPartitions("token")
+    return dealt.select("y", "p").mapInArrow(products, "a string, b string, sym_kl double").groupBy("a", "b").agg(F.sum("sym_kl").alias("sym_kl"))
+
+
+def ends_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
+    """(False, batch) for each batch and (True, None) at the end."""
+    for batch in batches:
+        yield False, batch
+    yield True, None
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -195,14 +195,6 @@ def _collected(rows: DataFrame, labels: list[str], n_tokens: int) -> tuple[list[
     return tokens, weights, [n_lines[i] for i in order]
 
 
-def matrix(model: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
-    """(labels, tokens, weights) of a long model (y, token, w), both sorted; a missing cell is an error, and so is a model too large to collect."""
-    rows = weight_rows(model.select("y", "token", "w"))
-    labels, n_tokens = _sizes(rows)
-    tokens, weights, _ = _collected(rows, labels, n_tokens)
-    return labels, tokens, weights
-
-
 def preprocess(text: str | None, form: str | None = None, space: str | None = None) -> str:
     """A text in a Unicode normal form, runs of white space as one `space` where that is given; null and empty give ""."""
     text = unicodedata.normalize(form, text) if form and text else text or ""

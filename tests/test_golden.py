@@ -237,6 +237,23 @@ def test_sketches_merge(spark):
     assert pf.estimate(one.limit(0), "y").count() == 0
 
 
+def test_divergences_in_chunks(spark, monkeypatch):
+    """Every pair against the definition, with tokens in several chunks and tasks; a missing cell stops it."""
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet(np.ones(700), 5)
+    cells = [(f"l{y}", f"t{t}", float(p[y, t])) for y in range(5) for t in range(700)]
+    rng.shuffle(cells)
+    rows = frame(spark, [(str(y), str(t), float(v)) for y, t, v in cells], "y string, token string, p double")
+    monkeypatch.setattr(d, "CHUNK", 7)
+    for parts in (1, 3):
+        found = {(r["a"], r["b"]): r["sym_kl"] for r in d.pairwise(rows, parts=parts).collect()}
+        wanted = {(f"l{a}", f"l{b}"): float(((p[a] - p[b]) * np.log(p[a] / p[b])).sum() / 2) for a in range(5) for b in range(a + 1, 5)}
+        assert found == pytest.approx(wanted)
+    with pytest.raises(Exception, match="lacks weights"):
+        d.pairwise(rows.filter("NOT (y = 'l2' AND token = 't5')")).collect()
+    assert d.pairwise(rows.limit(0)).count() == 0
+
+
 def test_richer_labels_by_buckets(spark):
     rng = np.random.default_rng(3)
     labels = [(f"l{i}", [None, "A", "B"][i % 3], int(n)) for i, n in enumerate([0, 1, 2, 3, 4, 7, 8, 8, 9, 1000, 1023, 1024, *rng.integers(0, 5000, 60)])]
