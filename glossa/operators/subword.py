@@ -91,21 +91,61 @@ def _substrings(size: int) -> Column:
     return F.explode(F.transform(starts, lambda i: F.substring("piece", i, F.lit(size))))
 
 
+def _longer(units: DataFrame, shorter: list[str] | None, size: int) -> DataFrame:
+    """(token, n) of the substrings of `size` code points whose two shorter parts are in `shorter` (None: all code points).
+
+    A place's shorter token has a number, so a substring there is that number and one more code point: an exact key,
+    counted in whole batches.
+    """
+    held = None if shorter is None else units.sparkSession.sparkContext.broadcast(WordLattice(shorter, np.zeros((1, len(shorter)), np.float32)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            length = np.array([len(w) for w in words], np.int64)
+            codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            n = np.repeat(batch.column("n").to_numpy(), length)
+            if held is None:
+                keys, which = np.unique(codes, return_inverse=True)
+                tokens = [chr(k) for k in keys.tolist()]
+            else:
+                lattice = held.value
+                first = np.cumsum(length) - length
+                start, long, word, token = lattice.edges(words)
+                known = (long == size - 1) & (token < len(lattice.tokens))
+                have = np.full(len(codes) + 1, -1, np.int64)
+                have[first[word[known]] + start[known]] = token[known]
+                left = np.repeat(first + length, length) - np.arange(len(codes))
+                at = np.flatnonzero((left >= size) & (have[:-1] >= 0) & (have[1:] >= 0))
+                keys, which = np.unique(have[at] * POINTS + codes[at + size - 1], return_inverse=True)
+                n = n[at]
+                tokens = [lattice.tokens[k // POINTS] + chr(k % POINTS) for k in keys.tolist()]
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, which, n)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(sums)], names=["token", "n"])
+
+    return units.mapInArrow(count, "token string, n long")
+
+
 def substring_counts(words: DataFrame, least: int, longest: int = 8) -> DataFrame:
     """(token, n): the substrings of at most `longest` code points that stand at least `least` times in words (word, n).
 
     Level by level: a substring can only be that frequent if both of its parts that are one code point shorter are, so
     the others are dropped before they are counted. A level without any ends the search. Words are counted once, with
-    their numbers, and each level is as large as what it found.
+    their numbers, and each level is as large as what it found. Tasks get the last level whole while it has MOST_TOKENS
+    or fewer, and count by its numbers; a larger one is joined.
     """
-    units = table(_cut(words.groupBy("word").agg(F.sum("n").alias("n")), longest), "units")
-    found, shorter = None, None
+    units = table(words.groupBy("word").agg(F.sum("n").alias("n")).filter("word <> ''"), "units")
+    found, shorter, pieces = None, None, None
     for size in range(1, longest + 1):
-        each = units.filter(F.length("piece") >= size).select("n", _substrings(size).alias("token"))
-        if shorter is not None:
-            known = F.broadcast(shorter) if shorter.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS else shorter
+        known = None if shorter is None else [r["token"] for r in shorter.limit(MOST_TOKENS + 1).collect()]
+        if known is None or len(known) <= MOST_TOKENS:
+            each = _longer(units, known, size)
+        else:
+            pieces = table(_cut(units, longest), "pieces") if pieces is None else pieces
+            each = pieces.filter(F.length("piece") >= size).select("n", _substrings(size).alias("token"))
             for part, name in ((F.substring("token", 1, size - 1), "head"), (F.substring("token", 2, size - 1), "tail")):
-                each = each.join(known.select(F.col("token").alias(name)), part == F.col(name), "left_semi")
+                each = each.join(shorter.select(F.col("token").alias(name)), part == F.col(name), "left_semi")
         level = table(each.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "substrings")
         found = level if found is None else found.unionByName(level)
         shorter = level.select("token")
