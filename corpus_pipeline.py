@@ -33,8 +33,9 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     they link with nothing. An empty table gives an empty one; columns besides those of documents are left out.
     """
     classes = written(jaccard_join(docs).filter("n_shingles > 0"), "pipeline-classes")
-    first = classes.groupBy("class_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("first"))
-    rows = classes.groupBy("class_id", "doc_id", "text_key").count().join(first, "class_id")
+    first = classes.groupBy("class_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = written(first.filter("n > 1").drop("n"), "pipeline-first")  # a row alone in its class stays, and needs no look
+    rows = classes.join(small(first, 1_000_000), "class_id").groupBy("class_id", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("count"), F.first("first").alias("first"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     # rows to drop or to take once; the others needn't be looked at
     marked = written(rows.filter(~kept | (F.col("count") > 1)).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), kept.alias("once")), "pipeline-copies")
