@@ -5,8 +5,12 @@ A draw orders rows by md5 of "seed:id", so any engine repeats it; it isn't a dra
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,34 +96,51 @@ def poisson_table(mean: int) -> list[float]:
     return out
 
 
+RUN = 64  # pieces of a row that are drawn together
+
+
 def poisson_pieces(n: Column) -> Column:
-    """n as a sum of MEANS: an array of (mean, i), the i-th piece of that mean."""
-    def of(mean: int, whole: Column) -> Column:
-        numbers = F.filter(F.sequence(F.lit(0).cast("long"), whole), lambda i: i < whole)
-        return F.transform(numbers, lambda i: F.struct(F.lit(mean).alias("mean"), i.alias("i")))
+    """n as a sum of MEANS: an array of (mean, of, first, end), runs of at most RUN pieces of mean `of`, numbered from 0 (end exclusive); `mean` is the run's."""
+    def runs(of: int, whole: Column) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0).cast("long"), F.floor(whole / RUN)), lambda r: r * RUN < whole)
+        ends = F.transform(numbers, lambda r: F.struct((r * RUN).alias("first"), F.least((r + 1) * RUN, whole).alias("end")))
+        return F.transform(ends, lambda e: F.struct((of * (e["end"] - e["first"])).alias("mean"), F.lit(of).alias("of"), e["first"].alias("first"), e["end"].alias("end")))
 
     pieces, left = [], n.cast("long")
     for mean in reversed(MEANS):
         whole = F.floor(left / mean)
-        pieces.append(of(mean, whole))
+        pieces.append(runs(mean, whole))
         left = left - whole * mean
     return F.concat(*pieces)
 
 
 def poisson_draws(counts: DataFrame, key: Column, draws: int, seed: int) -> DataFrame:
-    """counts (…, n) with draw and k for every piece: the k of a row's pieces add up to a Poisson(n) number, how often n equal rows are taken together.
+    """counts (…, n) with draw and k for every run of pieces: the k of a row's runs add up to a Poisson(n) number, how often n equal rows are taken together.
 
     Each piece is an exact inverse draw by a 52-bit hash of seed, draw, key, mean and piece, and a sum of Poisson
-    numbers is one again; nothing is approximated for large n.
+    numbers is one again; nothing is approximated for large n. The counts are few, so they lie in one part; their runs
+    are dealt to all cores, and a run's pieces add up in its task.
     """
-    each = counts.withColumn("_key", key).withColumn("_piece", F.explode(poisson_pieces(F.col("n"))))
-    each = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "_key", "_piece.mean", "_piece.i")), 1, 13), 16, 10).cast("double") / float(16**13)
-    k = F.lit(None)
-    for mean in reversed(MEANS):
-        steps = F.array(*map(F.lit, poisson_table(mean)))
-        k = F.when(F.col("_piece.mean") == mean, F.size(F.filter(steps, lambda c: F.col("_u") >= c))).otherwise(k)
-    return each.withColumn("_u", u).withColumn("k", k.cast("long")).drop("_key", "_piece", "_u", "n")
+    keep = [c for c in counts.columns if c != "n"]
+    runs = counts.select(*keep, key.alias("_key"), F.explode(poisson_pieces(F.col("n"))).alias("_run")).select(*keep, "_key", "_run.of", "_run.first", "_run.end")
+    tables = {mean: np.array(poisson_table(mean)) for mean in MEANS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = pa.array(np.arange(draws, dtype=np.int32))
+        for batch in batches:
+            rows = batch.select(["_key", "of", "first", "end"]).to_pylist()
+            for at, row in enumerate(rows):
+                tail = "".join(f"{x}:" for x in (row["_key"], row["of"]) if x is not None)
+                pieces = [str(i).encode() for i in range(row["first"], row["end"])]
+                heads = (f"{seed}:{d}:{tail}".encode() for d in range(draws))
+                digests = b"".join([hashlib.md5(head + i, usedforsecurity=False).digest() for head in heads for i in pieces])
+                u = (np.frombuffer(digests, ">u8")[::2] >> 12).astype(np.float64) / 2.0**52  # the first 13 hex digits
+                k = np.searchsorted(tables[row["of"]], u, side="right").reshape(draws, len(pieces)).sum(axis=1)
+                same = pa.array(np.full(draws, at))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in keep), draw, pa.array(k, pa.int64())], names=[*keep, "draw", "k"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.select(*keep).schema)
+    return runs.repartition(2 * counts.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, f"{schema}, draw int, k long")
 
 
 def bootstrap_counts(values: DataFrame, value: str, draws: int, seed: int) -> DataFrame:

@@ -406,6 +406,17 @@ def test_poisson_draws(spark):
         assert r["mean"] == pytest.approx(n, abs=4 * math.sqrt(n / 2000)) and r["var"] == pytest.approx(n, rel=0.15)
 
 
+def test_poisson_draws_of_a_large_count_are_dealt_out(spark):
+    """One count in one part: the pieces, which grow with it, are drawn in several tasks, as md5 of seed, draw, key, mean and piece says."""
+    n, draws = 64 * 1000 + 17, 3
+    rows = sp.poisson_draws(frame(spark, [("x", n)], "v string, n long").coalesce(1), F.col("v"), draws, 4).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r["part"] for r in rows}) > 1 and len(rows) < 100 * draws
+    for draw in range(draws):
+        u = lambda mean, i: int(hashlib.md5(f"4:{draw}:x:{mean}:{i}".encode()).hexdigest()[:13], 16) / 16**13  # noqa: B023, E731
+        k = sum(sum(u(mean, i) >= c for c in sp.poisson_table(mean)) for mean, pieces in ((64, 1000), (16, 1), (1, 1)) for i in range(pieces))
+        assert sum(r["k"] for r in rows if r["draw"] == draw) == k
+
+
 def test_bootstrap_of_macro_f1(spark):
     """Intervals against resampled lines in numpy; equal systems never differ."""
     rng = np.random.default_rng(5)
