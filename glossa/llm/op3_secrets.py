@@ -52,15 +52,14 @@ def candidate(least_chars: int) -> str:
     return rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{least_chars},}}+"
 
 
-def samples_of(docs: DataFrame, most_docs: int = 20_000) -> DataFrame:
-    """(is_random, token) from about `most_docs` of the texts, those of smallest hash: what the base patterns mark as
-    secret, and the other runs of 8 characters or more, which are ordinary."""
-    n = docs.count()
+def samples_of(docs: DataFrame) -> DataFrame:
+    """(is_random, token) from all texts: what the base patterns mark as secret, and the other runs of 8 characters or
+    more, which are ordinary."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.filter(F.crc32(text.cast("binary")) < 2**32 * min(1.0, most_docs / max(n, 1))).select(text.alias("text"))
-    marked = F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g in ((KEYWORD + "([A-Za-z0-9+/_.=-]{6,})", 1), (ACCESS, 0), (HEX, 0))))
-    rest = F.regexp_extract_all(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0))
-    return some.select(F.lit(True).alias("is_random"), F.explode(marked).alias("token")).union(some.select(F.lit(False).alias("is_random"), F.explode(rest).alias("token")))
+    marked = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((KEYWORD + "([A-Za-z0-9+/_.=-]{6,})", 1), (ACCESS, 0), (HEX, 0))))
+    rest = F.regexp_extract_all(F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0))
+    labelled = lambda random: lambda t: F.struct(F.lit(random).alias("is_random"), t.alias("token"))
+    return docs.select(F.inline(F.concat(F.transform(marked, labelled(True)), F.transform(rest, labelled(False)))))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -92,9 +91,12 @@ def log_ratio(token: Column, model: list[float]) -> Column:
 
 def threshold(made: DataFrame, texts: DataFrame, model: list[float], share: float = 0.99, least: float = 9.0) -> float:
     """The ratio that `share` of the made identifiers stay under, and `share` of the texts' ordinary runs; at least
-    `least`, odds of 8,000 to 1, as secrets are rare. A secret among the runs that no base pattern marks moves it little."""
+    `least`, odds of 8,000 to 1, as secrets are rare. A secret among the runs that no base pattern marks moves it little.
+
+    Ratios are counted by hundredths, so the percentile is one of all runs and doesn't depend on their order."""
     ordinary = made.select("is_random", "token", F.lit(True).alias("made")).union(texts.select("is_random", "token", F.lit(False).alias("made"))).filter("NOT is_random")
-    highs = ordinary.select("made", log_ratio(F.col("token"), model).alias("r")).groupBy("made").agg(F.percentile_approx("r", share, F.lit(100_000)).alias("r"))
+    counts = ordinary.groupBy("made", F.round(log_ratio(F.col("token"), model), 2).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    highs = counts.groupBy("made").agg(F.percentile("r", share, F.col("n")).alias("r"))
     return max([least, *(r["r"] for r in highs.collect())])
 
 
@@ -123,7 +125,7 @@ def scan(docs: DataFrame, model: list[float], least: float, least_chars: int = 1
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
-    """Secrets in all documents, by models and a threshold of made samples and of the texts' own."""
+    """Secrets in all documents, by models and a threshold of made samples and of all runs of the texts."""
     docs = read(spark, sf_dir, "documents")
     made, texts = labelled_samples(spark), written(samples_of(docs), "secret-samples")
     model = train(made.union(texts))

@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -293,6 +294,18 @@ def test_secret_model_marks_planted_tokens(spark):
     assert sorted(x["spans"] for x in unnamed) == ["", "model:2:26"]
 
 
+def test_secret_models_learn_from_all_texts(spark):
+    """Every text's runs count, also beyond 20,000 texts; the threshold is the percentile of them all, whatever their order."""
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('run_number_', id, ' password=Zx9', id, 'qK') AS text")
+    texts = op3_secrets.samples_of(docs)
+    assert {(r["is_random"], r["n"]) for r in texts.groupBy("is_random").agg(F.count_distinct("token").alias("n")).collect()} == {(True, 21_000), (False, 21_000)}
+    made = op3_secrets.labelled_samples(spark, 500)
+    model = op3_secrets.train(made)
+    ratios = {m: sorted(r[0] for r in t.filter("NOT is_random").select(op3_secrets.log_ratio(F.col("token"), model)).collect()) for m, t in ((0, made), (1, texts))}
+    want = max(9.0, *(np.percentile(np.round(r, 2), 99) for r in ratios.values()))
+    assert op3_secrets.threshold(made, texts.repartition(3), model) == pytest.approx(want, abs=0.011) and op3_secrets.threshold(made, texts, model) == op3_secrets.threshold(made, texts.repartition(3), model)
+
+
 def test_contexts_discover_user_names(spark):
     """Without the rule on digits, letters alone are found too."""
     texts_ = [f"{prose(20, i)} contact: user{i}@mail.example.org {prose(10, i + 500)}" for i in range(40)]
