@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,23 @@ MOST_BYTES = 2 << 30
 BLOCK_CELLS = 1 << 20  # code points (times labels, times token lengths) of a block of texts
 BLOCK_TEXTS = 512
 POINTS = 0x110000
+BATCH_BYTES = 1 << 20  # of texts that a worker takes at once, however many rows of a batch come in
+
+
+def ends_by_size(size: np.ndarray, most: int = BATCH_BYTES) -> list[int]:
+    """Where runs of rows end that have about `most` in sum: a run goes on until it has as much, so it exceeds that by less than a row."""
+    cell = (np.cumsum(size) - size) // most
+    return [*(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(size)] if len(size) else []
+
+
+def by_size(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about BATCH_BYTES of a column of texts, without a copy, so that a worker's memory doesn't follow the rows of a batch."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = 0
+        for end in ends_by_size(size):
+            yield batch.slice(start, end - start)
+            start = end
 
 
 class Lattice:
@@ -79,8 +98,8 @@ class Lattice:
             yield part, self._tokens_at([texts[i] for i in part])
 
     def _parts(self, texts: list[str]) -> Iterator[list[int]]:
-        """Consecutive texts of about BLOCK_CELLS code points, and no more of them than have as many counts of tokens times 4."""
-        part, size, most = [], 0, max(1, BLOCK_CELLS * 4 // len(self.rows))
+        """Consecutive texts of about BLOCK_CELLS code points, and no more of them than have as many counts of tokens."""
+        part, size, most = [], 0, max(1, BLOCK_CELLS // len(self.rows))
         for i, text in enumerate(texts):
             part.append(i)
             size += len(text)
@@ -217,7 +236,8 @@ def _score_block(lines: DataFrame, rows: DataFrame, names: list[str], n_tokens:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = {x: i for i, x in enumerate(names)}
-        for batch in batches:
+        parts = (b.iloc[i:j] for b in batches for ends in [ends_by_size(b["text"].str.len().fillna(0).to_numpy(np.int64))] for i, j in zip([0, *ends], ends))
+        for batch in parts:
             texts = [normalise(t) if normalise else t or "" for t in batch["text"]]
             scores, size = lattice.scores(texts, marginal)
             scores = np.round(scores, 4) + add

@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.model import MOST_COUNTS, require
-from glossa.operators.segment import CANDIDATE, POINTS, UNKNOWN_PENALTY, weight_rows
+from glossa.operators.segment import CANDIDATE, POINTS, UNKNOWN_PENALTY, by_size, weight_rows
 from glossa.sources.store import table
 
 MARK = "▁"
 MOST_TOKENS = 1_000_000  # tokens whose lookups are broadcast; more are joined by a shuffle
-CELLS = 1 << 22  # numbers of a block of words (places kept x words x labels)
-MOST_KNOWN = 1 << 23  # numbers that a worker keeps of words that it has scored
+CELLS = 1 << 20  # numbers of a block of words (places kept x words x labels)
+MOST_KNOWN = 1 << 21  # numbers that a worker keeps of words that it has scored
+MOST_PATHS = 1 << 17  # words by label whose paths a worker keeps
+MOST_WORDS = 1 << 18  # words by label that a task counts before it passes them on
 
 
 @dataclass(frozen=True)
@@ -67,7 +69,7 @@ def word_counts(lines: DataFrame, words: Words = Words()) -> DataFrame:
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found.setdefault(label, Counter()).update(words.cut(words.normal(text.as_py())))
-                if sum(map(len, found.values())) > MOST_COUNTS:
+                if sum(map(len, found.values())) > MOST_WORDS:
                     yield out()
         yield out()
 
@@ -451,7 +453,7 @@ def _pass(lines: DataFrame, rows: DataFrame, names: list[str], at: int, k: int |
         return pa.StructArray.from_arrays(columns, names=["score", "label", "n_lines", "n_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
             texts = [words.normal(t) for t in batch.column("text").to_pylist()]
             scores, size = held.value.scores(texts)
             scores = np.round(scores, 4) + add
@@ -505,7 +507,7 @@ def score_words(lines: DataFrame, model: DataFrame, k: int | None = 5, alpha: fl
 def segment_words(lines: DataFrame, model: DataFrame, words: Words = Words()) -> DataFrame:
     """The columns of lines but text, with tokens: the best path of each text (y, text), word by word, under its own label y.
 
-    A batch's different words are segmented once a label. Labels beyond MOST_MODEL bytes go block by block, each in
+    Different words are segmented once a label, and a worker keeps up to about MOST_PATHS of them. Labels beyond MOST_MODEL bytes go block by block, each in
     the same rows; a text whose label the model lacks has no tokens (null), one without words an empty list.
     """
     rows = weight_rows(model)
@@ -521,12 +523,15 @@ def _paths_pass(lines: DataFrame, rows: DataFrame, names: list[str], at: int, wo
     held, place = lines.sparkSession.sparkContext.broadcast(_lattice(rows, names)[0]), {y: i for i, y in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known: dict[tuple[int, bytes], list[str]] = {}
+        for batch in by_size(batches):
             labels = [place.get(y, -1) for y in batch.column("y").to_pylist()]
             cut = [words.cut(words.normal(t)) if label >= 0 else [] for t, label in zip(batch.column("text").to_pylist(), labels, strict=True)]
-            pairs = list(dict.fromkeys((label, w) for label, own in zip(labels, cut, strict=True) for w in own))
+            if len(known) > MOST_PATHS:
+                known.clear()
+            pairs = list(dict.fromkeys(pair for label, own in zip(labels, cut, strict=True) for w in own if (pair := (label, w)) not in known))
             found = held.value.paths(words.marked([w for _, w in pairs]), np.array([label for label, _ in pairs], np.int64))
-            known = dict(zip(pairs, found, strict=True))
+            known.update(zip(pairs, found, strict=True))
             tokens = [None if label < 0 else [t for w in own for t in known[label, w]] for label, own in zip(labels, cut, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string()))], names=[*batch.schema.names, f"tokens{at}"])
 

@@ -5,9 +5,11 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glossa.operators import segment as sg
 from glossa.operators import subword as sw
 from glossa.sources.store import shared
 
@@ -292,3 +294,14 @@ def test_a_killed_run_goes_on(spark, monkeypatch):
     status = {r["y"]: r["status"] for r in sw.train_isolated(spark, ["p", "q", "r", "01"], units, tokens, path, rounds=1).collect()}
     assert status["r"] == "trained"
     assert spark.read.schema("token string, w double, y string").parquet(path).groupBy("y").agg(F.count("token").alias("n")).filter("n <> 3").count() == 0
+
+
+def test_a_workers_memory_does_not_follow_the_rows_of_a_batch(spark):
+    """Batches go through in slices of about BATCH_BYTES of text, all rows in order, a long text alone; nulls count as empty."""
+    texts = ["ab " * 1000] * 2000 + [None, ""] * 50 + ["ö" * sg.BATCH_BYTES, "x"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "text": texts})
+    parts = list(sg.by_size(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    sizes = [sum(len((t or "").encode()) for t in p.column("text").to_pylist()) for p in parts]
+    assert len(parts) > 5 and all(x < sg.BATCH_BYTES + 3000 for x in sizes[:-2]) and sum(sizes) < 9 * sg.BATCH_BYTES
+    assert sg.ends_by_size(np.array([], np.int64)) == [] and sg.ends_by_size(np.array([5, 0, 5, 11, 1]), 10) == [3, 4, 5]
