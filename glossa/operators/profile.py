@@ -32,13 +32,25 @@ def classify_domain(text: Column) -> Column:
 
 def script_count(text: Column, script: str) -> Column:
     """Characters of a script: the length that is left without the others."""
-    return F.length(F.regexp_replace(text, f"[^{SCRIPTS[script]}]", "")).cast("long")
+    return F.length(F.regexp_replace(text, f"[^{SCRIPTS[script]}]+", "")).cast("long")
+
+
+LATIN_ALONE = r"\x{0000}-\x{024F}"  # code points that no script of the table but Latin has
 
 
 def detect_script(text: Column) -> Column:
-    """Map of script to characters, for the scripts that occur."""
-    pairs = F.array(*(F.struct(F.lit(s).alias("script"), script_count(text, s).alias("n")) for s in SCRIPTS))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["n"] > 0))
+    """Map of script to characters, for the scripts that occur; those beside Latin are looked for in what is left without LATIN_ALONE."""
+    def of(rest: Column) -> Column:
+        pairs = F.array(*(F.struct(F.lit(s).alias("script"), script_count(text if s == "Latin" else rest, s).alias("n")) for s in SCRIPTS))
+        return F.map_from_entries(F.filter(pairs, lambda p: p["n"] > 0))
+
+    return F.transform(F.array(F.regexp_replace(text, f"[{LATIN_ALONE}]+", "")), of)[0]
+
+
+def script_totals(counts: DataFrame, *by: str) -> DataFrame:
+    """(by, script, n) of counts (by, token, n) of code points: a token is looked at once, however often it stands in the texts."""
+    each = counts.select(*by, "n", F.explode(detect_script(F.col("token"))).alias("script", "k"))
+    return each.groupBy(*by, "script").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
 
 
 def length_stats(lines: DataFrame, *by: str) -> DataFrame:
@@ -93,5 +105,8 @@ def register(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION classify_domain(t STRING) RETURNS STRING RETURN "
         f"CASE WHEN t RLIKE r'{VERSE}' OR t RLIKE r'{terms}' THEN 'religious' WHEN t RLIKE r'{WIKI}' THEN 'wikipedia' ELSE 'other' END"
     )
-    counts = ", ".join(f"named_struct('script', '{s}', 'n', CAST(length(regexp_replace(t, r'[^{chars}]', '')) AS BIGINT))" for s, chars in SCRIPTS.items())
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION detect_script(t STRING) RETURNS MAP<STRING, BIGINT> RETURN map_from_entries(filter(array({counts}), p -> p.n > 0))")
+    counts = ", ".join(f"named_struct('script', '{s}', 'n', CAST(length(regexp_replace({'t' if s == 'Latin' else 'rest'}, r'[^{chars}]+', '')) AS BIGINT))" for s, chars in SCRIPTS.items())
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION detect_script(t STRING) RETURNS MAP<STRING, BIGINT> RETURN "
+        f"transform(array(regexp_replace(t, r'[{LATIN_ALONE}]+', '')), rest -> map_from_entries(filter(array({counts}), p -> p.n > 0)))[0]"
+    )

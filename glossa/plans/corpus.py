@@ -56,8 +56,7 @@ LATIN_SQL, CYRILLIC_SQL = r"length(regexp_replace(text, '[^\x{0041}-\x{024F}\x{1
 )
 def script_table(spark, sf_dir):
     """Characters of every script of the table, by label; scripts that don't occur have no row."""
-    rows = labelled(spark, sf_dir).select("y", F.explode(pf.detect_script(F.col("text"))).alias("script", "n"))
-    return rows.groupBy("y", "script").agg(F.sum("n").alias("n"))
+    return pf.script_totals(counts(spark, sf_dir), "y")
 
 
 @query(

@@ -385,6 +385,16 @@ def test_ranks_and_first_rows_of_a_hot_key(spark):
     assert all(sorted(r["v"] for r in first if r["y"] == y) == sorted(v for v, _ in x)[:7] for y, x in by.items())
 
 
+def test_script_totals_look_at_a_code_point_once(spark):
+    """Counts of code points give what whole texts give, in every script; a billion repeats are one row."""
+    text = "aZ[é̄ḁ7 Жԯ Ωα שא কখ ㄅ漢𠀀 ꓐⴰ"
+    tokens = frame(spark, [("x", c, text.count(c)) for c in sorted(set(text))], "y string, token string, n long")
+    whole = frame(spark, [(text,)], "t string").select(pf.detect_script(F.col("t")).alias("m")).first()["m"]
+    each = {s: int(frame(spark, [(text,)], "t string").select(pf.script_count(F.col("t"), s)).first()[0]) for s in pf.SCRIPTS}
+    assert {r["script"]: r["n"] for r in pf.script_totals(tokens, "y").collect()} == whole == {s: n for s, n in each.items() if n}
+    assert pf.script_totals(frame(spark, [("x", "a", 10**9)], "y string, token string, n long"), "y").first()["n"] == 10**9
+
+
 def test_bootstrap_by_counts(spark):
     rows = spark.range(4000).selectExpr("CAST(id % 4 = 0 AS INT) AS v")
     got = sp.bootstrap_counts(rows, "v", 400, 3).first()
