@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,32 @@ def token_counts(lines: DataFrame) -> DataFrame:
     return lines.select("y", "text").mapInArrow(partial, "y string, token string, n long").groupBy("y", "token").agg(F.sum("n").alias("n"))
 
 
+def pair_counts(lines: DataFrame) -> DataFrame:
+    """n by y and token, a token being two neighbouring code points; counted in tasks like `token_counts`."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Counter] = {}
+
+        def out():
+            y = [label for label, n in found.items() for _ in n]
+            token, n = [chr(t >> 32) + chr(t & 0xFFFFFFFF) for c in found.values() for t in c], [x for c in found.values() for x in c.values()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(y, pa.string()), pa.array(token, pa.string()), pa.array(n, pa.int64())], names=["y", "token", "n"])
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+                keys, n = np.unique(codes[:-1] << 32 | codes[1:], return_counts=True)
+                own = found.setdefault(label, Counter())
+                for key, k in zip(keys.tolist(), n.tolist(), strict=True):
+                    own[key] += k
+                if sum(map(len, found.values())) > MOST_COUNTS:
+                    yield out()
+        yield out()
+
+    return lines.select("y", "text").mapInArrow(partial, "y string, token string, n long").groupBy("y", "token").agg(F.sum("n").alias("n"))
+
+
 def dense(counts: DataFrame) -> DataFrame:
     """counts with a row for every label and token of the vocabulary (n 0 where unseen); the matrix is this size by definition."""
     labels = counts.agg(F.collect_set("y").alias("labels"))

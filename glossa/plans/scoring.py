@@ -41,9 +41,7 @@ PAIR_SQL = (
 
 def pair_model(spark, sf_dir: str) -> DataFrame:
     """A model over code points and frequent pairs of neighbours, weighted by their substring counts."""
-    chars = F.split("text", "")
-    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    found = labelled(spark, sf_dir).filter(F.length("text") > 1).select("y", F.explode(pairs).alias("token")).groupBy("y", "token").agg(F.count(F.lit(1)).alias("n"))
+    found = mo.pair_counts(labelled(spark, sf_dir))
     total = F.sum("n").over(Window.partitionBy("token"))
     both = counts(spark, sf_dir).unionByName(found.withColumn("all", total).filter(F.col("all") >= PAIR_BAR).drop("all"))
     grid = mo.dense(both).withColumn("n", F.col("n") + 0.5)

@@ -395,6 +395,15 @@ def test_script_totals_look_at_a_code_point_once(spark):
     assert pf.script_totals(frame(spark, [("x", "a", 10**9)], "y string, token string, n long"), "y").first()["n"] == 10**9
 
 
+def test_pairs_are_counted_in_tasks(spark):
+    """Neighbouring code points by label, overlaps included, none across texts; the plan makes no row a pair."""
+    texts = [("x", "aab"), ("x", "baa"), ("x", "a"), ("x", ""), ("x", None), ("z", "𠀀é𠀀"), ("z", "aaaa")]
+    got = mo.pair_counts(frame(spark, texts, "y string, text string"))
+    want = {("x", "aa"): 2, ("x", "ab"): 1, ("x", "ba"): 1, ("z", "𠀀é"): 1, ("z", "é𠀀"): 1, ("z", "aa"): 3}
+    assert {(r["y"], r["token"]): r["n"] for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
 def test_bootstrap_by_counts(spark):
     rows = spark.range(4000).selectExpr("CAST(id % 4 = 0 AS INT) AS v")
     got = sp.bootstrap_counts(rows, "v", 400, 3).first()
