@@ -338,14 +338,14 @@ def stream_statistics(spark, sf_dir):
 def stream_sums(spark, sf_dir):
     """2.12, P3: sums by label kept by batch id; every batch comes twice, as after a failure, and counts once."""
     path, out = shared(spark, "stream"), shared(spark, "stream-sums")
-    labelled(spark, sf_dir).select("y", "text").repartition(4, "text").write.parquet(path)
+    labelled(spark, sf_dir).select("y", "text").write.parquet(path)  # a file a part of the table, so a larger table has more
     merge = st.merge_sums(out)
 
     def twice(rows, batch):
         merge(rows, batch)
         merge(rows, batch)
 
-    st.write_sums(st.read_documents(spark, path, 1), out, shared(spark, "stream-state"), twice).awaitTermination()
+    st.write_sums(st.read_documents(spark, path, spark.sparkContext.defaultParallelism), out, shared(spark, "stream-state"), twice).awaitTermination()
     return st.read_sums(spark, out)
 
 

@@ -506,3 +506,14 @@ def test_confusion_table(spark):
 
 def test_texts_are_normalised():
     assert sg.preprocess("e\u0301  x\ty", "NFC", "\u2581") == "\u00e9\u2581x\u2581y" and sg.preprocess(None, "NFC") == ""
+
+
+def test_stream_sums_files_grow_with_the_table(spark, sf, monkeypatch):
+    """The stream has a file a part of the table, so no task reads a fixed share of it."""
+    from glossa.plans import scoring
+
+    paths, shared_, labelled_ = [], scoring.shared, scoring.labelled
+    monkeypatch.setattr(scoring, "shared", lambda s, name: paths.append(shared_(s, name)) or paths[-1])
+    monkeypatch.setattr(scoring, "labelled", lambda s, d: labelled_(s, d).repartition(9))
+    scoring.stream_sums(spark, sf)
+    assert len(spark.read.parquet(paths[0]).inputFiles()) == 9
