@@ -12,7 +12,6 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -34,12 +33,12 @@ def ends_by_size(size: np.ndarray, most: int = BATCH_BYTES) -> list[int]:
     return [*(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(size)] if len(size) else []
 
 
-def by_size(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about BATCH_BYTES of a column of texts, without a copy, so that a worker's memory doesn't follow the rows of a batch."""
+def by_size(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of a column of texts, without a copy, so that a worker's memory doesn't follow the rows of a batch."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start = 0
-        for end in ends_by_size(size):
+        for end in ends_by_size(size, most):
             yield batch.slice(start, end - start)
             start = end
 
@@ -227,37 +226,33 @@ def _score_block(lines: DataFrame, rows: DataFrame, names: list[str], n_tokens:
     tokens, weights, counted = _collected(rows, names, n_tokens)
     lattice = Lattice(tokens, weights)
     add = np.array([(bias or {}).get(x, 0.0) for x in names])
-    n_lines = dict(zip(names, counted, strict=True))
+    label, n_lines, place = pa.array(names, pa.string()), pa.array(counted, pa.int64()), {x: i for i, x in enumerate(names)}
+    most = len(names) if k is None else min(k, len(names))
     keep = [c for c in lines.columns if c != "text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema if f.name != "text") + f", status string, cands array<{CANDIDATE}>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name != "text") + f", status string, cands array<{CANDIDATE}>"
 
-    def entry(scores, size, i):
-        return {"score": float(scores[i]), "label": names[i], "n_lines": n_lines.get(names[i]), "n_tokens": int(size[i])}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = {x: i for i, x in enumerate(names)}
-        parts = (b.iloc[i:j] for b in batches for ends in [ends_by_size(b["text"].str.len().fillna(0).to_numpy(np.int64))] for i, j in zip([0, *ends], ends))
-        for batch in parts:
-            texts = [normalise(t) if normalise else t or "" for t in batch["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches):
+            texts = [normalise(t) if normalise else t or "" for t in batch.column("text").to_pylist()]
             scores, size = lattice.scores(texts, marginal)
             scores = np.round(scores, 4) + add
             if alpha is not None:
                 scores = np.where(size > 0, scores / np.maximum(size, 1) ** alpha, -np.inf)
             scores = np.round(scores, 4)
-            most = len(names) if k is None else min(k, len(names))
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-            cands = []
-            for j, text in enumerate(texts):
-                chosen = [] if not text else best[j].tolist()
-                if chosen and own is not None and (i := at.get(batch[own].iloc[j])) is not None and i not in chosen:
-                    chosen.append(i)
-                cands.append([entry(scores[j], size[j], i) for i in chosen])
-            out = batch[keep].copy()
-            out["status"] = ["SCORED" if t else "EMPTY" for t in texts]
-            out["cands"] = cands
-            yield out
-
-    return lines.mapInPandas(run, schema)
+            some = np.array([bool(t) for t in texts])
+            which = np.argsort(-scores, axis=1, kind="stable")[:, :most]  # names ascend, so the lesser of equals comes first
+            chosen = np.repeat(some[:, None], most, axis=1)
+            if own is not None:  # one more place, for the line's own label
+                mine = np.array([place.get(y, -1) for y in batch.column(own).to_pylist()], np.int64)[:, None]
+                which, chosen = np.hstack([which, mine]), np.hstack([chosen, some[:, None] & (mine >= 0) & (which != mine).all(axis=1, keepdims=True)])
+            text, column = np.nonzero(chosen)
+            i = which[text, column]
+            entries = pa.StructArray.from_arrays([pa.array(scores[text, i]), label.take(pa.array(i)), n_lines.take(pa.array(i)), pa.array(size[text, i])], names=["score", "label", "n_lines", "n_tokens"])
+            cands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(chosen.sum(axis=1)))), pa.int32()), entries)
+            status = pa.array(np.where(some, "SCORED", "EMPTY").tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), status, cands], names=[*keep, "status", "cands"])
+
+    return lines.mapInArrow(run, schema)
 
 
 def score_lines(
