@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ CELLS = 1 << 20  # numbers of a block of words (places kept x words x labels)
 MOST_KNOWN = 1 << 21  # numbers that a worker keeps of words that it has scored
 MOST_PATHS = 1 << 17  # words by label whose paths a worker keeps
 MOST_WORDS = 1 << 18  # words by label that a task counts before it passes them on
+MOST_WORD_BYTES = 1 << 25  # and their bytes
+SLICE_BYTES = 1 << 18  # of words that are walked at once: every code point takes some numbers
 
 
 @dataclass(frozen=True)
@@ -58,6 +61,7 @@ def word_counts(lines: DataFrame, words: Words = Words()) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
+        held = 0  # bytes of the words, at most
 
         def out():
             y = [label for label, c in found.items() for _ in c]
@@ -69,8 +73,13 @@ def word_counts(lines: DataFrame, words: Words = Words()) -> DataFrame:
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found.setdefault(label, Counter()).update(words.cut(words.normal(text.as_py())))
-                if sum(map(len, found.values())) > MOST_WORDS:
+                held += len(text.as_buffer() or b"")
+                full = held > MOST_WORD_BYTES
+                if full:  # repeats take no room
+                    held = sum(len(w) for c in found.values() for w in c)
+                if sum(map(len, found.values())) > MOST_WORDS or full and held > MOST_WORD_BYTES // 2:
                     yield out()
+                    held = 0
         yield out()
 
     rows = lines.select("y", "text").mapInArrow(partial, "y string, word string, n long")
@@ -99,17 +108,21 @@ def _longer(units: DataFrame, shorter: list[str] | None, size: int) -> DataFrame
     A place's shorter token has a number, so a substring there is that number and one more code point: an exact key,
     counted in whole batches.
     """
-    held = None if shorter is None else units.sparkSession.sparkContext.broadcast(WordLattice(shorter, np.zeros((1, len(shorter)), np.float32)))
+    held = None
+    if shorter is not None:
+        lattice = WordLattice(shorter, np.zeros((1, len(shorter)), np.float32))
+        lattice.tokens = pa.array(shorter, pa.string())  # packed, as each worker has a copy
+        held = units.sparkSession.sparkContext.broadcast(lattice)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, "word", SLICE_BYTES):
             words = batch.column("word").to_pylist()
             length = np.array([len(w) for w in words], np.int64)
             codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
             n = np.repeat(batch.column("n").to_numpy(), length)
             if held is None:
                 keys, which = np.unique(codes, return_inverse=True)
-                tokens = [chr(k) for k in keys.tolist()]
+                tokens = pa.array([chr(k) for k in keys.tolist()], pa.string())
             else:
                 lattice = held.value
                 first = np.cumsum(length) - length
@@ -121,10 +134,10 @@ def _longer(units: DataFrame, shorter: list[str] | None, size: int) -> DataFrame
                 at = np.flatnonzero((left >= size) & (have[:-1] >= 0) & (have[1:] >= 0))
                 keys, which = np.unique(have[at] * POINTS + codes[at + size - 1], return_inverse=True)
                 n = n[at]
-                tokens = [lattice.tokens[k // POINTS] + chr(k % POINTS) for k in keys.tolist()]
+                tokens = pc.binary_join_element_wise(lattice.tokens.take(pa.array(keys // POINTS)), pa.array([chr(k % POINTS) for k in keys.tolist()], pa.string()), "")
             sums = np.zeros(len(keys), np.int64)
             np.add.at(sums, which, n)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(sums)], names=["token", "n"])
+            yield pa.RecordBatch.from_arrays([tokens, pa.array(sums)], names=["token", "n"])
 
     return units.mapInArrow(count, "token string, n long")
 
@@ -178,7 +191,7 @@ def token_counts(words: DataFrame, tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = held.value
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in by_size(batches, "word", SLICE_BYTES):
             _, _, word, token = lattice.edges(batch.column("word").to_pylist())
             labels = batch.column("y").dictionary_encode()
             of, n = labels.indices.to_numpy(), batch.column("n").to_numpy()

@@ -6,6 +6,8 @@ import threading
 from pyspark.sql import functions as F
 
 from glossa.operators import segment as sg
+from glossa.operators import subword as sw
+from glossa.sources.store import table
 
 
 def memory() -> dict[str, float]:
@@ -56,3 +58,12 @@ def test_scoring_holds_a_slice_of_a_batch_as_texts(spark):
     rows = []
     assert growth(lambda: rows.extend(sg.score_lines(lines, model, 1).groupBy(F.col("cands")[0]["label"].alias("label"), "status").count().collect())) < 250
     assert [tuple(r) for r in rows] == [("p", "SCORED", 4000)]
+
+
+def test_substrings_of_long_words_take_a_slice_at_a_time(spark):
+    """1,500 words of 4,000 code points fit into one batch; each code point takes about 100 bytes while it is walked."""
+    words = table(spark.range(0, 1500, 1, 1).select(F.concat(F.repeat(F.lit("abcd"), 1000), F.col("id").cast("string")).alias("word"), F.lit(2).cast("long").alias("n")), "long")
+    found = {}
+    assert growth(lambda: found.update((r["token"], r["n"]) for r in sw.substring_counts(words.coalesce(1), 1_000_000, 3).collect())) < 250
+    often = {t: 3000 * 1000 for t in ("a", "b", "c", "d", "ab", "bc", "cd", "abc", "bcd")}
+    assert found == often | {t: 3000 * 999 for t in ("da", "cda", "dab")}
